@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import hotkeys, spikes
-from tallyloom.plans.tables import clean_features
+from tallyloom.operators import compaction, hotkeys, spikes
+from tallyloom.plans.tables import clean_features, table
+
+#: The six fields of a message record.
+MESSAGE_FIELDS = ["message_id", "user_id", "message", "created_at", "date2", "date3"]
 
 
 def p5_flags(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,5 +33,19 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_report(spark, folder).where("hot").select("field_name", "key_value")
 
 
+def _consolidated(spark: SparkSession, folder: str) -> compaction.Consolidated:
+    parsed = compaction.parse_files(table(spark, folder, "message_files"), F.col("file_id"), F.col("body"), MESSAGE_FIELDS)
+    return compaction.consolidate(parsed, MESSAGE_FIELDS, cluster_by=["created_at", "message_id"])
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return compaction.redundant_files(_consolidated(spark, folder).holders).select("file_id")
+
+
+def p7_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Each distinct message record once, read back from the consolidated files."""
+    return _consolidated(spark, folder).records
+
+
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_flags": p5_flags, "p6_found": p6_found, "p6_report": p6_report}
+    return {"p5_found": p5_found, "p5_flags": p5_flags, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_records": p7_records}
