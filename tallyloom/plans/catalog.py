@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import problems
+from tallyloom.plans import problems, problems_sql
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(problems_sql.ORACLES)

@@ -19,6 +19,10 @@ def p5_flags(spark: SparkSession, folder: str) -> DataFrame:
     return spikes.flag_readings(f, F.col("row_id"), F.col("user_of_group"), F.col("term"), week, F.col("feat_freq"), context=F.col("load_hour"))
 
 
+def p5_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_flags(spark, folder).select("row_id", "impossible", "stuck", "spike")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_flags(spark, folder).select("row_id")
 
@@ -26,7 +30,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     """Rows, users, mean and quartiles of feat_freq for every county and every term."""
     f = clean_features(spark, folder)
-    return hotkeys.key_report(f, {"cnty": F.col("cnty"), "feat": F.col("term")}, F.col("feat_freq"), F.col("userid"), (0.25, 0.5, 0.75))
+    report = hotkeys.key_report(f, {"cnty": F.col("cnty"), "feat": F.col("term")}, F.col("feat_freq"), F.col("userid"), (0.25, 0.5, 0.75))
+    return report.withColumns({c: F.round(c, 9) for c in ("mean_value", "share")})
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,4 +53,4 @@ def p7_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_flags": p5_flags, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_records": p7_records}
+    return {"p5_found": p5_found, "p5_flags": p5_flags, "p5_reasons": p5_reasons, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_records": p7_records}
