@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import cleaning as C
-from tallyloom.llm import catalog_sql, distinct, percentiles, terms
+from tallyloom.llm import catalog_sql, distinct, langid, percentiles, terms
 from tallyloom.plans.tables import clean_features, table
 
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -45,6 +45,26 @@ def p2_message_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     return terms.ngram_frequencies(m, F.col("message_id"), words, 3)
 
 
+def _message_parts(spark: SparkSession, folder: str) -> DataFrame:
+    m = table(spark, folder, "messages")
+    model = langid.fit_filter(m, F.col("message"), F.col("lang"))
+    return langid.segment_languages(m.withColumnRenamed("lang", "label"), model, ["message_id", "label"], F.col("message"))
+
+
+def p3_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every part of every message with its language and confidence."""
+    return _message_parts(spark, folder).distinct()
+
+
+def p3_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a message: its main language, confidence and all languages."""
+    return langid.main_language(p3_parts(spark, folder), ["message_id"])
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.unlabelled_languages(_message_parts(spark, folder), "message_id", F.col("label"))
+
+
 def _percentiles(spark: SparkSession, folder: str, levels: dict) -> DataFrame:
     f = clean_features(spark, folder)
     counts = percentiles.group_counts(f, levels, F.col("feat_freq"), C.plausible_share(F.col("feat_freq")))
@@ -68,6 +88,9 @@ def queries() -> dict:
         "p2_found": p2_found,
         "p2_terms": p2_terms,
         "p2_message_ngrams": p2_message_ngrams,
+        "p3_found": p3_found,
+        "p3_parts": p3_parts,
+        "p3_messages": p3_messages,
         "p4_percentiles": p4_percentiles,
         "p4_percentiles_of_cells": p4_percentiles_of_cells,
     }
