@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import cleaning as C
-from tallyloom.llm import catalog_sql, distinct, langid, percentiles, terms
+from tallyloom.llm import catalog_sql, distinct, langid, leakage, percentiles, terms
 from tallyloom.plans.tables import clean_features, table
 
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -82,6 +82,18 @@ def p4_percentiles_of_cells(spark: SparkSession, folder: str) -> DataFrame:
     return _percentiles(spark, folder, {"week+county+term": {"yw": F.col("yw"), "cnty": F.col("cnty"), "term": F.col("term")}})
 
 
+def p9_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold evaluation items, and those that hold an item's template with other names and numbers (``variant``)."""
+    d, e = table(spark, folder, "documents"), table(spark, folder, "eval_items")
+    return leakage.find_leaks(d, F.col("doc_id"), F.col("text"), e, F.col("item_id"), F.col("text"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    d, e = table(spark, folder, "documents"), table(spark, folder, "eval_items")
+    found = leakage.find_leaks(d, F.col("doc_id"), F.col("text"), e, F.col("item_id"), F.col("text"), variants=False)
+    return found.select("doc_id", "item_id")
+
+
 def queries() -> dict:
     return {
         "p1_distinct": p1_distinct,
@@ -91,6 +103,8 @@ def queries() -> dict:
         "p3_found": p3_found,
         "p3_parts": p3_parts,
         "p3_messages": p3_messages,
+        "p9_found": p9_found,
+        "p9_matches": p9_matches,
         "p4_percentiles": p4_percentiles,
         "p4_percentiles_of_cells": p4_percentiles_of_cells,
     }
