@@ -6,13 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Blanks and the quote that are taken off around a value.
+AROUND = ' "\t\n\r\u00a0'
+
+
 def unquote(c: Column) -> Column:
     """The value without the blanks and double quotes around it; null stays null."""
-    return F.regexp_replace(c, r'^[\s"]+|[\s"]+$', "")
+    return F.btrim(c, F.lit(AROUND))
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def clean_text_value(c: Column) -> Column:
@@ -21,8 +25,9 @@ def clean_text_value(c: Column) -> Column:
 
 
 def pad_week(c: Column) -> Column:
-    """``2020_7`` and ``2020_7:user`` to ``2020_07``, ``2020_07:user``."""
-    return F.regexp_replace(c, r"^(\d{4})_(\d)(?=:|$)", "$1_0$2")
+    """``2020_7`` and ``2020_7:user`` to ``2020_07``, ``2020_07:user``; other texts stay."""
+    short = (F.substring(c, 5, 1) == "_") & ((F.length(c) == 6) | (F.substring(c, 7, 1) == ":"))
+    return F.when(short, F.concat(F.substring(c, 1, 5), F.lit("0"), F.substring(c, 6, 1 << 30))).otherwise(c)
 
 
 def clean_group_id(c: Column) -> Column:
@@ -32,21 +37,27 @@ def clean_group_id(c: Column) -> Column:
 
 def group_week(group_id: Column) -> Column:
     """The week of a cleaned group id; null where it has none (``:user``) or the id has no colon."""
-    return blank_to_null(F.regexp_extract(group_id, r"^(\d{4}_\d{2}):", 1))
+    week = F.substring(group_id, 1, 7)
+    return F.when((F.substring(group_id, 8, 1) == ":") & (F.translate(week, "0123456789", "") == "_"), week)
 
 
 def group_entity(group_id: Column) -> Column:
     """The part of a cleaned group id after the first colon; null if absent."""
-    return blank_to_null(F.regexp_extract(group_id, r"^[^:]*:(.+)$", 1))
+    at = F.instr(group_id, ":")
+    return F.when(at > 0, blank_to_null(F.substr(group_id, at + 1)))
 
 
-def clean_county(c: Column) -> Column:
-    """County padded to five digits; null for blank values and the marker -1. Longer values are kept whole."""
-    value = clean_text_value(c)
+def pad_county(value: Column) -> Column:
+    """A cleaned county padded to five digits; null for the marker -1. Longer values are kept whole."""
     padded = F.when(F.length(value) < 5, F.lpad(value, 5, "0")).otherwise(value)
     return F.when(value != "-1", padded)
 
 
+def clean_county(c: Column) -> Column:
+    """County without blanks and quotes around it, padded to five digits; null for blank values and -1."""
+    return pad_county(clean_text_value(c))
+
+
 def clean_number(c: Column) -> Column:
     """Text to DOUBLE after trimming blanks and quotes; malformed values give 0.0."""
     return F.coalesce(unquote(c).try_cast("double"), F.lit(0.0))

@@ -15,7 +15,7 @@ MESSAGE_FIELDS = ["message_id", "user_id", "message", "created_at", "date2", "da
 def p5_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Every implausible reading with its reasons and the fence of its source."""
     f = clean_features(spark, folder)
-    week = F.regexp_replace("week_of_group", "_", "").cast("int")
+    week = F.translate("week_of_group", "_", "").cast("int")
     return spikes.flag_readings(f, F.col("row_id"), F.col("user_of_group"), F.col("term"), week, F.col("feat_freq"), context=F.col("load_hour"))
 
 

@@ -15,15 +15,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def clean_features(spark: SparkSession, folder: str) -> DataFrame:
     """feat_1gram with cleaned keys: row_id, group_id, week_of_group, user_of_group, term, yw, cnty, userid, feat_count, feat_freq, weight, load_day, load_hour."""
     df = table(spark, folder, "feat_1gram")
-    gid = C.clean_group_id(F.col("yearweek_userid"))
-    return df.select(
+    # in steps, each value named once: an expression used by several others is then evaluated once a row
+    df = df.select(
         "row_id",
-        gid.alias("group_id"),
-        C.group_week(gid).alias("week_of_group"),
-        C.group_entity(gid).alias("user_of_group"),
+        F.trim(F.translate("yearweek_userid", '"', "")).alias("_g"),
         C.clean_text_value(F.col("feat")).alias("term"),
-        C.pad_week(C.clean_text_value(F.col("yw"))).alias("yw"),
-        C.clean_county(F.col("cnty")).alias("cnty"),
+        C.clean_text_value(F.col("yw")).alias("_w"),
+        C.clean_text_value(F.col("cnty")).alias("_c"),
         C.clean_text_value(F.col("userid")).alias("userid"),
         "feat_count",
         "feat_freq",
@@ -31,3 +29,7 @@ def clean_features(spark: SparkSession, folder: str) -> DataFrame:
         F.to_date("loaded_at").alias("load_day"),
         F.hour("loaded_at").alias("load_hour"),
     )
+    rest = ["userid", "feat_count", "feat_freq", "weight", "load_day", "load_hour"]
+    df = df.select("row_id", C.blank_to_null(C.pad_week(F.col("_g"))).alias("group_id"), "term", C.pad_week(F.col("_w")).alias("yw"), C.pad_county(F.col("_c")).alias("cnty"), *rest)
+    gid = F.col("group_id")
+    return df.select("row_id", "group_id", C.group_week(gid).alias("week_of_group"), C.group_entity(gid).alias("user_of_group"), "term", "yw", "cnty", *rest)
