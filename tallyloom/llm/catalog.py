@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import cleaning as C
-from tallyloom.llm import catalog_sql, distinct, langid, leakage, percentiles, terms
+from tallyloom.llm import catalog_sql, distinct, langid, leakage, percentiles, terms, truncation
 from tallyloom.plans.tables import clean_features, table
 
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -94,6 +94,19 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.judge_texts(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"), F.col("source"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _judged(spark, folder).where("cut").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of cut texts per source."""
+    return truncation.cut_shares(_judged(spark, folder))
+
+
 def queries() -> dict:
     return {
         "p1_distinct": p1_distinct,
@@ -103,6 +116,8 @@ def queries() -> dict:
         "p3_found": p3_found,
         "p3_parts": p3_parts,
         "p3_messages": p3_messages,
+        "p10_found": p10_found,
+        "p10_sources": p10_sources,
         "p9_found": p9_found,
         "p9_matches": p9_matches,
         "p4_percentiles": p4_percentiles,
