@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import cleaning as C
-from tallyloom.llm import catalog_sql, distinct, langid, leakage, percentiles, terms, truncation
+from tallyloom.llm import catalog_sql, distinct, langid, leakage, packing, percentiles, terms, truncation
 from tallyloom.plans.tables import clean_features, table
 
+#: Ranks of the public tokenizer in which problem 8 measures texts; another file can be set here.
+RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
@@ -94,6 +96,16 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document and its container, for each capacity."""
+    sizes = packing.token_counts(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"), RANKS_FILE)
+    return packing.pack_documents(sizes, table(spark, folder, "pack_targets"))
+
+
+def p8_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packing_summary(p8_packing(spark, folder), table(spark, folder, "pack_targets"))
+
+
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.judge_texts(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"), F.col("source"))
 
@@ -118,6 +130,8 @@ def queries() -> dict:
         "p3_messages": p3_messages,
         "p10_found": p10_found,
         "p10_sources": p10_sources,
+        "p8_packing": p8_packing,
+        "p8_summary": p8_summary,
         "p9_found": p9_found,
         "p9_matches": p9_matches,
         "p4_percentiles": p4_percentiles,
