@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import problems, problems_sql
+from tallyloom.plans import problems, problems_sql, reference, reference_sql
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return problems.p6_report(spark, folder)
+    return reference.flagship(spark, folder)
 
 
 def queries() -> dict:
-    return problems.queries()
+    return reference.QUERIES | problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems_sql.ORACLES)
+    return reference_sql.ORACLES | problems_sql.ORACLES

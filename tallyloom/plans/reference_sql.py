@@ -1,0 +1,215 @@
+"""SQL of the queries in ``plans.reference``; those that SQL can't state (look-ahead patterns, seeded shuffles, iterations) have none."""
+
+from __future__ import annotations
+
+from tallyloom.functions import text as X
+from tallyloom.functions.numeric import INCOME_EDGES
+from tallyloom.operators.messages import STOP_WORDS
+from tallyloom.operators.weights import TARGET_EDGES, TARGET_SHARES
+from tallyloom.plans.sql import FEATURES
+
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+MESSAGES = "m AS (SELECT DISTINCT message_id, user_id, message, created_at, date2, date3, lang FROM messages)"
+_TS = "coalesce(" + ", ".join(f"CASE WHEN regexp_full_match(trim({c}), '\\d{{4}}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d') THEN try_strptime(trim({c}), '%Y-%m-%d %H:%M:%S') END" for c in ("created_at", "date2", "date3")) + ")"
+KEYED = f"{MESSAGES}, k0 AS (SELECT *, {_TS} AS ts FROM m), keyed AS (SELECT *, coalesce(strftime(ts, '%G_%V'), '') || ':' || user_id AS group_id FROM k0 WHERE user_id IS NOT NULL AND trim(user_id) <> '' AND message IS NOT NULL)"
+FEATURE_TABLE = (
+    FEATURES
+    + """, ft AS (
+  SELECT group_id, feat, sum(value) AS value, sum(group_norm) AS group_norm FROM (
+    SELECT DISTINCT group_id, term AS feat, feat_count AS value, feat_freq AS group_norm FROM f
+    WHERE group_id IS NOT NULL AND term IS NOT NULL AND term NOT LIKE '@%' AND ok AND feat_count > 0 AND NOT isnan(feat_count))
+  GROUP BY 1, 2)"""
+)
+LEXICON = "lw AS (SELECT term, category, max(weight) AS weight FROM lexicon WHERE term IS NOT NULL AND category IS NOT NULL AND weight IS NOT NULL GROUP BY 1, 2), ic AS (SELECT category, weight AS intercept FROM lw WHERE term = '_intercept')"
+MATCHED = """got AS (SELECT group_id, category, sum(value) AS value, sum(group_norm * weight) AS s, sum(value * weight) AS wv FROM ft JOIN lw ON ft.feat = lw.term WHERE lw.term <> '_intercept' GROUP BY 1, 2)"""
+SCORES = (
+    FEATURE_TABLE
+    + ", "
+    + LEXICON
+    + ", "
+    + MATCHED
+    + """, every AS (SELECT DISTINCT group_id, category FROM ft, ic),
+sc AS (SELECT coalesce(e.group_id, g.group_id) AS group_id, coalesce(e.category, g.category) AS category, coalesce(value, 0) AS value, coalesce(s, 0) + coalesce(ic.intercept, 0) AS score
+  FROM every e FULL JOIN got g ON e.group_id = g.group_id AND e.category = g.category LEFT JOIN ic ON ic.category = coalesce(e.category, g.category)),
+sf AS (SELECT group_id, category AS feat, value, score AS group_norm, split_part(group_id, ':', 1) AS yw FROM sc)"""
+)
+COUNTIES = "uc AS (SELECT CAST(user_id AS VARCHAR) AS entity, lpad(CAST(max(cnty) AS VARCHAR), 5, '0') AS cnty FROM user_county WHERE user_id IS NOT NULL AND cnty IS NOT NULL GROUP BY 1)"
+WEIGHTS = r"""gw AS (SELECT g AS group_id, max(weight) AS weight FROM (SELECT nullif(regexp_replace(trim(replace(user_id, '"', '')), '^(\d{4})_(\d)(:|$)', '\1_0\2\3'), '') AS g, weight FROM group_weight) WHERE g IS NOT NULL AND g NOT LIKE ':%' AND weight IS NOT NULL GROUP BY 1)"""
+ENTITY = "nullif(substr(group_id, strpos(group_id, ':') + 1), '')"
+PLACED = (
+    SCORES
+    + f""", {COUNTIES}, {WEIGHTS},
+located AS (SELECT s.*, uc.cnty, {ENTITY.replace('group_id', 's.group_id')} AS u FROM sf s JOIN uc ON uc.entity = {ENTITY.replace('group_id', 's.group_id')}),
+placed AS (SELECT l.group_id, l.u, feat, value, least(greatest(group_norm, 0), 5) AS group_norm, cnty, coalesce(gw.weight, 1) AS weight FROM located l LEFT JOIN gw ON gw.group_id = l.group_id WHERE l.group_id NOT LIKE ':%' AND value > 0)"""
+)
+WEEK = r"CASE WHEN regexp_matches(group_id, '^\d{4}_\d{2}:') THEN substr(group_id, 1, 7) END"
+MONDAY = "CAST(date_trunc('week', make_date(CAST(substr({w}, 1, 4) AS INT), 1, 4)) AS DATE) + 7 * (CAST(substr({w}, 6, 2) AS INT) - 1)"
+THURSDAY = f"({MONDAY} + 3)"
+GRAIN = {"week": WEEK, "month": "strftime(" + MONDAY.format(w=f"({WEEK})") + ", '%Y_%m')", "year": f"substr({WEEK}, 1, 4)"}
+
+
+def places(grain: str = "week") -> str:
+    return (
+        PLACED
+        + f""", pk AS (SELECT ({GRAIN[grain]}) || ':' || cnty AS key, * FROM placed),
+pl AS (SELECT key, feat, sum(value) AS sum_N_lexwords, sum(group_norm * weight) / sum(weight) AS wavg_score, avg(group_norm) AS avg_score, stddev_pop(group_norm) AS std_score,
+  sqrt(greatest(sum(group_norm * group_norm * weight) / sum(weight) - pow(sum(group_norm * weight) / sum(weight), 2), 0)) AS wstd_score,
+  count(DISTINCT u) AS N_users, split_part(key, ':', 2) AS Space, split_part(key, ':', 1) AS Time FROM pk WHERE key IS NOT NULL GROUP BY key, feat)"""
+    )
+
+
+PANEL = (
+    places()
+    + """, dim AS (SELECT lpad(CAST(fips AS VARCHAR), 5, '0') AS cnty, state_abbr, region, region_name, division FROM county_dim),
+panel AS (SELECT w.*, dim.* EXCLUDE (cnty) FROM (SELECT Space AS cnty, Time AS yw, max(wavg_score) FILTER (feat = 'DEP_SCORE') AS dep, max(wavg_score) FILTER (feat = 'ANX_SCORE') AS anx, max(wavg_score) FILTER (feat = 'ANG_SCORE') AS ang, max(N_users) AS n_users FROM pl GROUP BY 1, 2) w JOIN dim ON dim.cnty = w.cnty)"""
+)
+_PLACE_OUT = " SELECT key, feat, round(sum_N_lexwords, 6) AS sum_N_lexwords, round(wavg_score, 6) AS wavg_score, round(avg_score, 6) AS avg_score, round(std_score, 4) AS std_score, round(wstd_score, 4) AS wstd_score, N_users, Space, Time FROM pl"
+INCOMES = """inc AS (SELECT user_id, year_week AS yw, cnty, exp(8.6 + ln(weight) + (CAST(split_part(user_id, ':', -1) AS BIGINT) % 97) / 24.0) AS income
+  FROM (SELECT user_id, year_week, max(cnty) AS cnty, max(weight) AS weight FROM group_weight GROUP BY 1, 2) WHERE cnty IS NOT NULL AND weight > 0)"""
+_RAW = [f"(1 + (fips * {i + 3}) % 11)" for i in range(10)]
+CENSUS = "cen AS (SELECT lpad(CAST(fips AS VARCHAR), 5, '0') AS cnty, unnest(range(0, 10)) AS bin, unnest([" + ", ".join(f"100.0 * {r} / ({' + '.join(_RAW)})" for r in _RAW) + "]) AS pct FROM county_dim)"
+INCOME_BIN = "CASE " + " ".join(f"WHEN {{x}} < {e} THEN {i}" for i, e in enumerate(INCOME_EDGES, 1)) + " ELSE 10 END"
+
+
+def poststratified(p: str) -> str:
+    bin0 = f"{INCOME_BIN.format(x='income')} - 1"
+    return f"""WITH {INCOMES}, {CENSUS},
+b AS (SELECT *, {bin0} AS bin FROM inc), n AS (SELECT cnty, yw, bin, count(*) AS n FROM b GROUP BY 1, 2, 3), t AS (SELECT cnty, yw, count(*) AS t FROM b GROUP BY 1, 2)
+SELECT user_id, b.cnty, b.yw, round(CASE WHEN {p} > 0 THEN pct / (100 * {p}) ELSE 0 END, 6) AS weight
+FROM b JOIN n USING (cnty, yw, bin) JOIN t USING (cnty, yw) JOIN cen USING (cnty, bin)"""
+
+
+def whitespace(c: str) -> str:
+    return f"list_filter(regexp_split_to_array({c}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+
+
+def ngram_counts(source: str, group: str, tokens: str, sizes: str, lower: bool = True) -> str:
+    g = "lower(array_to_string(t[i:i + n - 1], ' '))"
+    return f"""tk AS (SELECT {group} AS group_id, {tokens} AS t FROM {source}),
+g AS (SELECT group_id, n, {g} AS feat FROM tk, (SELECT unnest([{sizes}]) AS n), unnest(range(1, len(t) + 1)) AS u(i) WHERE i + n - 1 <= len(t)),
+c AS (SELECT group_id, n, feat, CAST(count(*) AS DOUBLE) AS value FROM g GROUP BY 1, 2, 3),
+cn AS (SELECT *, value / sum(value) OVER (PARTITION BY group_id, n) AS group_norm FROM c)"""
+
+
+TOKENS = f"list_transform(regexp_extract_all(message, {quoted(X.TOKEN)}), lambda x: CASE WHEN regexp_matches(x, {quoted('(?i)' + X.EMOTICON)}) THEN x ELSE lower(x) END)"
+# as a yes-or-no question the link pattern needs no look-ahead: after a scheme, www. or a domain and a sign, a link always ends somewhere
+HAS_LINK = rf"{X.BARE_LINK}|\b(?:https?://|www\.|[a-z0-9.\-]+?\.{X.TOP_LEVEL}[^A-Za-z0-9_])"
+_STOP = {l: "len(list_filter(t, lambda x: x IN (" + ", ".join(quoted(w) for w in dict.fromkeys(ws)) + ")))" for l, ws in sorted(STOP_WORDS.items())}
+_CUM = [sum(TARGET_SHARES[: i + 1]) for i in range(len(TARGET_SHARES) - 1)]
+
+ORACLES: dict[str, str] = {
+    "message_tokens": f"WITH {MESSAGES}, t AS (SELECT message_id, {TOKENS} AS t FROM m WHERE message IS NOT NULL), e AS (SELECT unnest(t) AS token, unnest(range(0, len(t))) AS place FROM t) SELECT token, count(*) AS n, CAST(min(place) AS INT) AS first_place FROM e GROUP BY 1",
+    "whitespace_tokens": f"WITH {MESSAGES} SELECT token, count(*) AS n FROM (SELECT unnest({whitespace('message')}) AS token FROM m WHERE message IS NOT NULL) GROUP BY 1",
+    "tagged_word_tokens": f"WITH {MESSAGES} SELECT 'L' || CAST(least(length(token), 9) AS VARCHAR) AS tag, count(*) AS n FROM (SELECT unnest({whitespace('message')}) AS token FROM m WHERE message IS NOT NULL) GROUP BY 1",
+    "dependency_tokens": "SELECT token, count(*) AS n FROM (SELECT state_abbr || ' ' || region_name || ' ' || division_name AS token FROM county_dim UNION ALL SELECT 'in ' || state_name || ' ' || state_abbr FROM county_dim) GROUP BY 1",
+    "filter_shared_and_links": f"WITH {MESSAGES} SELECT message_id FROM m WHERE NOT starts_with(message, 'RT ') AND NOT regexp_matches(message, {quoted(HAS_LINK)})",
+    "iso_week_users": f"WITH {KEYED} SELECT group_id, count(*) AS n_posts FROM keyed GROUP BY 1",
+    "mixed_week_users": f"WITH {MESSAGES}, k AS (SELECT coalesce(strftime({_TS}, '%Y_%V'), '') || ':' || user_id AS group_id FROM m WHERE user_id IS NOT NULL AND trim(user_id) <> '') SELECT group_id, count(*) AS n_posts FROM k GROUP BY 1",
+    "posts_by_date": f"WITH {MESSAGES} SELECT day, count(*) AS n_posts FROM (SELECT nullif(regexp_extract(created_at, '^(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') AS day FROM m) WHERE day IS NOT NULL GROUP BY 1",
+    "posting_threshold": f"WITH {KEYED} SELECT group_id, message_id FROM keyed QUALIFY count(*) OVER (PARTITION BY group_id) >= 3",
+    "language_filter": f"""WITH {MESSAGES}, u AS (SELECT message_id, trim(message) AS x FROM m WHERE message IS NOT NULL AND NOT regexp_matches(message, '&\\w+;|&#\\d+;')),
+p AS (SELECT message_id, regexp_extract_all(lower(trim(regexp_replace(x, '(?:#|@)\\S+|https?://\\S+|www\\.\\S+', ' ', 'g'))), '[\\p{{L}}'']+') AS t FROM u WHERE x <> '' AND x <> 'NULL'),
+n AS (SELECT message_id, {", ".join(f"{c} AS {l}" for l, c in _STOP.items())} FROM p)
+SELECT message_id, 'en' AS lang, round(en / ({" + ".join(_STOP)}), 8) AS confidence FROM n WHERE en > greatest(de, 0) AND en >= greatest(es, fr, pt) AND en / ({" + ".join(_STOP)}) > 0.8""",
+    "ngrams_1": f"WITH {KEYED}, {ngram_counts('(SELECT * FROM keyed WHERE message <> '''')', 'group_id', TOKENS, '1')} SELECT group_id, feat, value, round(group_norm, 6) AS group_norm FROM cn",
+    "ngrams_1_to_3_by_source": f"WITH {ngram_counts('(SELECT * FROM documents WHERE text <> '''' AND source <> '''')', 'source', whitespace('text'), '1, 2, 3')} SELECT group_id, CAST(n AS INT) AS n, feat, value, round(group_norm, 6) AS group_norm FROM cn",
+    "ngrams_min_value": f"WITH {KEYED}, {ngram_counts('(SELECT * FROM keyed WHERE message <> '''')', 'user_id', whitespace('message'), '2')} SELECT group_id, feat, value, round(group_norm, 6) AS group_norm FROM cn WHERE value >= 3",
+    "ngrams_binary": f"WITH {KEYED}, {ngram_counts('(SELECT * FROM keyed WHERE message <> '''')', 'user_id', whitespace('message'), '1')} SELECT group_id, feat, value, 1.0::DOUBLE AS group_norm FROM cn",
+    "ngrams_whitelist": f"""WITH {KEYED}, v AS (SELECT DISTINCT term FROM lexicon WHERE term IS NOT NULL),
+tk AS (SELECT user_id AS group_id, {whitespace('lower(message)')} AS t FROM keyed WHERE message <> ''),
+p AS (SELECT group_id, t[i] AS a, t[i + 1] AS b FROM tk, unnest(range(1, len(t))) AS u(i)),
+g AS (SELECT group_id, CASE WHEN a IN (SELECT term FROM v) AND b IN (SELECT term FROM v) THEN a || ' ' || b ELSE '<oov_2gram>' END AS feat FROM p),
+c AS (SELECT group_id, feat, CAST(count(*) AS DOUBLE) AS value FROM g GROUP BY 1, 2) SELECT group_id, feat, value, round(value / sum(value) OVER (PARTITION BY group_id), 6) AS group_norm FROM c""",
+    "group_norms": f"WITH {FEATURE_TABLE} SELECT group_id, feat, value, round(value / sum(value) OVER (PARTITION BY group_id), 6) AS group_norm FROM ft",
+    "repeated_features_compat": f"WITH {FEATURES} SELECT group_id, term AS feat, feat_count AS value, feat_freq AS group_norm FROM f WHERE group_id IS NOT NULL AND term IS NOT NULL AND feat_count > 0 AND NOT isnan(feat_count) AND ok QUALIFY row_number() OVER (PARTITION BY group_id, term ORDER BY feat_count DESC, feat_freq DESC) = 1",
+    "rare_features_folded": f"""WITH {FEATURE_TABLE}, df AS (SELECT feat, count(*) AS n FROM ft GROUP BY 1), th AS (SELECT CAST(floor(0.01 * count(DISTINCT group_id)) AS BIGINT) AS t FROM ft),
+mk AS (SELECT ft.*, n < t AS rare FROM ft JOIN df USING (feat), th)
+SELECT group_id, feat, round(value, 6) AS value, round(group_norm, 6) AS group_norm FROM mk WHERE NOT rare
+UNION ALL SELECT group_id, '<OOV>', round(coalesce(sum(value) FILTER (rare), 0), 6), round(coalesce(sum(group_norm) FILTER (rare), 0), 6) FROM mk GROUP BY 1""",
+    "document_frequencies": f"WITH {FEATURE_TABLE} SELECT feat, count(*) AS n_groups FROM ft GROUP BY 1",
+    "anscombe": f"""WITH {FEATURE_TABLE}, a AS (SELECT group_id, regexp_replace(feat, '[^A-Za-z0-9_\\s]', '', 'g') AS feat, 2 * sqrt(value + 0.375) AS value FROM ft WHERE group_id >= '2020_01' AND group_id < '2021_01')
+SELECT group_id, feat, round(value, 6) AS value, round(value / sum(value) OVER (PARTITION BY group_id), 6) AS group_norm FROM a WHERE trim(feat) <> ''""",
+    "vocabulary_filter": f"WITH {FEATURE_TABLE} SELECT group_id, feat, round(value, 6) AS value FROM ft WHERE group_id NOT LIKE ':%' AND group_id NOT LIKE '%:' AND feat IN (SELECT term FROM lexicon)",
+    "lexicon_last_weights": f"WITH {LEXICON} SELECT term, category, weight FROM lw",
+    "lexicon_scores": f"WITH {SCORES} SELECT group_id, category, round(value, 6) AS value, round(score, 6) + 0.0 AS score FROM sc",
+    "lexicon_scores_matched": f"WITH {FEATURE_TABLE}, {LEXICON}, {MATCHED} SELECT group_id, got.category, round(value, 6) AS value, round(s + coalesce(intercept, 0), 6) + 0.0 AS score, round(wv, 6) + 0.0 AS weighted_value FROM got LEFT JOIN ic ON ic.category = got.category",
+    "category_counts": f"WITH {FEATURE_TABLE}, {LEXICON}, {MATCHED} SELECT group_id, category, round(value, 6) AS value FROM got",
+    "clamped_scores": f"WITH {SCORES} SELECT group_id, feat, round(least(greatest(group_norm, 0), 5), 6) AS group_norm FROM sf WHERE feat IN ('DEP_SCORE', 'ANX_SCORE', 'ANG_SCORE')",
+    "standardized_scores": f"WITH {SCORES}, c AS (SELECT group_id, feat, least(greatest(group_norm, 0), 5) AS x FROM sf) SELECT group_id, feat, round((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 6) + 0.0 AS group_norm FROM c WINDOW w AS (PARTITION BY feat)",
+    "recentered_scores": f"WITH {SCORES}, c AS (SELECT group_id, feat, least(greatest(group_norm, 0), 5) AS x FROM sf), z AS (SELECT group_id, feat, (x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0) + avg(x) OVER w AS x FROM c WINDOW w AS (PARTITION BY feat)) SELECT group_id, feat, round(CASE WHEN x IS NOT NULL THEN least(greatest(x, 0), 5) END, 6) AS group_norm FROM z",
+    "week_bounds": f"WITH {SCORES}, b AS (SELECT yw, feat, avg(group_norm) AS mean, stddev_pop(group_norm) AS sd FROM sf GROUP BY 1, 2) SELECT yw, feat, round(mean, 6) + 0.0 AS mean, round(sd, 6) + 0.0 AS sd, round(mean - 3 * sd, 6) + 0.0 AS low, round(mean + 3 * sd, 6) + 0.0 AS high FROM b",
+    "sigma_reset": f"WITH {SCORES}, b AS (SELECT *, avg(group_norm) OVER w AS mean, stddev_pop(group_norm) OVER w AS sd FROM sf WHERE yw <> '' WINDOW w AS (PARTITION BY yw, feat)) SELECT group_id, feat, round(CASE WHEN group_norm < mean - 3 * sd OR group_norm > mean + 3 * sd THEN mean ELSE group_norm END, 6) + 0.0 AS group_norm FROM b",
+    "min_max_scores": f"WITH {SCORES}, e AS (SELECT min(group_norm) AS lo, max(group_norm) AS hi FROM sf) SELECT group_id, feat, round((group_norm - lo) / (hi - lo) * 5.0 + 0.0, 3) AS group_norm FROM sf, e",
+    "with_county": f"WITH {FEATURE_TABLE}, {COUNTIES} SELECT group_id, feat, round(value, 6) AS value, cnty FROM ft JOIN uc ON uc.entity = {ENTITY}",
+    "without_county": f"WITH {FEATURE_TABLE}, {COUNTIES} SELECT group_id, feat, round(value, 6) AS value FROM ft ANTI JOIN uc ON uc.entity = {ENTITY}",
+    "with_weight": f"WITH {FEATURE_TABLE}, {WEIGHTS} SELECT group_id, feat, round(value, 6) AS value, round(coalesce(weight, 1), 6) AS weight FROM ft LEFT JOIN gw USING (group_id) WHERE group_id NOT LIKE ':%'",
+    "reweighted": f"WITH {FEATURE_TABLE}, {WEIGHTS} SELECT group_id, feat, round(value * coalesce(weight, 1), 6) AS value, round(group_norm * coalesce(weight, 1), 6) AS group_norm FROM ft LEFT JOIN gw USING (group_id)",
+    "reweighted_matched": f"WITH {FEATURE_TABLE}, {WEIGHTS} SELECT group_id, feat, round(value * weight, 6) AS value, round(group_norm * weight, 6) AS group_norm FROM ft JOIN gw USING (group_id)",
+    "not_reweighted": f"WITH {FEATURE_TABLE}, {WEIGHTS} SELECT group_id, feat, round(value, 6) AS value, round(group_norm, 6) AS group_norm FROM ft ANTI JOIN gw USING (group_id)",
+    "super_counties": f"""WITH {SCORES}, {COUNTIES}, {WEIGHTS},
+sm AS (SELECT lpad(CAST(fips AS VARCHAR), 5, '0') AS cnty, 'd' || division AS super_cnty, CASE WHEN fips % 4 = 3 THEN 0.0 WHEN fips % 2 = 1 THEN 1.0 ELSE 0.5 END AS sw FROM county_dim),
+r AS (SELECT s.*, {ENTITY.replace('group_id', 's.group_id')} AS u, uc.cnty, coalesce(gw.weight, 1) AS weight, sm.super_cnty, sm.sw FROM sf s JOIN uc ON uc.entity = {ENTITY.replace('group_id', 's.group_id')} LEFT JOIN gw ON gw.group_id = s.group_id JOIN sm ON sm.cnty = uc.cnty WHERE s.group_id NOT LIKE ':%' AND sw > 0),
+a AS (SELECT group_id, u, feat, value, group_norm, weight, cnty FROM r WHERE sw = 1
+  UNION ALL SELECT group_id, u, feat, sum(value * sw) OVER w / sum(sw) OVER w, sum(group_norm * sw) OVER w / sum(sw) OVER w, weight, super_cnty FROM r WHERE sw <> 1 WINDOW w AS (PARTITION BY yw, super_cnty, feat)),
+k AS (SELECT ({WEEK}) || ':' || cnty AS key, * FROM a)
+SELECT key, feat, round(sum(value), 6) AS sum_N_lexwords, round(sum(group_norm * weight) / sum(weight), 6) + 0.0 AS wavg_score, round(avg(group_norm), 6) + 0.0 AS avg_score, count(DISTINCT u) AS N_users FROM k WHERE key IS NOT NULL GROUP BY 1, 2""",
+    "county_weeks": f"WITH {places()}{_PLACE_OUT}",
+    "county_months": f"WITH {places('month')}{_PLACE_OUT}",
+    "county_years": f"WITH {places('year')}{_PLACE_OUT}",
+    "county_weeks_min_users": f"WITH {places()} SELECT key, feat, round(wavg_score, 6) AS wavg_score, N_users FROM pl WHERE N_users >= 3",
+    "income_bins": f"WITH {INCOMES} SELECT user_id, {INCOME_BIN.format(x='income')} AS bin, round(income, 2) AS income FROM inc",
+    "income_bin_shares": f"WITH {INCOMES}, k AS (SELECT cnty, yw, count(*) AS t FROM inc GROUP BY 1, 2), g AS (SELECT cnty, yw, t, unnest(range(0, 10)) AS bin FROM k), n AS (SELECT cnty, yw, {INCOME_BIN.format(x='income')} - 1 AS bin, count(*) AS n FROM inc GROUP BY 1, 2, 3) SELECT cnty, yw, CAST(bin AS INT) AS bin, coalesce(n, 0) AS n, round(coalesce(n, 0) / t, 6) AS share FROM g LEFT JOIN n USING (cnty, yw, bin)",
+    "income_redistributed": f"""WITH {INCOMES}, p AS (SELECT {", ".join(f"quantile_cont(income, {c!r}) AS p{i + 1}" for i, c in enumerate(_CUM))}, max(income) AS p4, ceil(max(income)) + 1 AS top FROM inc),
+r AS (SELECT user_id, round(CASE WHEN income < p1 THEN income / p1 * {TARGET_EDGES[1]} WHEN income < p2 THEN (income - p1) / (p2 - p1) * {TARGET_EDGES[2] - TARGET_EDGES[1]} + {TARGET_EDGES[1]}
+  WHEN income < p3 THEN (income - p2) / (p3 - p2) * {TARGET_EDGES[3] - TARGET_EDGES[2]} + {TARGET_EDGES[2]} WHEN income < p4 THEN (income - p3) / (p4 - p3) * (top - {TARGET_EDGES[3]}) + {TARGET_EDGES[3]} ELSE top END, 3) AS income_redist FROM inc, p)
+SELECT user_id, income_redist, {INCOME_BIN.format(x='income_redist')} AS bin FROM r""",
+    "poststratified": poststratified("((n + 10 * pct / 100) / (t + 10))"),
+    "poststratified_uninformed": poststratified("((n + 1) / (t + 10))"),
+    "counties_filled": f"WITH {COUNTIES} SELECT w.entity, year_week, coalesce(uc.cnty, w.cnty) AS cnty FROM (SELECT DISTINCT split_part(user_id, ':', -1) AS entity, year_week, cnty FROM group_weight) w LEFT JOIN uc ON uc.entity = w.entity",
+    "weekly_series": f"""WITH {places()}, e AS (SELECT min(Time) AS lo, max(Time) AS hi FROM pl WHERE feat IN ('ANX_SCORE', 'DEP_SCORE')),
+s AS (SELECT Time AS yearweek, avg(wavg_score) FILTER (feat = 'ANX_SCORE') AS aa, stddev_pop(wavg_score) FILTER (feat = 'ANX_SCORE') AS sa, avg(wavg_score) FILTER (feat = 'DEP_SCORE') AS ad, stddev_pop(wavg_score) FILTER (feat = 'DEP_SCORE') AS sd,
+  least(count(*) FILTER (feat = 'ANX_SCORE'), count(*) FILTER (feat = 'DEP_SCORE')) AS n FROM pl, e WHERE feat IN ('ANX_SCORE', 'DEP_SCORE') AND Time > lo AND Time < hi GROUP BY 1)
+SELECT yearweek, {THURSDAY.format(w='yearweek')} AS date, n, round(aa, 6) AS "avg_ANX_SCORE", round(sa, 6) AS "std_ANX_SCORE", round(ad, 6) AS "avg_DEP_SCORE", round(sd, 6) AS "std_DEP_SCORE",
+  round(sa / sqrt(nullif(n, 0)), 6) AS "se_ANX_SCORE", round(aa + sa / sqrt(nullif(n, 0)), 6) AS "up_ANX_SCORE", round(aa - sa / sqrt(nullif(n, 0)), 6) AS "down_ANX_SCORE",
+  round(sd / sqrt(nullif(n, 0)), 6) AS "se_DEP_SCORE", round(ad + sd / sqrt(nullif(n, 0)), 6) AS "up_DEP_SCORE", round(ad - sd / sqrt(nullif(n, 0)), 6) AS "down_DEP_SCORE" FROM s""",
+    "grain_means": f"""WITH {PANEL}, q AS (SELECT *, strftime({THURSDAY.format(w='yw')}, '%Y_%m') AS month, year({THURSDAY.format(w='yw')}) || '_Q' || quarter({THURSDAY.format(w='yw')}) AS quarter FROM panel)
+SELECT yw, cnty, month, quarter, region_name, state_abbr,
+  concat_ws('+', CASE WHEN grouping(yw) = 0 THEN 'yw' END, CASE WHEN grouping(cnty) = 0 THEN 'cnty' END, CASE WHEN grouping(month) = 0 THEN 'month' END, CASE WHEN grouping(quarter) = 0 THEN 'quarter' END, CASE WHEN grouping(region_name) = 0 THEN 'region_name' END, CASE WHEN grouping(state_abbr) = 0 THEN 'state_abbr' END) AS grain,
+  count(dep) AS n, round(avg(dep), 6) AS mean FROM q GROUP BY GROUPING SETS ((yw), (cnty), (month), (quarter), (region_name), (region_name, quarter), (state_abbr), ())""",
+    "means_and_errors": f"WITH {PANEL} SELECT division, yw, count(anx) AS n, round(avg(anx), 6) AS mean, round(stddev_samp(anx) / sqrt(nullif(count(anx), 0)), 6) AS sem FROM panel GROUP BY 1, 2",
+    "year_over_year": f"""WITH {PANEL}, y AS (SELECT cnty, split_part(yw, '_', 1) AS y, split_part(yw, '_', 2) AS week_no, dep FROM panel),
+p AS (SELECT a.cnty, a.week_no, a.dep AS later, b.dep AS earlier FROM y a JOIN y b ON a.cnty = b.cnty AND a.week_no = b.week_no WHERE a.y = '2020' AND b.y = '2019')
+SELECT cnty, week_no, round(later, 6) AS later, round(earlier, 6) AS earlier, round(later - earlier + (SELECT avg(earlier) FROM p), 6) + 0.0 AS diff FROM p""",
+    "centered_scores": f"WITH {PANEL} SELECT cnty, yw, round(avg(dep) OVER w, 6) AS dep_mean, round(dep - avg(dep) OVER w, 6) + 0.0 AS dep_centered, round(avg(anx) OVER w, 6) AS anx_mean, round(anx - avg(anx) OVER w, 6) + 0.0 AS anx_centered FROM panel WINDOW w AS (PARTITION BY cnty)",
+    "full_coverage": f"""WITH {PANEL}, q AS (SELECT division, year({MONDAY.format(w='yw')}) || '_Q' || quarter({MONDAY.format(w='yw')}) AS quarter, avg(dep) AS dep FROM panel GROUP BY 1, 2)
+SELECT division, quarter, round(dep, 6) AS dep FROM q WHERE division IN (SELECT division FROM q GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT quarter) FROM q))""",
+    "busiest_county": f"WITH {COUNTIES}, n AS (SELECT state_abbr, uc.cnty, count(*) AS n_users FROM uc JOIN county_dim ON lpad(CAST(fips AS VARCHAR), 5, '0') = uc.cnty GROUP BY 1, 2) SELECT a.state_abbr, a.cnty, a.n_users FROM n a LEFT JOIN n b ON a.state_abbr = b.state_abbr AND a.n_users < b.n_users WHERE b.cnty IS NULL",
+    "score_correlations": f"WITH {PANEL} "
+    + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, round(corr({a}, {b}), 6) AS r FROM panel" for a, b in (("dep", "anx"), ("dep", "ang"), ("dep", "n_users"), ("anx", "ang"), ("anx", "n_users"), ("ang", "n_users"))),
+    "score_correlations_by_region": f"WITH {PANEL} SELECT region_name, 'dep' AS a, 'anx' AS b, count(*) FILTER (dep IS NOT NULL AND anx IS NOT NULL) AS n, round(corr(dep, anx), 6) AS r FROM panel GROUP BY 1",
+    "melted_panel": f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT cnty, yw, '{v}' AS variable, round({v}, 6) + 0.0 AS value FROM panel" for v in ("dep", "anx", "ang")),
+    "counties_with_entries": f"WITH {PANEL} SELECT cnty, yw, n_users FROM panel QUALIFY count(*) OVER (PARTITION BY cnty) >= 10",
+    "one_region": f"WITH {places()} SELECT key, feat, round(wavg_score, 6) AS wavg_score FROM pl WHERE Space IN (SELECT lpad(CAST(fips AS VARCHAR), 5, '0') FROM county_dim WHERE region = 1)",
+    "weeks_before": f"""WITH {places()}, e AS (SELECT min(Time) AS lo, max(Time) AS hi FROM pl WHERE feat IN ('ANX_SCORE', 'DEP_SCORE')),
+s AS (SELECT Time AS yearweek, {THURSDAY.format(w='Time')} AS date, least(count(*) FILTER (feat = 'ANX_SCORE'), count(*) FILTER (feat = 'DEP_SCORE')) AS n FROM pl, e WHERE feat IN ('ANX_SCORE', 'DEP_SCORE') AND Time > lo AND Time < hi GROUP BY 1, 2)
+SELECT yearweek, date, yearweek AS again, yearweek || ':' || strftime(date, '%Y-%m-%d') AS label, n FROM s WHERE date < DATE '2020-07-01'""",
+    "panel_summary": f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, round(min({c}), 6) AS least, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS greatest FROM panel" for c in ("dep", "anx", "ang")),
+    "distinct_places": f"WITH {PANEL} SELECT count(DISTINCT cnty) AS n_counties, count(DISTINCT yw) AS n_weeks FROM panel",
+    "rolling_scores": f"WITH {PANEL} SELECT cnty, yw, round(avg(dep) OVER (PARTITION BY cnty ORDER BY yw ROWS 3 PRECEDING), 6) AS dep_rolling FROM panel",
+    "intraclass": f"""WITH {PLACED}, d AS (SELECT cnty, group_norm AS x FROM placed WHERE feat = 'DEP_SCORE'),
+e AS (SELECT cnty, count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS ss FROM d GROUP BY 1), th AS (SELECT unnest([0, 3, 10]) AS threshold),
+k AS (SELECT threshold, e.* FROM e, th WHERE n >= threshold), s AS (SELECT threshold, count(*) AS g, sum(n) AS o, sum(ss) AS ssw, sum(n * m) / sum(n) AS mean, sum(n * n) AS nn FROM k GROUP BY 1),
+b AS (SELECT k.threshold, sum(n * pow(m - mean, 2)) AS ssb FROM k JOIN s ON s.threshold = k.threshold GROUP BY 1),
+t AS (SELECT s.*, ssb / (g - 1) AS msb, ssw / (o - g) AS msw, (o - nn / o) / (g - 1) AS n0 FROM s JOIN b ON b.threshold = s.threshold),
+i AS (SELECT *, (msb - msw) / (msb + (g - 1) * msw) AS r, (msb - msw) / (msb + (n0 - 1) * msw) AS std FROM t),
+two AS (SELECT k.threshold, avg(n * r / (1 + (n - 1) * r)) AS m2, stddev_pop(n * r / (1 + (n - 1) * r)) AS s2 FROM k JOIN i ON i.threshold = k.threshold GROUP BY 1)
+SELECT i.threshold, g AS n_groups, o AS n_obs, round(o / g, 6) AS avg_n, round(msb, 6) AS ms_between, round(msw, 6) AS ms_within, round(msb / msw, 6) AS f, round(r, 6) AS icc1_ref, round(std, 6) AS icc1, round(m2, 6) AS icc2_mean, round(s2, 6) AS icc2_std FROM i JOIN two ON two.threshold = i.threshold""",
+    "regression": f"""WITH {PANEL}, s AS (SELECT regr_count(dep, anx) AS n, regr_slope(dep, anx) AS b, regr_intercept(dep, anx) AS a, regr_r2(dep, anx) AS r2, regr_sxx(dep, anx) AS sxx, regr_syy(dep, anx) AS syy, regr_sxy(dep, anx) AS sxy, regr_avgx(dep, anx) AS mx FROM panel),
+e AS (SELECT *, (syy - b * sxy) / (n - 2) AS mse FROM s)
+SELECT n, round(b, 6) AS slope, round(a, 6) AS intercept, round(r2, 6) AS r2, round(sqrt(mse / sxx), 6) AS slope_se, round(sqrt(mse * (1 / n + mx * mx / sxx)), 6) AS intercept_se, round(b / sqrt(mse / sxx), 4) AS slope_t FROM e""",
+    "written_and_read": f"WITH {SCORES} SELECT category, count(*) AS n, round(sum(score), 6) AS total FROM sc GROUP BY 1 UNION ALL SELECT category || '_matched', count(*), round(sum(score), 6) FROM sc WHERE value > 0 GROUP BY 1",
+}
