@@ -83,6 +83,10 @@ SELECT user_id, b.cnty, b.yw, round(CASE WHEN {p} > 0 THEN pct / (100 * {p}) ELS
 FROM b JOIN n USING (cnty, yw, bin) JOIN t USING (cnty, yw) JOIN cen USING (cnty, bin)"""
 
 
+SPOKEN = "(SELECT * FROM keyed WHERE message <> '')"
+WRITTEN = "(SELECT * FROM documents WHERE text <> '' AND source <> '')"
+
+
 def whitespace(c: str) -> str:
     return f"list_filter(regexp_split_to_array({c}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
 
@@ -115,10 +119,10 @@ ORACLES: dict[str, str] = {
 p AS (SELECT message_id, regexp_extract_all(lower(trim(regexp_replace(x, '(?:#|@)\\S+|https?://\\S+|www\\.\\S+', ' ', 'g'))), '[\\p{{L}}'']+') AS t FROM u WHERE x <> '' AND x <> 'NULL'),
 n AS (SELECT message_id, {", ".join(f"{c} AS {l}" for l, c in _STOP.items())} FROM p)
 SELECT message_id, 'en' AS lang, round(en / ({" + ".join(_STOP)}), 8) AS confidence FROM n WHERE en > greatest(de, 0) AND en >= greatest(es, fr, pt) AND en / ({" + ".join(_STOP)}) > 0.8""",
-    "ngrams_1": f"WITH {KEYED}, {ngram_counts('(SELECT * FROM keyed WHERE message <> '''')', 'group_id', TOKENS, '1')} SELECT group_id, feat, value, round(group_norm, 6) AS group_norm FROM cn",
-    "ngrams_1_to_3_by_source": f"WITH {ngram_counts('(SELECT * FROM documents WHERE text <> '''' AND source <> '''')', 'source', whitespace('text'), '1, 2, 3')} SELECT group_id, CAST(n AS INT) AS n, feat, value, round(group_norm, 6) AS group_norm FROM cn",
-    "ngrams_min_value": f"WITH {KEYED}, {ngram_counts('(SELECT * FROM keyed WHERE message <> '''')', 'user_id', whitespace('message'), '2')} SELECT group_id, feat, value, round(group_norm, 6) AS group_norm FROM cn WHERE value >= 3",
-    "ngrams_binary": f"WITH {KEYED}, {ngram_counts('(SELECT * FROM keyed WHERE message <> '''')', 'user_id', whitespace('message'), '1')} SELECT group_id, feat, value, 1.0::DOUBLE AS group_norm FROM cn",
+    "ngrams_1": f"WITH {KEYED}, {ngram_counts(SPOKEN, 'group_id', TOKENS, '1')} SELECT group_id, feat, value, round(group_norm, 6) AS group_norm FROM cn",
+    "ngrams_1_to_3_by_source": f"WITH {ngram_counts(WRITTEN, 'source', whitespace('text'), '1, 2, 3')} SELECT group_id, CAST(n AS INT) AS n, feat, value, round(group_norm, 6) AS group_norm FROM cn",
+    "ngrams_min_value": f"WITH {KEYED}, {ngram_counts(SPOKEN, 'user_id', whitespace('message'), '2')} SELECT group_id, feat, value, round(group_norm, 6) AS group_norm FROM cn WHERE value >= 3",
+    "ngrams_binary": f"WITH {KEYED}, {ngram_counts(SPOKEN, 'user_id', whitespace('message'), '1')} SELECT group_id, feat, value, 1.0::DOUBLE AS group_norm FROM cn",
     "ngrams_whitelist": f"""WITH {KEYED}, v AS (SELECT DISTINCT term FROM lexicon WHERE term IS NOT NULL),
 tk AS (SELECT user_id AS group_id, {whitespace('lower(message)')} AS t FROM keyed WHERE message <> ''),
 p AS (SELECT group_id, t[i] AS a, t[i + 1] AS b FROM tk, unnest(range(1, len(t))) AS u(i)),
