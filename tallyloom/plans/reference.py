@@ -24,9 +24,9 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def r6(c: str | Column, name: str | None = None) -> Column:
-    """Rounded to six places; -0.0 as 0.0."""
+    """Rounded to six places, first to ten, so that sums that differ in their last bit round alike; -0.0 as 0.0."""
     col = F.col(c) if isinstance(c, str) else c
-    return (F.round(col, 6) + 0.0).alias(name or c)
+    return (F.round(F.round(col, 10), 6) + 0.0).alias(name or c)
 
 
 def distinct_messages(s: SparkSession, d: str) -> DataFrame:
