@@ -12,8 +12,10 @@ from tallyloom.functions import numeric as N
 from tallyloom.functions import text as X
 from tallyloom.operators import features as FT
 from tallyloom.operators import geo, lexicon, messages, ngrams, stats, trends, weights
+from tallyloom.plans import pipeline
 from tallyloom.plans.tables import clean_features, table
-from tallyloom.storage import materialize
+from tallyloom.storage import materialize, new_path
+from tallyloom.streaming import counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -594,3 +596,20 @@ def written_and_read(s, d):
     """Scores written once to the shared folder and read back by two uses."""
     kept = materialize(scores(s, d), "scores")
     return kept.groupBy("category").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("score"), "total")).unionByName(kept.where("value > 0").groupBy(F.concat("category", F.lit("_matched")).alias("category")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("score"), "total")))
+
+
+@query
+def pipeline_places(s, d):
+    """All stages: messages to scored county-weeks."""
+    out = pipeline.run(distinct_messages(s, d), table(s, d, "lexicon"), table(s, d, "user_county"), table(s, d, "group_weight"), pipeline.Settings(least_posts=1))
+    return out.select("key", "feat", r6("sum_N_lexwords"), r6("wavg_score"), "N_users")
+
+
+@query
+def stream_ngrams(s, d):
+    """Weekly 1-grams of the message table read as a stream, written and read back."""
+    source = table(s, d, "messages")
+    stream = counts.with_event_time(s.readStream.schema(source.schema).parquet(f"{d}/messages.parquet*"), ["created_at", "date2", "date3"])
+    path = new_path(s, "stream")
+    counts.write_ngrams(counts.weekly_ngrams(stream, "user_id", "message", late="10 days"), f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return s.read.schema("group_id string, feat string, value long").parquet(f"{path}/table")
