@@ -75,7 +75,7 @@ def largest_per(df: DataFrame, group: str, size: str, ties: bool = True) -> Data
     """The rows with the group's greatest ``size``: all of them with ``ties``, else one. The greatest is aggregated and joined back."""
     if ties:
         top = df.groupBy(group).agg(F.max(size).alias(size))
-        return df.join(top, [group, size], "left_semi")
+        return df.join(top, [group, size], "left_semi").select(*df.columns)
     return df.groupBy(group).agg(F.max_by(F.struct(*df.columns), F.struct(size, *[c for c in df.columns if c != size])).alias("_r")).select("_r.*")
 
 
@@ -85,9 +85,12 @@ def correlations(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
     aggs = []
     for i, (a, b) in enumerate(pairs):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        aggs += [F.corr(F.when(both, F.col(a)), F.when(both, F.col(b))).alias(f"_r{i}"), F.count_if(both).alias(f"_n{i}")]
+        x, y = F.when(both, F.col(a)).cast("double"), F.when(both, F.col(b)).cast("double")
+        # corr() itself fails on a variance of 0 in ANSI mode
+        r = F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+        aggs += [r.alias(f"_r{i}"), F.count_if(both).alias(f"_n{i}")]
     wide = df.groupBy(*keys).agg(*aggs)
-    return wide.select(*keys, F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_n{i}").alias("n"), F.nanvl(F.col(f"_r{i}"), F.lit(None)).alias("r")) for i, (a, b) in enumerate(pairs)])))
+    return wide.select(*keys, F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_n{i}").alias("n"), F.col(f"_r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
 
 
 def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str = "variable", value: str = "value") -> DataFrame:

@@ -197,8 +197,8 @@ SELECT cnty, week_no, round(later, 6) AS later, round(earlier, 6) AS earlier, ro
 SELECT division, quarter, round(dep, 6) AS dep FROM q WHERE division IN (SELECT division FROM q GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT quarter) FROM q))""",
     "busiest_county": f"WITH {COUNTIES}, n AS (SELECT state_abbr, uc.cnty, count(*) AS n_users FROM uc JOIN county_dim ON lpad(CAST(fips AS VARCHAR), 5, '0') = uc.cnty GROUP BY 1, 2) SELECT a.state_abbr, a.cnty, a.n_users FROM n a LEFT JOIN n b ON a.state_abbr = b.state_abbr AND a.n_users < b.n_users WHERE b.cnty IS NULL",
     "score_correlations": f"WITH {PANEL} "
-    + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, round(corr({a}, {b}), 6) AS r FROM panel" for a, b in (("dep", "anx"), ("dep", "ang"), ("dep", "n_users"), ("anx", "ang"), ("anx", "n_users"), ("ang", "n_users"))),
-    "score_correlations_by_region": f"WITH {PANEL} SELECT region_name, 'dep' AS a, 'anx' AS b, count(*) FILTER (dep IS NOT NULL AND anx IS NOT NULL) AS n, round(corr(dep, anx), 6) AS r FROM panel GROUP BY 1",
+    + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, round(CASE WHEN count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) > 0 THEN covar_pop({a}, {b}) / nullif(stddev_pop({a}) FILTER ({b} IS NOT NULL) * stddev_pop({b}) FILTER ({a} IS NOT NULL), 0) END, 6) AS r FROM panel" for a, b in (("dep", "anx"), ("dep", "ang"), ("dep", "n_users"), ("anx", "ang"), ("anx", "n_users"), ("ang", "n_users"))),
+    "score_correlations_by_region": f"WITH {PANEL} SELECT region_name, 'dep' AS a, 'anx' AS b, count(*) FILTER (dep IS NOT NULL AND anx IS NOT NULL) AS n, round(covar_pop(dep, anx) / nullif(stddev_pop(dep) FILTER (anx IS NOT NULL) * stddev_pop(anx) FILTER (dep IS NOT NULL), 0), 6) AS r FROM panel GROUP BY 1",
     "melted_panel": f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT cnty, yw, '{v}' AS variable, round({v}, 6) + 0.0 AS value FROM panel" for v in ("dep", "anx", "ang")),
     "counties_with_entries": f"WITH {PANEL} SELECT cnty, yw, n_users FROM panel QUALIFY count(*) OVER (PARTITION BY cnty) >= 10",
     "one_region": f"WITH {places()} SELECT key, feat, round(wavg_score, 6) AS wavg_score FROM pl WHERE Space IN (SELECT lpad(CAST(fips AS VARCHAR), 5, '0') FROM county_dim WHERE region = 1)",
