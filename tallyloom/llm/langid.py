@@ -213,6 +213,8 @@ def segment_languages(df: DataFrame, model: LanguageFilter, ids: Sequence[str],
         for batch in batches:
             parts = segments_of([t if isinstance(t, str) else None for t in batch["_text"]], held.value, cache, least_words=least_words, **options)
             where = np.repeat(np.arange(len(batch)), [len(p) for p in parts])
+            if not len(where):
+                continue
             flat = [(j, *x) for p in parts for j, x in enumerate(p)]
             out = batch[list(ids)].iloc[where].reset_index(drop=True)
             for c, name in enumerate(("segment", "lang", "confidence", "n_words", "part")):
