@@ -26,8 +26,8 @@ def clean_text_value(c: Column) -> Column:
 
 def pad_week(c: Column) -> Column:
     """``2020_7`` and ``2020_7:user`` to ``2020_07``, ``2020_07:user``; other texts stay."""
-    short = (F.substring(c, 5, 1) == "_") & ((F.length(c) == 6) | (F.substring(c, 7, 1) == ":"))
-    return F.when(short, F.concat(F.substring(c, 1, 5), F.lit("0"), F.substring(c, 6, 1 << 30))).otherwise(c)
+    # c is named once: pushed-down filters on ids repeat the expression for every reference
+    return F.regexp_replace(c, r"^(?<y>\d{4})_(?<w>\d)(?=:|$)", "${y}_0${w}")
 
 
 def clean_group_id(c: Column) -> Column:
@@ -37,14 +37,12 @@ def clean_group_id(c: Column) -> Column:
 
 def group_week(group_id: Column) -> Column:
     """The week of a cleaned group id; null where it has none (``:user``) or the id has no colon."""
-    week = F.substring(group_id, 1, 7)
-    return F.when((F.substring(group_id, 8, 1) == ":") & (F.translate(week, "0123456789", "") == "_"), week)
+    return F.regexp_substr(group_id, F.lit(r"^\d{4}_\d{2}(?=:)"))
 
 
 def group_entity(group_id: Column) -> Column:
     """The part of a cleaned group id after the first colon; null if absent."""
-    at = F.instr(group_id, ":")
-    return F.when(at > 0, blank_to_null(F.substr(group_id, at + 1)))
+    return F.regexp_substr(group_id, F.lit(r"(?s)(?<=:).+"))
 
 
 def pad_county(value: Column) -> Column:

@@ -33,23 +33,26 @@ def score(features: DataFrame, weights: DataFrame, emit_intercept_only: bool = T
     ``emit_intercept_only`` every group has a row for every category with an
     intercept, value 0 if it has none of its terms. ``features`` should have one
     row per (group_id, feat); the intercept is never matched as a term.
-    The join carries only (group, category) sums over the shuffle.
+    The features are read once: those without a term end, map-side combined, in one row of their group.
     """
     terms = weights.where(F.col("term") != INTERCEPT).withColumnRenamed("term", "feat")
-    base = intercepts(weights)
-    matched = features.join(terms, "feat")
-    sums = [F.sum("value").alias("value"), F.sum(F.col("group_norm") * F.col("weight")).alias("_s")]
-    if weighted_counts:
-        sums.append(F.sum(F.col("value") * F.col("weight")).alias("weighted_value"))
-    got = matched.groupBy("group_id", "category").agg(*sums)
+    matched = F.col("category").isNotNull()
+    sums = features.join(terms, "feat", "left" if emit_intercept_only else "inner").groupBy("group_id", "category").agg(
+        F.sum(F.when(matched, F.col("value"))).alias("value"), F.sum(F.col("group_norm") * F.col("weight")).alias("s"), F.sum(F.col("value") * F.col("weight")).alias("weighted_value")
+    )
+    # a group's few categories side by side: those it has, and with intercepts all that have one
+    entry = F.struct("category", "value", "s", "weighted_value")
+    per = sums.groupBy("group_id").agg(F.collect_list(F.when(matched, entry)).alias("_own"))
+    per = per.withColumn("_base", intercepts(weights).agg(F.collect_list(F.struct("category", "intercept")).alias("b")).scalar())
+    base = F.col("_base")
+    names = F.transform("_own", lambda o: o["category"])
     if emit_intercept_only:
-        # every group with the few categories: an explode over a one-row array, not a product of tables
-        few = base.agg(F.collect_list("category").alias("c")).scalar()
-        every = features.select("group_id").distinct().select("group_id", F.explode(few).alias("category"))
-        got = got.join(every, ["group_id", "category"], "full")
-    out = got.join(base, "category", "left")
-    extra = [F.coalesce("weighted_value", F.lit(0.0)).alias("weighted_value")] if weighted_counts else []
-    return out.select("group_id", "category", F.coalesce("value", F.lit(0.0)).alias("value"), (F.coalesce("_s", F.lit(0.0)) + F.coalesce("intercept", F.lit(0.0))).alias("score"), *extra)
+        names = F.array_union(names, F.transform(base, lambda b: b["category"]))
+    out = per.select("group_id", "_own", "_base", F.explode(names).alias("category"))
+    own = F.try_element_at(F.filter("_own", lambda o: o["category"] == F.col("category")), F.lit(1))
+    intercept = F.try_element_at(F.filter(base, lambda b: b["category"] == F.col("category")), F.lit(1))["intercept"]
+    extra = [F.coalesce(own["weighted_value"], F.lit(0.0)).alias("weighted_value")] if weighted_counts else []
+    return out.select("group_id", "category", F.coalesce(own["value"], F.lit(0.0)).alias("value"), (F.coalesce(own["s"], F.lit(0.0)) + F.coalesce(intercept, F.lit(0.0))).alias("score"), *extra)
 
 
 def category_counts(features: DataFrame, weights: DataFrame) -> DataFrame:
