@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,9 +18,11 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only in local mode, where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tallyloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -27,6 +31,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
 
 
+def discard_written(spark: SparkSession) -> None:
+    """Delete all tables that materialize() and others wrote to the shared folder; results that still read them must be stored before."""
+    delete_path(spark, f"{shared_folder(spark)}/tallyloom")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a compressed table in the shared folder and read it back: its lineage is cut and survives lost executors."""
     spark = df.sparkSession
