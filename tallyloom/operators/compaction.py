@@ -44,9 +44,9 @@ def parse_rows(body: str | None, width: int, null_text: str = "NULL") -> Iterato
 
 
 def parse_files(files: DataFrame, file_id: Column, body: Column, fields: Sequence[str]) -> DataFrame:
-    """Every record of every body: file_id, then ``fields`` as STRING. Bodies that are null, empty or hold no full row give none."""
+    """Every record of every body: file_id, then ``fields`` as STRING. Bodies that are null, empty or hold no full row give none; records of a file without id have a null one."""
     names = list(fields)
-    schema = T.StructType([T.StructField("file_id", T.LongType()), *[T.StructField(n, T.StringType()) for n in names]])
+    schema = T.StructType([T.StructField("file_id", T.StringType()), *[T.StructField(n, T.StringType()) for n in names]])
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         csv.field_size_limit(1 << 30)
@@ -59,11 +59,12 @@ def parse_files(files: DataFrame, file_id: Column, body: Column, fields: Sequenc
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=names, dtype=object).assign(file_id=ids)[["file_id", *names]]
                     ids, rows = [], []
-            out = pd.DataFrame(rows, columns=names, dtype=object)
-            out.insert(0, "file_id", pd.Series(ids, dtype="int64"))
-            yield out
+            if rows:
+                yield pd.DataFrame(rows, columns=names, dtype=object).assign(file_id=ids)[["file_id", *names]]
 
-    return files.select(file_id.cast("long").alias("f"), body.alias("b")).mapInPandas(parse, schema)
+    # as text, since pandas has no integers with nulls
+    parsed = files.select(file_id.cast("string").alias("f"), body.alias("b")).mapInPandas(parse, schema)
+    return parsed.withColumn("file_id", F.col("file_id").cast("long"))
 
 
 def record_key(fields: Sequence[str]) -> list[Column]:
@@ -130,7 +131,7 @@ def consolidate(parsed: DataFrame, fields: Sequence[str], path: str | None = Non
         fs.mkdirs(to.getParent())
         fs.rename(_fs(spark, staging)[1], to)
     records = spark.read.schema(ranged.select(*fields).schema).parquet(path)
-    holders = read.select("file_id", "r1", "r2").distinct()
+    holders = read.where(F.col("file_id").isNotNull()).select("file_id", "r1", "r2").distinct()
     return Consolidated(path, records, holders, read.count(), known[0], n_files)
 
 

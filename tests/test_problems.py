@@ -142,6 +142,8 @@ def test_consolidation_and_redundant_files(spark, tmp_path):
     data = [
         (1, '1,x\n2,"y\nz"\n'), (2, '7\t"1","x"\r\n'), (3, "1,x\n"), (4, '"2","y\nz"\n1,x\n'), (5, ""), (6, None), (7, "only,one,too\n"), (8, "1,NULL\n1,x\n2,\"y\nz\"\n"), (9, "9,9\n9,9\n"), (10, "9,9"),
     ]
+    got = compaction.consolidate(bodies(spark, [*data, (None, "9,9"), ((1 << 60) + 1, "2,only here")]), FIELDS, str(tmp_path / "first"))
+    assert got.n_records == 5 and {r.file_id for r in got.holders.collect()} >= {1, (1 << 60) + 1} and got.holders.where("file_id is null").count() == 0
     got = compaction.consolidate(bodies(spark, data), FIELDS, str(tmp_path / "out"))
     assert sorted(map(tuple, got.records.collect()), key=str) == sorted([("1", "x"), ("2", "y\nz"), ("1", None), ("9", "9")], key=str)
     assert got.n_in == 12 and got.n_records == 4
