@@ -242,12 +242,12 @@ def find_leaks(documents: DataFrame, doc_id: Column, text: Column, items: DataFr
     The items are the build side, in blocks of ``block`` so that a broadcast
     table is of bounded size however many there are; the documents are the
     probe side, whole texts, not shuffled. Repeated documents give a row each;
-    null, empty and short texts none. Extra columns don't matter.
+    null, empty and short texts and documents without id none. Extra columns don't matter.
     """
     limits = limits or Limits()
     spark = documents.sparkSession
     rows = [(r[0], r[1]) for r in items.select(item_id.cast("long"), item_text).where(item_text.isNotNull() & item_id.isNotNull()).orderBy(item_id).collect()]
-    probe = documents.select(doc_id.cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").isNotNull())
+    probe = documents.select(doc_id.cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     schema = "doc_id long, item_id long, share double, slot_agreement double, stretches int, kind string"
     result = None
     for start in range(0, max(1, len(rows)), block):

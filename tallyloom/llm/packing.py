@@ -28,7 +28,7 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 
 def token_counts(df: DataFrame, doc_id: Column, text: Column, ranks_file: str) -> DataFrame:
-    """doc_id, tokens: the length of every text under the byte-level BPE whose ranks are in ``ranks_file``; null and empty texts have 0."""
+    """doc_id, tokens: the length of every text under the byte-level BPE whose ranks are in ``ranks_file``; null and empty texts have 0. Documents without id are left out."""
     with open(ranks_file, "rb") as f:
         held = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, of fixed size
 
@@ -41,7 +41,8 @@ def token_counts(df: DataFrame, doc_id: Column, text: Column, ranks_file: str) -
             n = [len(encoding.encode_ordinary(t)) if isinstance(t, str) and t else 0 for t in batch["t"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": np.array(n, np.int64)})
 
-    return df.select(doc_id.cast("long").alias("doc_id"), text.alias("t")).mapInPandas(run, "doc_id long, tokens long")
+    rows = df.select(doc_id.cast("long").alias("doc_id"), text.alias("t")).where(F.col("doc_id").isNotNull())
+    return rows.mapInPandas(run, "doc_id long, tokens long")
 
 
 def sum_of_squares(sizes: Sequence[int], capacity: int) -> np.ndarray:
@@ -112,13 +113,13 @@ def pack_documents(sizes: DataFrame, targets: DataFrame, per_packer: int = PER_P
     """Pieces and their containers: target_id, container, doc_id, part, first_token, tokens.
 
     ``sizes`` has doc_id and tokens (at least 0; documents of 0 tokens or null take no place), ``targets`` target_id and capacity_tokens (a small
-    table; null or non-positive capacities are passed over). Only a document
+    table; repeated rows are packed each; null or non-positive capacities are passed over). Only a document
     longer than a capacity is divided: into full containers of its own and one
     rest, which is packed like a whole document. Documents are dealt to
     packers by hash, so that none has more than about ``per_packer`` of
     them; each packer works alone and its containers are named ``target-packer-number``, those of full parts ``target-doc-part``.
     """
-    sizes = materialize(sizes.where(F.col("tokens") > 0), "sizes")
+    sizes = materialize(sizes.where((F.col("tokens") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "tokens"), "sizes")
     packers = max(1, math.ceil(sizes.count() / per_packer))
     wanted = [(int(r[0]), int(r[1])) for r in targets.select("target_id", "capacity_tokens").where("capacity_tokens > 0").collect()]
     if not wanted:

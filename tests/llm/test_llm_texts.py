@@ -91,7 +91,7 @@ def test_leaks(spark):
     rng = random.Random(1)
     altered = " ".join(rng.choice(["so", "week", "two"]) if i % 9 == 4 else w for i, w in enumerate(words))
     halves = " ".join(words[:22]) + " " + FILL + " ".join(words[22:])
-    docs = [(1, FILL + ITEM + FILL), (2, FILL + altered), (3, halves), (4, FILL + " ".join(words[:12])), (5, FILL * 30), (6, FILL + " ".join(words[8:36]).upper()), (7, ""), (8, None), (9, ITEM), (9, ITEM), (10, "<p>" + ITEM.replace(" ", "&nbsp;") + "</p>"), (11, ITEM.replace("nineteen", "19").replace("Seven", "7"))]
+    docs = [(1, FILL + ITEM + FILL), (2, FILL + altered), (3, halves), (4, FILL + " ".join(words[:12])), (5, FILL * 30), (6, FILL + " ".join(words[8:36]).upper()), (7, ""), (8, None), (None, ITEM), (9, ITEM), (9, ITEM), (10, "<p>" + ITEM.replace(" ", "&nbsp;") + "</p>"), (11, ITEM.replace("nineteen", "19").replace("Seven", "7"))]
     got = leaks(spark, docs)
     assert {k for k, r in got.items() if r.kind == "copy"} == {(d, 1) for d in (1, 2, 3, 6, 9, 10, 11)}
     assert got[3, 1].stretches == 2 and got[1, 1].share == 1.0
@@ -204,7 +204,8 @@ def test_pack_documents(spark):
 
 
 def test_token_counts(spark):
-    df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|>")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|>"), (None, "x")], "doc_id long, text string")
+    assert packing.token_counts(df, F.col("doc_id"), F.col("text"), catalog.RANKS_FILE).count() == 4
     n = {r.doc_id: r.tokens for r in packing.token_counts(df, F.col("doc_id"), F.col("text"), catalog.RANKS_FILE).collect()}
     assert n[1] == 2 and n[2] == n[3] == 0 and n[4] > 1
 
@@ -244,10 +245,12 @@ def test_cut_texts(spark):
         else:
             data.append((i, t))
             whole.append(i)
-    data += [(1000, ""), (1001, None), (1002, "…"), (1003, "   "), (1004, "hm")]
-    df = spark.createDataFrame([(i, t, f"s{i % 3}" if i % 7 else None) for i, t in data], "doc_id long, text string, source string").withColumns({"ends": F.lit(0), "ctx": F.lit(1), "n_chars": F.lit("x")})
+    data += [(1000, ""), (1001, None), (1002, "…"), (1003, "   "), (1004, "hm"), (None, "no id")]
+    df = spark.createDataFrame([(i, t, f"s{i % 3}" if i and i % 7 else None) for i, t in data], "doc_id long, text string, source string").withColumns({"ends": F.lit(0), "ctx": F.lit(1), "n_chars": F.lit("x")})
     got = {r.doc_id: r for r in truncation.judge_texts(df, F.col("doc_id"), F.col("text"), F.col("source")).collect()}
     assert set(got) >= set(cut) | set(whole) and not {1000, 1001, 1003} & set(got)
+    repeated = truncation.judge_texts(df.unionByName(df.where("doc_id < 50")), F.col("doc_id"), F.col("text"), F.col("source"))
+    assert repeated.count() == len(got) + 50 and repeated.where("cut").select("doc_id").distinct().count() >= len(cut) - 3
     found = {d for d, r in got.items() if r.cut and d < 1000}
     assert len(found & set(cut)) >= 0.97 * len(cut) and len(found - set(cut)) <= 0.02 * len(whole)
     shares = {r.source: r for r in truncation.cut_shares(truncation.judge_texts(df, F.col("doc_id"), F.col("text"), F.col("source"))).collect()}
