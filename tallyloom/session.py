@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: What the plans rely on; a cluster's own settings take precedence over these.
@@ -25,3 +29,17 @@ def local_session(cores: int | str = "*", app: str = "tallyloom", **extra: str)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once a session; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tallyloom_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="tallyloom-code-")) / "tallyloom.zip"  # served to the executors by the driver
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    context.addPyFile(str(archive))
+    context._tallyloom_shipped = True
