@@ -259,7 +259,7 @@ def test_cut_texts(spark):
 
 
 def test_copies_decide(spark):
-    """A near-copy that goes on shows where a text was cut, even if its last words could end a sentence."""
+    """A near-copy that goes on shows where a text was cut."""
     base = " ".join(SENTENCES[:10])
     long = base + " The coach asked about the rent all week and then went home to sleep."
     cut = base + " The coach asked about the rent all week"
@@ -268,6 +268,8 @@ def test_copies_decide(spark):
     closing = truncation.closing_contexts(df).cache()
     got = {r.doc_id: r.ends for r in truncation.copy_evidence(df, closing).collect()}
     assert got == {2: "inside", 3: "between"}
+    appended = spark.createDataFrame([(1, short), (2, short + " #tag #more #words")], "doc_id long, text string")
+    assert {r.ends for r in truncation.copy_evidence(appended, truncation.closing_contexts(appended).cache()).collect()} == {"between"}
 
 
 def test_minhash_recall_against_brute_force(spark):
