@@ -118,6 +118,11 @@ ORACLES: dict[str, str] = {
     "iso_week_users": f"WITH {KEYED} SELECT group_id, count(*) AS n_posts FROM keyed GROUP BY 1",
     "mixed_week_users": f"WITH {MESSAGES}, k AS (SELECT coalesce(strftime({_TS}, '%Y_%V'), '') || ':' || user_id AS group_id FROM m WHERE user_id IS NOT NULL AND trim(user_id) <> '') SELECT group_id, count(*) AS n_posts FROM k GROUP BY 1",
     "posts_by_date": f"WITH {MESSAGES} SELECT day, count(*) AS n_posts FROM (SELECT nullif(regexp_extract(created_at, '^(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') AS day FROM m) WHERE day IS NOT NULL GROUP BY 1",
+    "unpadded_week_users": f"""WITH {MESSAGES}, x AS (SELECT user_id, regexp_extract(created_at, '^(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) AS x FROM m WHERE user_id IS NOT NULL), d AS (SELECT user_id, try_strptime(x, '%Y-%m-%d') AS d FROM x WHERE x <> ''),
+w AS (SELECT user_id, d, CAST(floor((dayofyear(d) - 1 + dayofweek(date_trunc('year', d))) / 7) AS INT) + 1 AS w, d + to_days(CAST(6 - dayofweek(d) AS INT)) >= date_trunc('year', d) + INTERVAL 1 YEAR AS rolls FROM d)
+SELECT CASE WHEN d IS NULL THEN user_id ELSE year(d) || '_' || CASE WHEN rolls THEN 1 ELSE w END || ':' || user_id END AS group_id, count(*) AS n_posts FROM w GROUP BY 1""",
+    "shrunk_messages": f"WITH {MESSAGES}, a AS (SELECT message_id, regexp_replace(regexp_replace(message, '\\s\\s+', ' ', 'g'), '\\.{{5,}}', '....', 'g') AS x FROM m WHERE message IS NOT NULL) SELECT message_id, regexp_replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '\\s*\\n\\s*', ' <NEWLINE> ', 'g') AS message FROM a",
+    "decoded_messages": f"WITH {MESSAGES} SELECT message_id, regexp_replace({DECODED}, '\\\\x[0-9a-z]{{1,4}}', ' ', 'g') AS message FROM m WHERE message IS NOT NULL",
     "posting_threshold": f"WITH {KEYED} SELECT group_id, message_id FROM keyed QUALIFY count(*) OVER (PARTITION BY group_id) >= 3",
     "language_filter": f"""WITH {MESSAGES}, u AS (SELECT message_id, trim({DECODED}) AS x FROM m WHERE message IS NOT NULL),
 p AS (SELECT message_id, regexp_extract_all(lower(trim(regexp_replace(x, '(?:#|@)\\S+|https?://\\S+|www\\.\\S+', ' ', 'g'))), '[\\p{{L}}'']+') AS t FROM u WHERE x <> '' AND x <> 'NULL'),
