@@ -89,7 +89,7 @@ def test_poststratification(spark):
 
 
 def test_collapse_rules():
-    assert weights.collapse([1, 5, 1, 9], [0, 1, 2, 3, 4], 3) == ([6, 10], [0, 2, 4]) or weights.collapse([1, 5, 1, 9], [0, 1, 2, 3, 4], 3)[0] in ([6, 1 + 9], [7, 9])
+    assert weights.collapse([1, 5, 1, 9], [0, 1, 2, 3, 4], 3) == ([7, 9], [0, 3, 4])  # the first of equal ones, then the smaller neighbour
     assert weights.collapse([4, 1, 4], [0, 1, 2, 3], 2) == ([4, 5], [0, 1, 3])  # both neighbours equal: the right one
     assert weights.collapse([4, 3, 1], [0, 1, 2, 3], 2) == ([4, 4], [0, 1, 3])
     assert weights.collapse([0, 0], [0, 1, 2], 1) == ([0], [0, 2])
@@ -233,7 +233,7 @@ def test_sources(spark, tmp_path):
         S.write_csv(df, str(tmp_path / "m"))
     (tmp_path / "lines.csv").write_text('7\t"1","u","it is \\"so\\"","a","b",NULL\nbroken\n')
     got = S.read_repaired_lines(spark, str(tmp_path / "lines.csv"), S.MESSAGES.names)
-    assert [r.message for r in got.collect()] == ['it is "so"'] or got.count() == 1
+    assert [r.message for r in got.collect()] == ['it is "so"']
     (tmp_path / "lex.csv").write_text("term,category,weight\nsad,DEP,1.5\nbad,DEP,x\n")
     assert S.read_lexicon(spark, "lex", str(tmp_path)).where("weight is not null").count() == 1
     (tmp_path / "w.txt").write_text("b\na\n\nb\n")
