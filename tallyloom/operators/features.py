@@ -12,6 +12,8 @@ from tallyloom.functions import numeric as N
 from tallyloom.functions import text as X
 from tallyloom.functions.cleaning import clean_group_id, clean_number, clean_text_value
 from tallyloom.operators.ngrams import with_group_norm
+from tallyloom.operators.selection import interpolated_percentiles, value_counts
+from tallyloom.storage import materialize
 
 OOV = "<OOV>"
 
@@ -121,6 +123,7 @@ def summarize(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> D
     """One row a column: name, n, mean, sd (sample), least, quartiles (interpolated), greatest."""
     named = columns.items() if isinstance(columns, Mapping) else [(c, F.col(c)) for c in columns]
     long = df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("x")) for n, c in named])))
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy("name").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("least"), q.alias("q"), F.max("x").alias("greatest"))
-    return out.select("name", "n", "mean", "sd", "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "greatest")
+    out = long.groupBy("name").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("least"), F.max("x").alias("greatest"))
+    q = interpolated_percentiles(materialize(value_counts(long, ["name"], "x"), "values"), ["name"], (0.25, 0.5, 0.75))
+    wide = q.groupBy("name").agg(*[F.max(F.when(F.col("q") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    return out.join(wide, "name", "left").select("name", "n", "mean", "sd", "least", "q25", "q50", "q75", "greatest")

@@ -10,9 +10,9 @@ these two are equal. No task or driver ever holds a key's values.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.cleaning import finite
@@ -33,11 +33,11 @@ def merge_counts(*parts: DataFrame) -> DataFrame:
     return whole.groupBy(*keys, "v").agg(F.sum("n").alias("n"))
 
 
-def refine_ranks(counts: DataFrame, keys: Sequence[str], quantiles: Sequence[float], cells: int = 256, max_passes: int = 64, tolerance: float = 0.0) -> DataFrame:
+def refine_ranks(counts: DataFrame, keys: Sequence[str], quantiles: Sequence[float], cells: int = 256, max_passes: int = 64, tolerance: float = 0.0, rank_of: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Quantiles per key from ``value_counts``: keys, q, n_rows, lo, hi; the quantile lies in [lo, hi].
 
     The q-quantile is the smallest value with at least ``ceil(q * n)`` values
-    not above it (the least value for q = 0). With ``tolerance`` 0 every rank
+    not above it (the least value for q = 0); ``rank_of`` may give another rank for q and the number of values. With ``tolerance`` 0 every rank
     is narrowed until lo = hi, which is exact; otherwise until
     ``hi - lo <= tolerance``. Keys without values are absent; an empty table gives an empty one.
     Null keys form a key of their own. ``counts`` should be a written table, as each pass reads it.
@@ -47,7 +47,8 @@ def refine_ranks(counts: DataFrame, keys: Sequence[str], quantiles: Sequence[flo
         raise ValueError("cells must be at least 2")
     first = counts.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     qs = F.array(*[F.struct(F.lit(float(q)).alias("q")) for q in quantiles])
-    rank = F.greatest(F.lit(1).cast("long"), F.ceil(F.round(F.col("q") * F.col("n_rows"), 6)).cast("long"))
+    rank = rank_of(F.col("q"), F.col("n_rows")) if rank_of else F.ceil(F.round(F.col("q") * F.col("n_rows"), 6))
+    rank = F.greatest(F.lit(1).cast("long"), F.least(F.col("n_rows"), rank.cast("long")))
     state = materialize(first.select(*keys, "n_rows", "lo", "hi", F.inline(qs)).withColumn("rank", rank), "ranks")
     is_open = (F.col("hi") - F.col("lo")) > tolerance
     done = state.where(~is_open)
@@ -55,9 +56,9 @@ def refine_ranks(counts: DataFrame, keys: Sequence[str], quantiles: Sequence[flo
         opened = state.where(is_open)
         if opened.isEmpty():
             break
-        packed = opened.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.hash(*keys).alias("_h")).agg(F.collect_list(F.struct("q", "n_rows", "lo", "hi", "rank")).alias("open"))  # at most one entry a quantile
+        packed = opened.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], _hash_of(keys).alias("_h")).agg(F.collect_list(F.struct("q", "n_rows", "lo", "hi", "rank")).alias("open"))  # at most one entry a quantile
         packed = materialize(packed, "open-ranks")
-        data = counts.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "v", "n", F.hash(*keys).alias("_h"))
+        data = counts.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "v", "n", _hash_of(keys).alias("_h"))
         joined = _join_null_safe(data, packed, len(keys))
         hit = joined.select(*[f"k{i}" for i in range(len(keys))], "v", "n", F.inline(F.filter("open", lambda s: (F.col("v") >= s["lo"]) & (F.col("v") <= s["hi"]))))
         # halves, so that hi - lo can't overflow
@@ -78,6 +79,24 @@ def refine_ranks(counts: DataFrame, keys: Sequence[str], quantiles: Sequence[flo
     return done.select(*keys, "q", "n_rows", "lo", "hi")
 
 
+def interpolated_percentiles(counts: DataFrame, keys: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
+    """Percentiles by linear interpolation between the two ranks around q * (n - 1): keys, q, value. Exact, and like ``refine_ranks`` without a place that holds all values."""
+    upper = 2.0  # marks the rank above
+    rank = lambda q, n: F.when(q >= upper, F.floor((q - upper) * (n - 1)) + 2).otherwise(F.floor(q * (n - 1)) + 1)
+    found = refine_ranks(counts, keys, [*quantiles, *[float(q) + upper for q in quantiles]], rank_of=rank)
+    exact = F.element_at(F.array(*[F.lit(float(q)) for q in quantiles]), F.col("_i"))
+    which = F.array_position(F.array(*[F.lit(float(q)) for q in quantiles]), F.col("q"))
+    which_upper = F.array_position(F.array(*[F.lit(float(q) + upper) for q in quantiles]), F.col("q"))
+    sided = found.withColumn("_i", F.greatest(which, which_upper).cast("int")).withColumn("_up", which_upper > 0)
+    pair = sided.groupBy(*keys, "_i", "n_rows").agg(F.max(F.when(~F.col("_up"), F.col("lo"))).alias("a"), F.max(F.when(F.col("_up"), F.col("lo"))).alias("b"))
+    at = exact * (F.col("n_rows") - 1)
+    return pair.select(*keys, exact.alias("q"), (F.col("a") + (at - F.floor(at)) * (F.col("b") - F.col("a"))).alias("value"))
+
+
+def _hash_of(keys: Sequence[str]) -> Column:
+    return F.hash(*keys) if keys else F.lit(0)
+
+
 def _join_null_safe(data: DataFrame, packed: DataFrame, n: int) -> DataFrame:
     """Join on a hash of the keys and on the keys themselves, nulls being equal; the small side is broadcast within its size bound."""
     joined = join_checked(data, packed, ["_h"], "inner")

@@ -70,6 +70,27 @@ def reliability(df: DataFrame, group: str, value: str, measure: str = "d", n_per
     return out.withColumn("reliable", F.coalesce(F.col("effect") + 1.96 * F.col("effect_se") < RELIABLE, F.lit(False))).withColumnRenamed("g", group)
 
 
+def reliability_hashed(df: DataFrame, group: str, value: str, id_: str, n_perms: int = 30, least: int = 3) -> DataFrame:
+    """Split-half d like ``reliability`` for groups of any size: halves by a hash of the row's id and the split's number.
+
+    group, n, effect, effect_se, reliable. Everything is sums that are combined
+    on the map side; no group is held anywhere. A split with an empty half is left out.
+    """
+    rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.col(id_).alias("i"))
+    aggs = [F.count(F.lit(1)).alias("n"), F.stddev_pop("v").alias("sd"), F.sum("v").alias("s")]
+    for p in range(n_perms):
+        first = F.pmod(F.xxhash64("i", F.lit(SEED * 1000 + p)), F.lit(2)) == 0
+        aggs += [F.count_if(first).alias(f"n{p}"), F.sum(F.when(first, F.col("v"))).alias(f"s{p}")]
+    s = rows.groupBy("g").agg(*aggs)
+    some = lambda c: F.nullif(c.cast("double"), F.lit(0.0))
+    d = F.array(*[F.abs(F.col(f"s{p}") / some(F.col(f"n{p}")) - (F.col("s") - F.col(f"s{p}")) / some(F.col("n") - F.col(f"n{p}"))) / some(F.col("sd")) for p in range(n_perms)])
+    kept = s.select("g", "n", F.when((F.col("n") >= least) & (F.col("sd") > 0), F.filter(d, lambda x: x.isNotNull())).alias("d"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    size = some(F.size("d"))
+    out = kept.withColumn("effect", total("d") / size).withColumn("effect_se", F.sqrt(F.aggregate("d", F.lit(0.0), lambda a, x: a + F.pow(x - F.col("effect"), 2)) / size) / F.sqrt(size))
+    return out.select(F.col("g").alias(group), "n", "effect", "effect_se", effect(F.col("effect"), F.col("effect_se")).alias("reliable"))
+
+
 def beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
     tiny = 1e-300

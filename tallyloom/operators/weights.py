@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numeric as N
+from tallyloom.operators.selection import interpolated_percentiles, value_counts
+from tallyloom.storage import materialize
 
 #: Edges and shares of the target income distribution.
 TARGET_EDGES = (0.0, 30_000.0, 50_000.0, 75_000.0)
@@ -132,23 +135,25 @@ def redistribute_incomes(users: DataFrame, income: str = "income", edges: Sequen
     Source edges are 0 and the exact percentiles at the cumulated shares (linear interpolation); every
     source bin is mapped linearly onto its target bin, the last of which ends at
     one above the greatest income rounded up. Incomes below 0 and the greatest income itself are in no bin: null, or
-    with ``repair_top`` the greatest gets the last target edge. The percentiles come from one aggregate.
+    with ``repair_top`` the greatest gets the last target edge. The percentiles are selected by refining histograms; only one number a bin comes to the driver.
     """
     cum = np.cumsum(shares)
     at = [*map(float, cum[:-1]), 1.0]
-    stats = users.agg(F.percentile(F.col(income), F.array(*[F.lit(float(a)) for a in at])).alias("p"), (F.ceil(F.max(income)) + 1).cast("double").alias("top"))
-    # one row of as many numbers as there are bins
+    found = interpolated_percentiles(materialize(value_counts(users, [], income), "incomes"), [], at).collect()  # one number a bin
+    p = [v for _, v in sorted((r.q, r.value) for r in found)]
     x = F.col(income)
-    joined = users.join(F.broadcast(stats.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
     out = F.lit(None).cast("double")
+    if not p:
+        return users.withColumn("income_redist", out)
+    top = float(math.ceil(p[-1]) + 1)
     for b in range(len(shares) - 1, -1, -1):
-        low = F.lit(0.0) if b == 0 else F.col("p")[b - 1]
-        high = F.col("p")[b]
-        to_high = F.col("top") if b == len(shares) - 1 else F.lit(edges[b + 1])
+        low = F.lit(0.0 if b == 0 else p[b - 1])
+        high = F.lit(p[b])
+        to_high = F.lit(top if b == len(shares) - 1 else edges[b + 1])
         out = F.when((x >= low) & (x < high), N.rescale(x, low, high, F.lit(edges[b]), to_high)).otherwise(out)
     if repair_top:
-        out = F.when(x == F.col("p")[len(shares) - 1], F.col("top")).otherwise(out)
-    return joined.withColumn("income_redist", out).drop("p", "top", "_one")
+        out = F.when(x == p[-1], F.lit(top)).otherwise(out)
+    return users.withColumn("income_redist", out)
 
 
 def fill_from(target: DataFrame, source: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -541,6 +541,11 @@ def reliability_d(s, d):
     return stats.reliability(placed_scores(s, d).where("feat = 'DEP_SCORE'").withColumn("key", geo.grain_key("month")), "key", "group_norm")
 
 
+@query
+def reliability_hashed(s, d):
+    return stats.reliability_hashed(placed_scores(s, d).where("feat = 'DEP_SCORE'").withColumn("key", geo.grain_key("month")), "key", "group_norm", "group_id")
+
+
 @query
 def reliability_h(s, d):
     share = placed_scores(s, d).where("feat = 'DEP_SCORE'").withColumns({"key": geo.grain_key("month"), "high": (F.col("group_norm") > 2.5).cast("double")})

@@ -243,3 +243,18 @@ def test_sources(spark, tmp_path):
         S.compute_once(spark, str(tmp_path / "memo"), lambda: calls.append(1) or df)
     assert calls == [1]
     assert S.lineage_name("feat.1gram.upts", "score", "dd") == "feat.dd.upts" and S.lineage_name("x", "county") == "x.cnty"
+
+
+def test_hashed_reliability(spark):
+    rng = np.random.default_rng(3)
+    data = [("big", i, float(rng.normal())) for i in range(3000)] + [("flat", i, 1.0) for i in range(9)] + [("few", 1, 2.0), ("big", 9999, None)]
+    df = spark.createDataFrame(data, "g string, i long, v double")
+    out = {r.g: r for r in stats.reliability_hashed(df, "g", "v", "i").collect()}
+    assert out["big"].n == 3000 and out["big"].effect < 0.08 and out["big"].reliable
+    assert out["flat"].effect is None and out["few"].effect is None and not out["few"].reliable
+    exact = stats.reliability(df, "g", "v").where("g = 'big'").first()
+    assert abs(exact.effect - out["big"].effect) < 0.05
+
+
+def test_redistribution_of_nothing(spark):
+    assert weights.redistribute_incomes(spark.createDataFrame([], "income double")).count() == 0

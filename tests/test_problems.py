@@ -164,3 +164,19 @@ def test_redundant_files_brute_force(spark, seed):
     holders = bodies(spark, data).select("file_id", *compaction.record_key(FIELDS)).distinct()
     want = {i for i, s in sets.items() if s and any(j != i and (s < t or (s == t and j < i)) for j, t in sets.items())}
     assert {r.file_id for r in compaction.redundant_files(holders).collect()} == want
+
+
+def test_interpolated_percentiles(spark):
+    rng = np.random.default_rng(8)
+    data = [(k, float(rng.choice([1.0, 2.0, rng.normal()]))) for k in "aab" for _ in range(77)] + [("one", 5.0), (None, 1.0), (None, 4.0)]
+    df = spark.createDataFrame(data, "k string, x double")
+    got = {(r.k, r.q): r.value for r in selection.interpolated_percentiles(selection.value_counts(df, ["k"], "x").cache(), ["k"], (0.0, 0.3, 0.5, 1.0)).collect()}
+    by = defaultdict(list)
+    for k, x in data:
+        by[k].append(x)
+    assert len(got) == 4 * len(by)
+    for (k, q), v in got.items():
+        assert abs(v - np.percentile(by[k], 100 * q)) < 1e-12
+    whole = selection.interpolated_percentiles(selection.value_counts(df, [], "x").cache(), [], (0.5,)).collect()
+    assert abs(whole[0].value - np.median([x for _, x in data])) < 1e-12
+    assert selection.interpolated_percentiles(selection.value_counts(df.limit(0), [], "x").cache(), [], (0.5,)).count() == 0
