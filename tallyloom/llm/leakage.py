@@ -146,13 +146,18 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     return score, np.array(at[::-1], int), np.array(bt[::-1], int)
 
 
-def stretches(item: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The one or two best stretches, in the item's order in both texts."""
+def stretches(item: np.ndarray, doc: np.ndarray, least: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The one or two best stretches, in the item's order in both texts; the second has at least ``least`` words."""
     _, a, b = align(item, doc)
     if not len(a):
         return []
-    before = align(item[: a[0]], doc[: b[0]])
-    after = align(item[a[-1] + 1 :], doc[b[-1] + 1 :])
+
+    def rest(x: np.ndarray, y: np.ndarray):
+        enough = len(x) >= least and np.isin(x, y).sum() >= least
+        return align(x, y) if enough else (0.0, np.zeros(0, int), np.zeros(0, int))
+
+    before = rest(item[: a[0]], doc[: b[0]])
+    after = rest(item[a[-1] + 1 :], doc[b[-1] + 1 :])
     if before[0] >= after[0]:
         second = (before[1], before[2])
     else:
@@ -167,7 +172,7 @@ class Limits:
     share: float = 0.5
     density: float = 0.8
     swaps: float = 0.05
-    screen: float = 0.25
+    screen: float = 0.3
     least: int = 5
 
 
@@ -219,7 +224,9 @@ def matches(words: list[str], index: Index, limits: Limits) -> list[tuple[int, f
             good = 0
             slots = [0, 0]
             used = 0
-            for a, b in stretches(item, ids[lo:hi]):
+            # no alignment can have more equal words than there are item words in the region
+            possible = np.isin(item, ids[lo:hi]).sum() >= limits.share * len(item)
+            for a, b in stretches(item, ids[lo:hi], limits.least) if possible else ():
                 same = item[a] == ids[lo:hi][b]
                 slot = (index.template[item[a]] <= UNIT) & (types[lo:hi][b] == index.template[item[a]])
                 slots[0] += int((slot & same).sum())
