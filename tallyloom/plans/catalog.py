@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import problems, problems_sql, reference, reference_sql
+from tallyloom.plans import domain, domain_sql, problems, problems_sql
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return reference.flagship(spark, folder)
+    return domain.flagship(spark, folder)
 
 
 def queries() -> dict:
-    return reference.QUERIES | problems.queries()
+    return domain.QUERIES | problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return reference_sql.ORACLES | problems_sql.ORACLES
+    return domain_sql.ORACLES | problems_sql.ORACLES

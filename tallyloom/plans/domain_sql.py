@@ -1,4 +1,4 @@
-"""SQL of the queries in ``plans.reference``; those that SQL can't state (look-ahead patterns, seeded shuffles, iterations) have none."""
+"""SQL of the queries in ``plans.domain``; those that SQL can't state (look-ahead patterns, seeded shuffles, iterations) have none."""
 
 from __future__ import annotations
 
