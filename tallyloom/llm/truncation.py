@@ -221,47 +221,65 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 
 def copy_evidence(rows: DataFrame, closing: DataFrame) -> DataFrame:
-    """Open-ended texts with a longer near-copy: doc_id, ends (``inside`` a sentence of the copy, or ``between`` two).
-
-    In every bucket the longest text stands for the group, so links grow with
-    the texts and not with their pairs, and a bucket of any size is one row
-    of a map-side combined aggregate. Each open-ended text is compared with
-    the longest of each of its buckets: verified if at least SIMILAR of their
-    shingles are shared, then aligned by its last words.
+    """Open-ended texts with a longer near-copy: doc_id, ends (``inside`` a sentence of the copy, or ``between`` two), shown (False if the copy only ends at the same place, with other things appended).
+
+    Each distinct open-ended text is compared with every distinct text of its
+    buckets that has at least as many shingles and at most 1 / SIMILAR times
+    as many, as no others can share enough: verified if at least SIMILAR of
+    their shingles are shared, then aligned by its last words. Exact copies
+    are one text. Buckets are divided by size, a factor of 1 / SIMILAR to a
+    class, so that a text meets only its own class and the next.
     """
-    sig = materialize(signatures(rows), "signatures")
-    longest = sig.groupBy("band", "bucket").agg(F.max(F.struct("size", "doc_id")).alias("m"), F.min("size").alias("least")).where(F.col("least") < F.col("m.size"))
-    longest = materialize(longest.select("band", "bucket", F.col("m.doc_id").alias("longer"), F.col("m.size").alias("longer_size")), "longest")
-    open_ends = closing.where(F.size("ctx") > 0).select("doc_id")
-    pairs = join_checked(sig, longest, ["band", "bucket"], "inner").where("doc_id <> longer and longer_size > size").select("doc_id", "longer").distinct()
-    pairs = materialize(pairs.join(open_ends, "doc_id", "left_semi"), "pairs")
+    hashed = rows.select("doc_id", F.xxhash64("text").alias("same"), "text")
+    by_hash = hashed.select(F.col("same").alias("doc_id"), "text")
+    sig = materialize(signatures(by_hash).distinct().withColumn("class", F.floor(F.log("size") / F.log(F.lit(1 / SIMILAR)) + 1e-9).cast("int")), "signatures")
+    open_ends = materialize(hashed.select("doc_id", "same").join(closing.where(F.size("ctx") > 0).select("doc_id"), "doc_id", "left_semi"), "open")
+    probes = join_checked(sig, materialize(open_ends.select(F.col("same").alias("doc_id")).distinct(), "open_texts"), ["doc_id"], "left_semi")
+    probes = materialize(probes.withColumn("class", F.explode(F.array("class", F.col("class") + 1))), "probes")
+    longer = sig.select("band", "bucket", "class", F.col("doc_id").alias("longer"), F.col("size").alias("longer_size"))
+    pairs = join_checked(longer, probes, ["band", "bucket", "class"], "inner").where((F.col("doc_id") != F.col("longer")) & (F.col("longer_size") >= F.col("size")) & (F.col("longer_size") * SIMILAR <= F.col("size")))
+    pairs = materialize(pairs.select("doc_id", "longer").distinct(), "pairs")
     sides = materialize(pairs.select("doc_id").unionByName(pairs.select(F.col("longer").alias("doc_id"))).distinct(), "sides")
-    texts = join_checked(rows.select("doc_id", "text"), sides, ["doc_id"], "left_semi")
+    texts = materialize(join_checked(by_hash, sides, ["doc_id"], "left_semi").dropDuplicates(["doc_id"]), "texts")
     both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("longer"), F.col("text").alias("longer_text")), "longer")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
+        held: dict[int, tuple[np.ndarray, list[str]]] = {}
+
+        def parts(d: int, text: str) -> tuple[np.ndarray, list[str]]:
+            if d not in held:
+                if len(held) >= 500:
+                    held.clear()
+                held[d] = shingles_of(text, hasher), tokens_of(core_of(text))
+            return held[d]
+
         for batch in batches:
-            ids, ends = [], []
-            for d, a, b in zip(batch["doc_id"], batch["text"], batch["longer_text"]):
-                if e := align_end(a, b, hasher):
+            ids, ends, shown = [], [], []
+            for d, o, a, b in zip(batch["doc_id"], batch["longer"], batch["text"], batch["longer_text"]):
+                if e := align_end(*parts(d, a), *parts(o, b)):
                     ids.append(d)
-                    ends.append(e)
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "ends": pd.Series(ends, dtype=object)})
+                    ends.append(e[0])
+                    shown.append(e[1])
+            yield pd.DataFrame({"same": np.array(ids, np.int64), "ends": pd.Series(ends, dtype=object), "shown": np.array(shown, bool)})
 
-    found = both.select("doc_id", "text", "longer_text").mapInPandas(run, "doc_id long, ends string")
-    return found.groupBy("doc_id").agg(F.min("ends").alias("ends"))  # between < inside: one copy that shows a whole sentence is enough
+    found = both.select("doc_id", "longer", "text", "longer_text").mapInPandas(run, "same long, ends string, shown boolean")
+    # one copy that shows a whole sentence is enough; one that only ends at the same place says less than one that goes on
+    rank = F.when(F.col("shown") & (F.col("ends") == "between"), 0).when(F.col("ends") == "inside", 1).otherwise(2)
+    best = F.min(F.struct(rank.alias("rank"), "ends", "shown")).alias("best")
+    found = found.groupBy("same").agg(best).select("same", "best.*")
+    return open_ends.join(found, "same").groupBy("doc_id").agg(best).select("doc_id", "best.ends", "best.shown")
 
 
-def align_end(text: str, longer: str, hasher: Hasher) -> str | None:
-    """Where the text's end lies in a longer near-copy: ``inside`` or ``between`` sentences; None if they aren't near-copies or the end isn't found."""
-    a, b = shingles_of(text, hasher), shingles_of(longer, hasher)
+def align_end(a: np.ndarray, x: list[str], b: np.ndarray, y: list[str]) -> tuple[str, bool] | None:
+    """Where a text's end lies in a near-copy that is as long or longer: ``inside`` or ``between`` sentences, and whether the copy has more than the text; None if they aren't near-copies or the end isn't found.
+
+    a, x and b, y are shingles and core's tokens of the text and of the other.
+    """
     shared = len(np.intersect1d(a, b, assume_unique=True))
     if shared < SIMILAR * (len(a) + len(b) - shared):
         return None
-    x, y = tokens_of(core_of(text)), tokens_of(core_of(longer))
-    while x and x[-1] == "\n":
-        x.pop()
+    x = x[: next((k for k in range(len(x), 0, -1) if x[k - 1] != "\n"), 0)]
     if len(x) < 4:
         return None
     tail, last = x[-4:-1], x[-1]
@@ -273,10 +291,10 @@ def align_end(text: str, longer: str, hasher: Hasher) -> str | None:
         return None
     at = min(near)[1]
     if y[at] != last:
-        return "inside"
+        return "inside", True
     if at + 1 >= len(y):
-        return "between"  # only what was appended is longer
-    return "between" if y[at + 1] == "\n" else "inside"
+        return "between", False  # only what was appended is longer
+    return ("between" if y[at + 1] == "\n" else "inside"), True
 
 
 def source_limits(rows: DataFrame, share: float = 0.02, least: int = 20) -> DataFrame:
@@ -303,7 +321,7 @@ def judge_texts(documents: DataFrame, doc_id: Column, text: Column, source: Colu
     # a copy that goes on counts as much as a length limit: without marks between sentences it may go on with the next one
     bound = F.when(at_limit | (F.col("ends") == "inside"), CUT_BELOW_LIKELY).otherwise(CUT_BELOW)
     by_words = F.coalesce(F.col("terminality") < bound, F.lit(False))
-    cut = ~F.col("final") & F.when(F.col("ends") == "between", False).otherwise(by_words)
+    cut = ~F.col("final") & F.when((F.col("ends") == "between") & F.col("shown"), False).otherwise(by_words)
     return judged.select("doc_id", "source", "final", at_limit.alias("at_limit"), "ends", "terminality", cut.alias("cut"))
 
 

@@ -272,6 +272,34 @@ def test_copies_decide(spark):
     assert {r.ends for r in truncation.copy_evidence(appended, truncation.closing_contexts(appended).cache()).collect()} == {"between"}
 
 
+def test_copies_in_hot_groups(spark):
+    """A near-copy is found though its buckets hold many longer texts that are too long to be near-copies, and exact copies."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    data, want = [], {}
+    for g in range(12):
+        base = [word() for _ in range(100)]
+        marked = [*base[:89], base[89] + ".", *base[90:]] if g % 2 else base
+        own = [" ".join(marked) + " " + " ".join(word() for _ in range(40)) + "." for _ in range(20)]
+        data += [(1000 * g, " ".join(base[:90])), (1000 * g + 1, " ".join(marked) + ".")]
+        data += [(1000 * g + 2 + k, t) for k, t in enumerate(own * 2)]
+        data += [(1000 * g + 100, " ".join(base[:90]))]
+        want |= {1000 * g: "between" if g % 2 else "inside", 1000 * g + 100: "between" if g % 2 else "inside"}
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r.ends for r in truncation.copy_evidence(df, truncation.closing_contexts(df).cache()).collect()}
+    assert got == want
+
+
+def test_copy_cut_at_the_same_place_shows_nothing(spark):
+    """Two texts cut at one place, with other things appended, don't show each other whole; a third that goes on shows both."""
+    cut = " ".join(SENTENCES[:10]) + " The coach asked about the"
+    df = spark.createDataFrame([(1, cut), (2, cut + " #tag #more #words"), (3, cut + " rent all week.")], "doc_id long, text string")
+    got = {r.doc_id: r.ends for r in truncation.copy_evidence(df, truncation.closing_contexts(df).cache()).collect()}
+    assert got[1] == "inside"
+    judged = truncation.judge_texts(df.where("doc_id < 3").withColumn("source", F.lit("s")), F.col("doc_id"), F.col("text"), F.col("source"))
+    assert {r.doc_id for r in judged.where("cut").collect()} == {1, 2}
+
+
 def test_minhash_recall_against_brute_force(spark):
     rng = random.Random(5)
     texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(80)) for _ in range(40)]
