@@ -146,23 +146,64 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     return score, np.array(at[::-1], int), np.array(bt[::-1], int)
 
 
-def stretches(item: np.ndarray, doc: np.ndarray, least: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The one or two best stretches, in the item's order in both texts; the second has at least ``least`` words."""
+def dense_parts(item: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, density: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """An alignment (places a, b), or where too few of its words in either text are equal, its one or two dense parts, in order, with the most equal words.
+
+    Parts start and end with equal words and hold at least ``least``. Parts
+    are sought between all runs of equal words, so any gap may be left out.
+    """
+    same = item[a] == doc[b]
+    # runs of equal words that follow one another in both texts
+    at = np.flatnonzero(same)
+    if not len(at):
+        return []
+    new = np.flatnonzero((np.diff(a[at]) > 1) | (np.diff(b[at]) > 1)) + 1
+    first, last = np.r_[at[0], at[new]], np.r_[at[new - 1], at[-1]]
+    equal = np.cumsum(same)
+    n = equal[last][None, :] - equal[first][:, None] + 1  # equal words from run i to run j
+    span = a[last][None, :] - a[first][:, None] + 1
+    n = np.where((n >= np.maximum(least, density * span)) & (span > 0), n, 0)
+    if n[0, -1]:
+        return [(a, b)]
+    upto = np.maximum.accumulate(n.max(axis=0))  # most in a part that ends at run j or before
+    onward = np.maximum.accumulate(n.max(axis=1)[::-1])[::-1]
+    both = np.r_[upto[:-1] + onward[1:], upto[-1]]
+    cut = int(both.argmax())
+    found = []
+    for lo, hi in ((0, cut + 1), (cut + 1, len(first))):
+        part = n[lo:hi, lo:hi]
+        if part.size and part.max():
+            i, j = np.unravel_index(part.argmax(), part.shape)
+            x = slice(first[lo + i], last[lo + j] + 1)
+            found.append((a[x], b[x]))
+    return found
+
+
+def stretches(item: np.ndarray, doc: np.ndarray, least: int = 5, density: float = 0.8) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The one or two best stretches, in the item's order in both texts, with at least ``least`` words and ``density`` of equal ones.
+
+    The best alignment may bridge a gap between two stretches; it is then
+    divided. What lies before, between and after is searched for a second one.
+    """
     _, a, b = align(item, doc)
     if not len(a):
         return []
+    equal = lambda x: int((item[x[0]] == doc[x[1]]).sum())
 
-    def rest(x: np.ndarray, y: np.ndarray):
-        enough = len(x) >= least and np.isin(x, y).sum() >= least
-        return align(x, y) if enough else (0.0, np.zeros(0, int), np.zeros(0, int))
+    def rest(lo: int, hi: int, dlo: int, dhi: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        x, y = item[lo:hi], doc[dlo:dhi]
+        if len(x) < least or np.isin(x, y).sum() < least:
+            return []
+        _, p, q = align(x, y)
+        return dense_parts(item, doc, p + lo, q + dlo, least, density) if len(p) else []
 
-    before = rest(item[: a[0]], doc[: b[0]])
-    after = rest(item[a[-1] + 1 :], doc[b[-1] + 1 :])
-    if before[0] >= after[0]:
-        second = (before[1], before[2])
-    else:
-        second = (after[1] + a[-1] + 1, after[2] + b[-1] + 1)
-    return [(a, b)] + ([second] if len(second[0]) else [])
+    found = dense_parts(item, doc, a, b, least, density)
+    main = found or [(a, b)]
+    end = main[-1]
+    found = found + rest(0, main[0][0][0], 0, main[0][1][0]) + rest(end[0][-1] + 1, len(item), end[1][-1] + 1, len(doc))
+    for one, two in zip(main, main[1:]):
+        found += rest(one[0][-1] + 1, two[0][0], one[1][-1] + 1, two[1][0])
+    return sorted(sorted(found, key=equal, reverse=True)[:2], key=lambda x: x[0][0])
 
 
 @dataclass
@@ -226,7 +267,7 @@ def matches(words: list[str], index: Index, limits: Limits) -> list[tuple[int, f
             used = 0
             # no alignment can have more equal words than there are item words in the region
             possible = np.isin(item, ids[lo:hi]).sum() >= limits.share * len(item)
-            for a, b in stretches(item, ids[lo:hi], limits.least) if possible else ():
+            for a, b in stretches(item, ids[lo:hi], limits.least, limits.density) if possible else ():
                 same = item[a] == ids[lo:hi][b]
                 slot = (index.template[item[a]] <= UNIT) & (types[lo:hi][b] == index.template[item[a]])
                 slots[0] += int((slot & same).sum())

@@ -99,6 +99,21 @@ def test_leaks(spark):
     assert {k: (r.share, r.kind) for k, r in blocks.items() if r.kind == "copy"} == {k: (r.share, r.kind) for k, r in got.items() if r.kind == "copy"}
 
 
+@pytest.mark.parametrize("n,first,gap,second", [(66, 20, 12, 20), (66, 25, 13, 22), (90, 30, 20, 30), (66, 18, 16, 17)])
+@pytest.mark.parametrize("replaced", [True, False])
+def test_two_stretches_around_a_gap(n, first, gap, second, replaced):
+    """A gap shorter than the stretches around it, left out or replaced, doesn't lose the pair."""
+    item = [f"w{k}a" for k in range(n)]
+    index = leakage.build_index([(1, " ".join(item))])
+    other = [f"x{k}a" for k in range(gap)] if replaced else []
+    doc = ["so", *item[:first], *other, *item[first + gap : first + gap + second], "then"]
+    found = leakage.matches(doc, index, leakage.Limits())
+    assert [(m[0], m[3], m[4]) for m in found] == [(1, 2, "copy")] and found[0][1] == (first + second) / n
+    # a third stretch isn't counted
+    thirds = [*item[: n // 5], *other, *item[2 * n // 5 : 3 * n // 5], *other, *item[4 * n // 5 :]]
+    assert not any(m[4] == "copy" for m in leakage.matches(thirds, index, leakage.Limits()))
+
+
 def test_variants_are_no_copies(spark):
     got = leaks(spark, [(1, FILL + OTHER)], items=((1, ITEM),))
     assert not any(r.kind == "copy" for r in got.values())
