@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.storage import join_checked, materialize
@@ -29,6 +29,9 @@ LOG2_BITS = 25
 #: Terminality below which a text is cut; of texts at their source's length limit, or with a near-copy that goes on, where a cut is likely.
 CUT_BELOW, CUT_BELOW_LIKELY = 0.025, 0.6
 
+#: Lengths on either side that a length limit is compared with, how many times their count it has at least, and the least negative logarithm of the chance that so many texts end there.
+AROUND, EXCESS, CHANCE = 20, 4, 14
+
 _APPENDED = re.compile(
     r"""(?:\s*(?:https?://\S*|www\.\S+|[\w.-]+\.(?:example|invalid|com|org|net|io)/\S*|[#@]\w+|</?\w[^>]*>|(?:--|—)\s*\w+|<3|[:;=]['’]?-?[()DP/|]|[\U0001F000-\U0001FAFF☀-➿️‍]+|\[[^\]]{0,40}\]|\((?:more|continued|cont\.?|truncated|cut)\)|(?:read|see) more|\.\.+|…|�+))+\s*$""",
     re.I,
@@ -43,20 +46,28 @@ _STOP = np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def core_of(text: str) -> str:
-    """The text without what may have been appended after a cut.
+def core_and_lengths(text: str) -> tuple[str, list[int]]:
+    """The text without what may have been appended after a cut, and the lengths the text may have had before: with and without blanks after each part that comes off.
 
     The patterns look at the last whole words of the text, again and again until nothing more comes off.
     """
     core = text.rstrip()
+    lengths = set()
     while core:
         at = max(core.rfind(" ", 0, -TAIL), core.rfind("\n", 0, -TAIL)) + 1 if len(core) > TAIL else 0
         tail = core[at:]
         short = _BROKEN.sub("", _APPENDED.sub("", tail)).rstrip()
         if short == tail:
             break
-        core = (core[:at] + short).rstrip()
-    return core
+        before, core = core, (core[:at] + short).rstrip()
+        rest = before[len(core) :]
+        lengths |= {len(core), len(core) + len(rest) - len(rest.lstrip())}
+    return core, sorted(lengths - {0, len(text)})
+
+
+def core_of(text: str) -> str:
+    """The text without what may have been appended after a cut."""
+    return core_and_lengths(text)[0]
 
 
 def is_final(core: str) -> bool:
@@ -103,14 +114,14 @@ def contexts(h: np.ndarray, size: int = CONTEXT) -> list[np.ndarray]:
 
 
 def closing_contexts(rows: DataFrame) -> DataFrame:
-    """Of rows (doc_id, text): doc_id, final (ends with a final mark), ctx (hashes of its closing contexts, longest last; empty if final or without words)."""
+    """Of rows (doc_id, text): doc_id, final (ends with a final mark), ctx (hashes of its closing contexts, longest last; empty if final or without words), lengths (that it may have had before something was appended; empty if final)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
         for batch in batches:
-            final, ctx = [], []
+            final, ctx, lengths = [], [], []
             for t in batch["text"]:
-                core = core_of(t)
+                core, before = core_and_lengths(t)
                 done = not core or is_final(core)
                 tail = [] if done else tokens_of(core[-400:])
                 if len(core) > 400:
@@ -120,10 +131,11 @@ def closing_contexts(rows: DataFrame) -> DataFrame:
                 if not any(x.strip(",\n") for x in tail):
                     tail = []
                 final.append(done)
+                lengths.append([] if done else before)
                 ctx.append([int(c[-1]) for c in (x.view(np.int64) for x in contexts(hasher(tail))) if c[-1]] if tail else [])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "final": final, "ctx": ctx})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "final": final, "ctx": ctx, "lengths": lengths})
 
-    return rows.select("doc_id", "text").mapInPandas(run, "doc_id long, final boolean, ctx array<long>")
+    return rows.select("doc_id", "text").mapInPandas(run, "doc_id long, final boolean, ctx array<long>, lengths array<int>")
 
 
 def context_filter(ctx: DataFrame, log2_bits: int = LOG2_BITS) -> np.ndarray:
@@ -297,11 +309,39 @@ def align_end(a: np.ndarray, x: list[str], b: np.ndarray, y: list[str]) -> tuple
     return ("between" if y[at + 1] == "\n" else "inside"), True
 
 
-def source_limits(rows: DataFrame, share: float = 0.02, least: int = 20) -> DataFrame:
-    """Length limits of sources: source, cap; the greatest length of a source if at least ``share`` and ``least`` of its texts have exactly that length. A source's lengths are counted on the map side."""
-    counted = rows.groupBy("source", "n_chars").agg(F.count(F.lit(1)).alias("n"))
-    most = counted.groupBy("source").agg(F.sum("n").alias("all"), F.max(F.struct("n_chars", "n")).alias("m"))
-    return most.where((F.col("m.n") >= least) & (F.col("m.n") >= share * F.col("all"))).select("source", F.col("m.n_chars").alias("cap"))
+def far_above(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Of counts (by, length, n) those lengths whose n stands far above the AROUND lengths on either side: at least EXCESS times their mean and all but their three greatest counts, and too often for chance."""
+    near = Window.partitionBy(*by).orderBy("length").rangeBetween(-AROUND, AROUND)
+    rows = counted.withColumns({"all": F.sum("n").over(near), "ns": F.sort_array(F.collect_list("n").over(near), False)})
+    mean = (F.col("all") - F.col("n") + 1) / (2 * AROUND)
+    # the fifth greatest is the fourth of the neighbours if this length is among the greatest; lengths without texts count 0
+    fourth = F.coalesce(F.try_element_at("ns", F.lit(5)), F.lit(0))
+    chance = F.col("n") * F.log(F.col("n") / mean) - F.col("n") + mean  # of a Poisson tail: at most exp(-chance)
+    return rows.where((F.col("n") >= EXCESS * F.greatest(mean, fourth)) & (chance >= CHANCE)).select(*by, "length")
+
+
+def at_limits(rows: DataFrame, closing: DataFrame) -> DataFrame:
+    """doc_id of open-ended texts that end at a length limit of their source, now or before something was appended.
+
+    A limit is any length at which far more distinct open-ended texts end than
+    at those around it, however many texts or limits a source has: the stored
+    length first, then, for texts that have no such, the lengths before something was appended.
+    """
+    ends = rows.select("doc_id", "source", "n_chars", F.xxhash64("text").alias("same")).where(F.col("source").isNotNull())
+    ends = materialize(ends.join(closing.where(~F.col("final")).select("doc_id", "lengths"), "doc_id"), "ends")
+    by = ["source", "appended"]
+
+    def limits(each: DataFrame) -> DataFrame:
+        distinct = each.select(*by, "length", "same").distinct()
+        return far_above(distinct.groupBy(*by, "length").agg(F.count(F.lit(1)).alias("n")), by)
+
+    stored = ends.select("doc_id", "source", F.col("n_chars").alias("length"), "same").withColumn("appended", F.lit(False))
+    caps = materialize(limits(stored), "limits")
+    on = ["source", "length"]
+    now = materialize(join_checked(stored, caps, on, "left_semi").select("doc_id").distinct(), "at_limit")
+    before = join_checked(ends, now, ["doc_id"], "left_anti").select("doc_id", "source", F.explode("lengths").alias("length"), "same").withColumn("appended", F.lit(True))
+    caps = materialize(caps.select(*on).unionByName(limits(before).select(*on)).distinct(), "limits")
+    return now.unionByName(join_checked(before, caps, on, "left_semi").select("doc_id")).distinct()
 
 
 def judge_texts(documents: DataFrame, doc_id: Column, text: Column, source: Column) -> DataFrame:
@@ -315,9 +355,9 @@ def judge_texts(documents: DataFrame, doc_id: Column, text: Column, source: Colu
     bits = context_filter(closing.select(F.explode("ctx").alias("h")))
     scores = terminality(closing, context_counts(rows, bits))
     copies = copy_evidence(rows, closing)
-    limits = source_limits(rows)
-    judged = rows.select("doc_id", "source", "n_chars").join(closing.select("doc_id", "final"), "doc_id").join(scores, "doc_id", "left").join(copies, "doc_id", "left").join(F.broadcast(limits), "source", "left")
-    at_limit = F.coalesce(F.col("n_chars") == F.col("cap"), F.lit(False))
+    limited = at_limits(rows, closing).withColumn("at_limit", F.lit(True))
+    judged = rows.select("doc_id", "source").join(closing.select("doc_id", "final"), "doc_id").join(scores, "doc_id", "left").join(copies, "doc_id", "left").join(limited, "doc_id", "left")
+    at_limit = F.coalesce("at_limit", F.lit(False))
     # a copy that goes on counts as much as a length limit: without marks between sentences it may go on with the next one
     bound = F.when(at_limit | (F.col("ends") == "inside"), CUT_BELOW_LIKELY).otherwise(CUT_BELOW)
     by_words = F.coalesce(F.col("terminality") < bound, F.lit(False))

@@ -315,6 +315,41 @@ def test_copy_cut_at_the_same_place_shows_nothing(spark):
     assert {r.doc_id for r in judged.where("cut").collect()} == {1, 2}
 
 
+def test_length_limits(spark):
+    """Limits of small sources, beside longer texts, several to a source, and of texts to which something was appended; copies and common lengths are none."""
+    rng = random.Random(4)
+    data, want = [], set()
+
+    def add(source, text, limit=False):
+        data.append((len(data), text, source))
+        if limit:
+            want.add(len(data) - 1)
+
+    def open_text(n, tag=""):
+        return ("".join(rng.choice("abcdefgh ") for _ in range(n - 1)) + "x") + tag
+
+    for _ in range(6):
+        add("small", open_text(160), True)
+    for k in range(30):
+        add("small", open_text(40 + 3 * k))
+        add("other", open_text(40 + k % 7))
+        add("other", open_text(400) if k % 5 == 0 else open_text(300 + k), k % 5 == 0)
+    add("small", open_text(900))
+    add("small", open_text(160, " #tag"), True)
+    add("small", open_text(160, "…"), True)
+    copy = open_text(777)
+    for _ in range(12):
+        add("other", copy)
+    for _ in range(8):
+        add("twice", open_text(280), True)
+        add("twice", open_text(500), True)
+        add("appended", open_text(200, rng.choice(["…", " #tag", " https://lnk.example/" + "q" * rng.randint(1, 30)])), True)
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = truncation.judge_texts(df, F.col("doc_id"), F.col("text"), F.col("source"))
+    found = {r.doc_id for r in got.where("at_limit").collect()}
+    assert found == want
+
+
 def test_minhash_recall_against_brute_force(spark):
     rng = random.Random(5)
     texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(80)) for _ in range(40)]
