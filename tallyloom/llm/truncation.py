@@ -3,8 +3,8 @@
 What was appended after a cut (links, tags, emoji, marks of omission, a
 signature, broken markup or characters) is set aside first. Texts that then end with a sentence's final mark are whole.
 For the others, near-copies are found by min-hash banding, verified and
-aligned: the copy whose alignment ends early, within a sentence of the longer one, is cut.
-Without such evidence the terminality of the closing words decides: how often
+aligned: the copy whose alignment ends early, in mid-word or within a marked sentence of the longer one, is cut.
+A longer copy without marks makes a cut likely. Without such evidence the terminality of the closing words decides: how often
 the corpus ends a sentence after the same last words.
 """
 
@@ -29,6 +29,8 @@ LOG2_BITS = 25
 #: Terminality below which a text is cut; of texts at their source's length limit, or with a near-copy that goes on, where a cut is likely.
 CUT_BELOW, CUT_BELOW_LIKELY = 0.025, 0.6
 
+#: Tokens on either side of a text's end within which a longer copy that marks its sentences has a mark.
+MARKED = 40
 #: Lengths on either side that a length limit is compared with, how many times their count it has at least, and the least negative logarithm of the chance that so many texts end there.
 AROUND, EXCESS, CHANCE = 20, 4, 14
 
@@ -233,7 +235,7 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 
 def copy_evidence(rows: DataFrame, closing: DataFrame) -> DataFrame:
-    """Open-ended texts with a longer near-copy: doc_id, ends (``inside`` a sentence of the copy, or ``between`` two), shown (False if the copy only ends at the same place, with other things appended).
+    """Open-ended texts with a longer near-copy: doc_id, ends (``inside`` a sentence of the copy, or ``between`` two), shown (whether the copy settles it; see align_end()).
 
     Each distinct open-ended text is compared with every distinct text of its
     buckets that has at least as many shingles and at most 1 / SIMILAR times
@@ -277,15 +279,18 @@ def copy_evidence(rows: DataFrame, closing: DataFrame) -> DataFrame:
 
     found = both.select("doc_id", "longer", "text", "longer_text").mapInPandas(run, "same long, ends string, shown boolean")
     # one copy that shows a whole sentence is enough; one that only ends at the same place says less than one that goes on
-    rank = F.when(F.col("shown") & (F.col("ends") == "between"), 0).when(F.col("ends") == "inside", 1).otherwise(2)
+    rank = F.when(F.col("ends") == "between", F.when(F.col("shown"), 0).otherwise(3)).otherwise(F.when(F.col("shown"), 1).otherwise(2))
     best = F.min(F.struct(rank.alias("rank"), "ends", "shown")).alias("best")
     found = found.groupBy("same").agg(best).select("same", "best.*")
     return open_ends.join(found, "same").groupBy("doc_id").agg(best).select("doc_id", "best.ends", "best.shown")
 
 
 def align_end(a: np.ndarray, x: list[str], b: np.ndarray, y: list[str]) -> tuple[str, bool] | None:
-    """Where a text's end lies in a near-copy that is as long or longer: ``inside`` or ``between`` sentences, and whether the copy has more than the text; None if they aren't near-copies or the end isn't found.
+    """Where a text's end lies in a near-copy that is as long or longer: ``inside`` or ``between`` sentences, and whether that is settled; None if they aren't near-copies or the end isn't found.
 
+    ``between`` is settled unless the copy only ends at the same place, with
+    other things appended; ``inside`` if the text ends in mid-word or the copy
+    has marks on both sides within MARKED tokens. Without marks it may go on with the next sentence.
     a, x and b, y are shingles and core's tokens of the text and of the other.
     """
     shared = len(np.intersect1d(a, b, assume_unique=True))
@@ -306,7 +311,9 @@ def align_end(a: np.ndarray, x: list[str], b: np.ndarray, y: list[str]) -> tuple
         return "inside", True
     if at + 1 >= len(y):
         return "between", False  # only what was appended is longer
-    return ("between" if y[at + 1] == "\n" else "inside"), True
+    if y[at + 1] == "\n":
+        return "between", True
+    return "inside", "\n" in y[max(1, at - MARKED) : at] and "\n" in y[at + 1 : at + 1 + MARKED]
 
 
 def far_above(counted: DataFrame, by: list[str]) -> DataFrame:
@@ -358,10 +365,10 @@ def judge_texts(documents: DataFrame, doc_id: Column, text: Column, source: Colu
     limited = at_limits(rows, closing).withColumn("at_limit", F.lit(True))
     judged = rows.select("doc_id", "source").join(closing.select("doc_id", "final"), "doc_id").join(scores, "doc_id", "left").join(copies, "doc_id", "left").join(limited, "doc_id", "left")
     at_limit = F.coalesce("at_limit", F.lit(False))
-    # a copy that goes on counts as much as a length limit: without marks between sentences it may go on with the next one
+    # a copy that goes on without marks counts as much as a length limit: it may go on with the next sentence
     bound = F.when(at_limit | (F.col("ends") == "inside"), CUT_BELOW_LIKELY).otherwise(CUT_BELOW)
     by_words = F.coalesce(F.col("terminality") < bound, F.lit(False))
-    cut = ~F.col("final") & F.when((F.col("ends") == "between") & F.col("shown"), False).otherwise(by_words)
+    cut = ~F.col("final") & F.when(F.col("shown"), F.col("ends") == "inside").otherwise(by_words)
     return judged.select("doc_id", "source", "final", at_limit.alias("at_limit"), "ends", "terminality", cut.alias("cut"))
 
 

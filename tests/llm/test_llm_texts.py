@@ -315,6 +315,19 @@ def test_copy_cut_at_the_same_place_shows_nothing(spark):
     assert {r.doc_id for r in judged.where("cut").collect()} == {1, 2}
 
 
+def test_copies_that_go_on_flag_by_themselves(spark):
+    """Closing words that usually end a sentence don't hide a cut that a longer copy shows, in mid-sentence or mid-word; without marks the words decide."""
+    rng = random.Random(9)
+    filler = [" ".join(f"v{rng.randrange(50)}" for _ in range(6)) + end for end in (" We talked for a while and then went home.", " We talked for a while and sat in the car.") for _ in range(30)]
+    bases = [" ".join(f"u{i}k{k}" + ("." if k % 10 == 9 else "") for k in range(60)) for i in range(3)]
+    plain = bases[2].replace(".", "")
+    texts = [bases[0] + " We talked for a while and then went home", bases[0] + " We talked for a while and then went home early today.", bases[1] + " We talked for a while and sat in the car", bases[1] + " We talked for a while and sat in the carriage.", plain + " we talked for a while and then went home", plain + " we talked for a while and then went home early today"]
+    df = spark.createDataFrame(list(enumerate(texts + filler)), "doc_id long, text string").withColumn("source", F.lit("s"))
+    got = {r.doc_id: r for r in truncation.judge_texts(df, F.col("doc_id"), F.col("text"), F.col("source")).collect()}
+    assert [got[i].ends for i in (0, 2, 4)] == ["inside"] * 3 and min(got[i].terminality for i in (0, 2, 4)) > truncation.CUT_BELOW_LIKELY
+    assert [got[i].cut for i in (0, 1, 2, 3, 4)] == [True, False, True, False, False]
+
+
 def test_length_limits(spark):
     """Limits of small sources, beside longer texts, several to a source, and of texts to which something was appended; copies and common lengths are none."""
     rng = random.Random(4)
