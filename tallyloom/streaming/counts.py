@@ -28,6 +28,16 @@ def weekly_ngrams(messages: DataFrame, user: str, message: str, n: int = 1, late
     return counted.select(F.concat_ws(":", K.iso_week(F.col("w.start")), "_u").alias("group_id"), "feat", "value")
 
 
+def open_weeks(messages: DataFrame, written: DataFrame) -> DataFrame:
+    """Messages (a table with ts) of the weeks that write_ngrams() hasn't written, as the watermark never passed their ends.
+
+    A bounded run counts them in a batch once its stream is over; a stream that goes on writes them itself.
+    """
+    week = K.iso_week(F.window("ts", "7 days", startTime="4 days")["start"])
+    done = written.select(F.substring_index("group_id", ":", 1).alias("_w")).distinct()
+    return messages.withColumn("_w", week).join(F.broadcast(done), "_w", "left_anti").drop("_w")
+
+
 def deduplicated(messages: DataFrame, key: Sequence[str], late: str = "1 day") -> DataFrame:
     """Repeated messages of a stream dropped while their watermark lasts."""
     return messages.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(key))

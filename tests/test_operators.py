@@ -258,3 +258,14 @@ def test_hashed_reliability(spark):
 
 def test_redistribution_of_nothing(spark):
     assert weights.redistribute_incomes(spark.createDataFrame([], "income double")).count() == 0
+
+
+def test_stream_ngrams_holds_every_week(spark, folder):
+    """The streamed weeks and those its watermark leaves open give what one batch over the table gives."""
+    from tallyloom.plans import domain
+    from tallyloom.plans.tables import table
+    from tallyloom.streaming import counts
+
+    rows = counts.with_event_time(table(spark, folder, "messages"), ["created_at", "date2", "date3"])
+    want = Counter(tuple(r) for r in counts.weekly_ngrams(rows, "user_id", "message").collect())
+    assert Counter(tuple(r) for r in domain.stream_ngrams(spark, folder).collect()) == want
