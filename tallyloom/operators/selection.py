@@ -1,11 +1,14 @@
 """Exact selection of ranks per key by refining value histograms whose counts can be added.
 
-A rank of a key is kept as an interval of values and the rank within it. A pass
-cuts every open interval into ``cells`` equal cells, counts the values of each
-cell over all partitions (map-side combined, so a hot key sends at most
-``cells`` rows from each task), and goes on with the cell that holds the rank,
-narrowed to the smallest and largest value seen in it. A rank is resolved when
-these two are equal. No task or driver ever holds a key's values.
+The first pass counts the values of every key in logarithmic cells
+(``value_sketch``): map-side combined, so a hot key sends at most its few
+hundred cells from each task, and mergeable over loads, weeks or partitions.
+The cell that holds a rank becomes its interval. Every further pass reads the
+rows again, cuts each open interval into equal cells, counts the rows of each
+cell, and goes on with the one that holds the rank, narrowed to the smallest
+and largest value seen in it; an interval with few rows is cut into its single
+values. A rank is resolved when both ends are equal. Only cells are shuffled;
+no task or driver ever holds a key's values.
 """
 
 from __future__ import annotations
@@ -16,11 +19,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.cleaning import finite
-from tallyloom.storage import join_checked, materialize
+from tallyloom.storage import BROADCAST_BYTES, join_checked, materialize
+
+#: Cells of the first pass per doubling of the value.
+PER_OCTAVE = 8
+#: Rows up to which an open interval is cut into its single values.
+FEW = 4096
+#: A key with at least this part of all rows is hot: there can be no more than its inverse of them, so their open intervals are a table of bounded size.
+HOT_PART = 1 / 1000
+#: Passes after which a rank must be resolved: the first leaves intervals of one sign within 9 %, each other takes ``cells`` off their width.
+MAX_PASSES = 64
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """The mergeable form of the finite values per key: keys, v, n. Add n over such tables to combine them."""
+    """Exact mergeable form of the finite values per key: keys, v, n. Add n over such tables to combine them."""
     return df.where(finite(F.col(value))).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -33,50 +45,129 @@ def merge_counts(*parts: DataFrame) -> DataFrame:
     return whole.groupBy(*keys, "v").agg(F.sum("n").alias("n"))
 
 
-def refine_ranks(counts: DataFrame, keys: Sequence[str], quantiles: Sequence[float], cells: int = 256, max_passes: int = 64, tolerance: float = 0.0, rank_of: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Quantiles per key from ``value_counts``: keys, q, n_rows, lo, hi; the quantile lies in [lo, hi].
+def log_cell(v: Column) -> Column:
+    """The logarithmic cell of a value: it grows with the value; 0 for 0 and null for null."""
+    place = F.floor(F.log2(F.abs(v)) * PER_OCTAVE).cast("int") + 1_000_000
+    return F.when(v > 0, place).when(v < 0, -place).when(v == 0, 0)
+
+
+def value_sketch(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Histogram of logarithmic cells per key: keys, cell, n, total, mn, mx. ``rows`` has v, and n if a row stands for several.
+
+    Rows whose v is null are counted in a cell of their own, without value. A
+    quantile read off a cell is wrong by less than 2 ** (1 / PER_OCTAVE) - 1,
+    9 %, at either end. Put sketches together with ``merge_sketches``.
+    """
+    n = F.sum("n") if "n" in rows.columns else F.count(F.lit(1))
+    total = F.sum(F.col("v") * F.col("n")) if "n" in rows.columns else F.sum("v")
+    return rows.groupBy(*keys, log_cell(F.col("v")).alias("cell")).agg(n.alias("n"), total.alias("total"), F.min("v").alias("mn"), F.max("v").alias("mx"))
+
 
-    The q-quantile is the smallest value with at least ``ceil(q * n)`` values
+def merge_sketches(*parts: DataFrame) -> DataFrame:
+    """Sketches of separate loads, weeks or partitions put together."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    keys = [c for c in whole.columns if c not in ("cell", "n", "total", "mn", "mx")]
+    return whole.groupBy(*keys, "cell").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("mn").alias("mn"), F.max("mx").alias("mx"))
+
+
+def _chosen(counted: DataFrame, by: Sequence[str], ranks: Callable[[], Column]) -> DataFrame:
+    """The cells that hold a rank: those of ``counted`` (by, cell, n, mn, mx, and what ``ranks`` reads) with ``want``, the (q, rank) in them, ranks counted from the cell's start."""
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))  # over a key's cells
+    placed = counted.withColumn("_upto", upto).withColumn("_below", F.col("_upto") - F.col("n"))
+    inside = F.filter(ranks(), lambda w: (w["rank"] > F.col("_below")) & (w["rank"] <= F.col("_upto")))
+    moved = F.transform(inside, lambda w: F.struct(w["q"].alias("q"), (w["rank"] - F.col("_below")).alias("rank")))
+    return placed.withColumn("want", moved).where(F.size("want") > 0).drop("_upto", "_below")
+
+
+def refine_ranks(
+    rows: DataFrame,
+    keys: Sequence[str],
+    quantiles: Sequence[float],
+    cells: int = 256,
+    tolerance: float = 0.0,
+    rank_of: Callable[[Column, Column], Column] | None = None,
+    sketch: DataFrame | None = None,
+    few: int = FEW,
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Quantiles per key: keys, q, n_rows, lo, hi; the quantile lies in [lo, hi].
+
+    ``rows`` has the keys, v and, if a row stands for several, n; each pass
+    reads it, so it should come from a written table. Null and non-finite
+    values are passed over. The q-quantile is the smallest value with at least ``ceil(q * n)`` values
     not above it (the least value for q = 0); ``rank_of`` may give another rank for q and the number of values. With ``tolerance`` 0 every rank
     is narrowed until lo = hi, which is exact; otherwise until
     ``hi - lo <= tolerance``. Keys without values are absent; an empty table gives an empty one.
-    Null keys form a key of their own. ``counts`` should be a written table, as each pass reads it.
+    Null keys form a key of their own. ``sketch`` may be the rows' written ``value_sketch``.
+
+    Open intervals of hot keys are broadcast, as there can be no more than
+    1 / HOT_PART such keys; rows of the other keys, none of which is large, meet
+    theirs in a join that shuffles both beyond ``limit`` stored bytes.
     """
     keys = list(keys)
     if cells < 2:
         raise ValueError("cells must be at least 2")
-    first = counts.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    qs = F.array(*[F.struct(F.lit(float(q)).alias("q")) for q in quantiles])
-    rank = rank_of(F.col("q"), F.col("n_rows")) if rank_of else F.ceil(F.round(F.col("q") * F.col("n_rows"), 6))
-    rank = F.greatest(F.lit(1).cast("long"), F.least(F.col("n_rows"), rank.cast("long")))
-    state = materialize(first.select(*keys, "n_rows", "lo", "hi", F.inline(qs)).withColumn("rank", rank), "ranks")
+    rows = rows.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "v", *(["n"] if "n" in rows.columns else [])).where(finite(F.col("v")))
+    ks = [f"k{i}" for i in range(len(keys))]
+    if sketch is None:
+        sketch = materialize(value_sketch(rows, ks), "sketch")
+    else:
+        sketch = sketch.where(F.col("cell").isNotNull()).select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "cell", "n", "mn", "mx")
+    total = sketch.agg(F.sum("n")).first()[0] or 0
+    n_rows = F.sum("n").over(Window.partitionBy(*ks))
+    rank = rank_of if rank_of else lambda q, n: F.ceil(F.round(q * n, 6))
+    ranks = lambda: F.array(*[F.struct(F.lit(float(q)).alias("q"), F.greatest(F.lit(1).cast("long"), F.least(F.col("n_rows"), rank(F.lit(float(q)), F.col("n_rows")).cast("long"))).alias("rank")) for q in quantiles])
+    first = _chosen(sketch.withColumn("n_rows", n_rows), ks, ranks)
+    state = materialize(first.select(F.monotonically_increasing_id().alias("id"), *ks, "n_rows", F.col("n").alias("c"), F.col("mn").alias("lo"), F.col("mx").alias("hi"), "want"), "ranks")
     is_open = (F.col("hi") - F.col("lo")) > tolerance
     done = state.where(~is_open)
-    for _ in range(max_passes):
+    for _ in range(MAX_PASSES):
         opened = state.where(is_open)
         if opened.isEmpty():
             break
-        packed = opened.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], _hash_of(keys).alias("_h")).agg(F.collect_list(F.struct("q", "n_rows", "lo", "hi", "rank")).alias("open"))  # at most one entry a quantile
-        packed = materialize(packed, "open-ranks")
-        data = counts.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "v", "n", _hash_of(keys).alias("_h"))
-        joined = _join_null_safe(data, packed, len(keys))
-        hit = joined.select(*[f"k{i}" for i in range(len(keys))], "v", "n", F.inline(F.filter("open", lambda s: (F.col("v") >= s["lo"]) & (F.col("v") <= s["hi"]))))
-        # halves, so that hi - lo can't overflow
-        width = F.col("hi") / 2 - F.col("lo") / 2
-        cell = F.least(F.lit(cells - 1), F.floor((F.col("v") / 2 - F.col("lo") / 2) / width * cells).cast("int"))
-        cell = F.when(width > 0, cell).otherwise(F.when(F.col("v") > F.col("lo"), 1).otherwise(0))
-        by = [f"k{i}" for i in range(len(keys))] + ["q", "n_rows", "rank"]
-        counted = hit.groupBy(*by, cell.alias("cell")).agg(F.sum("n").alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-        upto = F.sum("c").over(Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))  # at most `cells` rows
-        chosen = counted.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank")))
-        state = materialize(
-            chosen.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "n_rows", F.col("mn").alias("lo"), F.col("mx").alias("hi"), "q", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank")),
-            "ranks",
-        )
+        counted = _count_cells(rows, opened, ks, cells, few, total * HOT_PART, limit)
+        own = opened.select("id", *ks, "n_rows", F.col("want").alias("_want"))
+        chosen = _chosen(counted.join(own, "id"), ["id"], lambda: F.col("_want"))
+        state = materialize(chosen.select(F.monotonically_increasing_id().alias("id"), *ks, "n_rows", F.col("n").alias("c"), F.col("mn").alias("lo"), F.col("mx").alias("hi"), "want"), "ranks")
         done = done.unionByName(state.where(~is_open))
     else:
-        done = done.unionByName(state.where(is_open))
-    return done.select(*keys, "q", "n_rows", "lo", "hi")
+        raise RuntimeError(f"ranks not resolved after {MAX_PASSES} passes")
+    return done.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.inline("want"), "n_rows", "lo", "hi").select(*keys, "q", "n_rows", "lo", "hi")
+
+
+def _count_cells(rows: DataFrame, opened: DataFrame, ks: Sequence[str], cells: int, few: int, hot_rows: float, limit: int) -> DataFrame:
+    """Rows of the open intervals by cell: id, cell, n, mn, mx. Cells are single values in intervals of up to ``few`` rows."""
+    h = F.xxhash64(*ks) if ks else F.lit(0).cast("long")
+    packed = opened.groupBy(*ks).agg(F.max("n_rows").alias("_n"), F.collect_list(F.struct("id", "lo", "hi", (F.col("c") <= few).alias("few"))).alias("_open"))  # at most one entry a quantile
+    packed = materialize(packed.select(*[F.col(k).alias(f"_{k}") for k in ks], h.alias("_h"), "_n", "_open"), "open-ranks")
+    hot, cold = packed.where(F.col("_n") >= hot_rows).drop("_n"), packed.where(F.col("_n") < hot_rows).drop("_n")
+    same = F.lit(True)
+    for k in ks:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    data = rows.withColumn("_h", h)
+    parts = []
+    if not hot.isEmpty():
+        parts.append(data.join(F.broadcast(hot), "_h").where(same))
+        if not cold.isEmpty():  # rows of hot keys stay out of the shuffle
+            data = data.join(F.broadcast(hot.select(F.col("_h").alias("_hot"), *[f"_{k}" for k in ks])), (F.col("_h") == F.col("_hot")) & same, "left_anti")
+    if not cold.isEmpty():
+        parts.append(join_checked(data, materialize(cold, "open-cold"), ["_h"], "inner", limit).where(same))
+    hits = []
+    for part in parts:
+        i = F.filter("_open", lambda s: (F.col("v") >= s["lo"]) & (F.col("v") <= s["hi"]))
+        hit = part.select("v", *(["n"] if "n" in rows.columns else []), F.inline(i))
+        # halves, so that hi - lo can't overflow
+        at = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * cells
+        cell = F.when(F.col("few"), F.col("v")).otherwise(F.least(F.lit(float(cells - 1)), F.floor(at).cast("double")))
+        cell = F.coalesce(F.when(F.col("hi") / 2 == F.col("lo") / 2, F.when(F.col("v") > F.col("lo"), 1.0).otherwise(0.0)).otherwise(cell), F.lit(0.0))
+        n = F.sum("n") if "n" in rows.columns else F.count(F.lit(1))
+        hits.append(hit.groupBy("id", (cell + 0.0).alias("cell")).agg(n.alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")))
+    whole = hits[0]
+    for hit in hits[1:]:
+        whole = whole.unionByName(hit)
+    return whole
 
 
 def interpolated_percentiles(counts: DataFrame, keys: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
@@ -91,16 +182,3 @@ def interpolated_percentiles(counts: DataFrame, keys: Sequence[str], quantiles:
     pair = sided.groupBy(*keys, "_i", "n_rows").agg(F.max(F.when(~F.col("_up"), F.col("lo"))).alias("a"), F.max(F.when(F.col("_up"), F.col("lo"))).alias("b"))
     at = exact * (F.col("n_rows") - 1)
     return pair.select(*keys, exact.alias("q"), (F.col("a") + (at - F.floor(at)) * (F.col("b") - F.col("a"))).alias("value"))
-
-
-def _hash_of(keys: Sequence[str]) -> Column:
-    return F.hash(*keys) if keys else F.lit(0)
-
-
-def _join_null_safe(data: DataFrame, packed: DataFrame, n: int) -> DataFrame:
-    """Join on a hash of the keys and on the keys themselves, nulls being equal; the small side is broadcast within its size bound."""
-    joined = join_checked(data, packed, ["_h"], "inner")
-    same = F.lit(True)
-    for i in range(n):
-        same &= F.col(f"k{i}").eqNullSafe(F.col(f"_{i}"))
-    return joined.where(same)

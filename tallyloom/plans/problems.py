@@ -12,19 +12,29 @@ from tallyloom.plans.tables import clean_features, table
 MESSAGE_FIELDS = ["message_id", "user_id", "message", "created_at", "date2", "date3"]
 
 
-def p5_flags(spark: SparkSession, folder: str) -> DataFrame:
-    """Every implausible reading with its reasons and the fence of its source."""
+def _p5_readings(spark: SparkSession, folder: str, changes: bool) -> DataFrame:
     f = clean_features(spark, folder)
     week = F.translate("week_of_group", "_", "").cast("int")
-    return spikes.flag_readings(f, F.col("row_id"), F.col("user_of_group"), F.col("term"), week, F.col("feat_freq"), context=F.col("load_hour"))
+    return spikes.flag_readings(f, F.col("row_id"), F.col("user_of_group"), F.col("term"), week, F.col("feat_freq"), context=F.col("load_hour"), changes=changes)
+
+
+def p5_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Every implausible reading with its reasons and the fence it was compared with."""
+    return _p5_readings(spark, folder, True)
 
 
 def p5_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    return p5_flags(spark, folder).select("row_id", "impossible", "stuck", "spike")
+    """The rows of p5_found with their reasons.
+
+    Of the readings outside their fence, those count as spikes that reach the
+    user's ``jump``: a fence of two interquartile ranges takes in less than a spike needs, three times every ordinary reading.
+    """
+    spike = F.col("outside") & F.coalesce(F.col("reading") >= F.col("jump"), F.lit(False))
+    return _p5_readings(spark, folder, False).select("row_id", "impossible", "stuck", spike.alias("spike")).where("impossible or stuck or spike")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p5_flags(spark, folder).select("row_id")
+    return p5_reasons(spark, folder).select("row_id")
 
 
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,7 +45,9 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p6_report(spark, folder).where("hot").select("field_name", "key_value")
+    """The hot values, from the operator's mergeable histograms; their members and quantiles are in p6_report."""
+    f = clean_features(spark, folder)
+    return hotkeys.hot_keys(f, {"cnty": F.col("cnty"), "feat": F.col("term")}, F.col("feat_freq")).where("hot").select("field_name", "key_value")
 
 
 def _consolidated(spark: SparkSession, folder: str) -> compaction.Consolidated:

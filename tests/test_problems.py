@@ -17,12 +17,12 @@ def nearest(values, q):
     return v[max(1, math.ceil(round(q * len(v), 6))) - 1]
 
 
-@pytest.mark.parametrize("cells", [2, 16, 256])
-def test_ranks_are_exact(spark, cells):
+@pytest.mark.parametrize("cells,few,limit", [(2, 0, 0), (16, 0, 6 << 20), (256, 8, 0), (256, 4096, 6 << 20)])
+def test_ranks_are_exact(spark, cells, few, limit):
     rng = np.random.default_rng(cells)
     data = [("hot", float(x)) for x in rng.lognormal(0, 4, 900)] + [("tie", 0.25)] * 50 + [("two", 1e-300), ("two", 1e300), (None, 3.0), ("neg", -1.0), ("neg", -2.0), ("neg", 0.0), ("nan", float("nan")), ("nan", None)]
     df = spark.createDataFrame(data, "k string, x double")
-    got = {(r.k, r.q): (r.lo, r.hi, r.n_rows) for r in selection.refine_ranks(selection.value_counts(df, ["k"], "x").cache(), ["k"], (0.0, 0.25, 0.5, 0.99), cells=cells).collect()}
+    got = {(r.k, r.q): (r.lo, r.hi, r.n_rows) for r in selection.refine_ranks(selection.value_counts(df, ["k"], "x").cache(), ["k"], (0.0, 0.25, 0.5, 0.99), cells=cells, few=few, limit=limit).collect()}
     by = defaultdict(list)
     for k, x in data:
         if x is not None and x == x:
@@ -32,6 +32,25 @@ def test_ranks_are_exact(spark, cells):
         assert lo == hi == nearest(by[k], q) and n == len(by[k])
 
 
+def test_ranks_of_cold_keys(spark):
+    """With many keys most are cold and meet their intervals in a join."""
+    rng = np.random.default_rng(4)
+    data = [(f"k{rng.integers(3000)}" if rng.random() < 0.6 else "hot", float(rng.choice([rng.normal(), 1.0, 1.0000001, -3.0]))) for _ in range(12_000)]
+    by = defaultdict(list)
+    for k, x in data:
+        by[k].append(x)
+    df = spark.createDataFrame(data, "k string, v double")
+    for limit in (0, 6 << 20):
+        got = {(r.k, r.q): (r.lo, r.hi, r.n_rows) for r in selection.refine_ranks(df, ["k"], (0.3, 0.5), few=2, limit=limit).collect()}
+        assert got == {(k, q): (nearest(v, q), nearest(v, q), len(v)) for k, v in by.items() for q in (0.3, 0.5)}
+
+
+def test_value_sketches_merge(spark):
+    df = spark.createDataFrame([("a", x) for x in (0.5, 0.5, -2.0, 0.0, None, 1e-9)], "k string, v double")
+    parts = [selection.value_sketch(df.where(c), ["k"]) for c in ("v > 0", "v <= 0 or v is null")]
+    assert sorted(map(str, selection.merge_sketches(*parts).collect())) == sorted(map(str, selection.value_sketch(df, ["k"]).collect()))
+
+
 def test_ranks_bounded_and_merged(spark):
     df = spark.createDataFrame([(i % 3, float(i) / 7) for i in range(400)], "k int, x double")
     a, b = selection.value_counts(df.where("x < 20"), ["k"], "x"), selection.value_counts(df.where("x >= 20"), ["k"], "x")
@@ -85,7 +104,8 @@ def brute_flags(rows, least=4, ratio=3, few=30):
 
 def flag(spark, rows):
     df = spark.createDataFrame(rows, "i long, u string, t string, w int, x double").withColumns({"source": F.lit(1), "row_id": F.lit("clash"), "fence": F.lit(0)})
-    return {r.row_id for r in spikes.flag_readings(df, F.col("i"), F.col("u"), F.col("t"), F.col("w"), F.col("x")).collect()}
+    got = spikes.flag_readings(df, F.col("i"), F.col("u"), F.col("t"), F.col("w"), F.col("x")).where("impossible or stuck or (outside and reading >= jump)")
+    return {r.row_id for r in got.collect()}
 
 
 @settings(max_examples=6, deadline=None)
@@ -108,6 +128,16 @@ def test_flag_edges(spark):
     assert flag(spark, run) == {0, 1, 2, 3, 4}
 
 
+def test_fences_by_context_and_steps(spark):
+    """An evening reading that is ordinary at noon is outside the evening's fence, below a low fence too; only a sudden one is steep."""
+    rows = [(i, "u", "t", 1, 0.10 + i / 1000, 12) for i in range(40)] + [(100 + i, "u", "t", 2, 0.010 + i / 100_000, 20) for i in range(40)]
+    rows += [(200, "u", "n", 1, 0.011, 20), (201, "u", "n", 2, 0.10, 20), (202, "u", "m", 1, 0.09, 20), (203, "u", "m", 2, 0.1, 20), (204, "u", None, None, 0.004, 20), (205, "v", "n", 1, 0.9, 20), (206, "u", "z", 1, 0.12, None)]
+    df = spark.createDataFrame(rows, "i long, u string, t string, w int, x double, h int")
+    got = {r.row_id: (r.outside, r.steep) for r in spikes.flag_readings(df, F.col("i"), F.col("u"), F.col("t"), F.col("w"), F.col("x"), context=F.col("h")).collect()}
+    assert {i: got.get(i) for i in (201, 202, 203, 204)} == {201: (True, True), 202: (True, False), 203: (True, False), 204: (True, False)}
+    assert set(got) == {201, 202, 203, 204}  # 206 has no hour and takes the source's fence, v has too few readings
+
+
 def test_sketches_merge(spark):
     df = spark.createDataFrame([("u", float(i + 1) / 100, i % 4) for i in range(60)], "source string, x double, h int")
     parts = spikes.merge_sketches(spikes.source_sketch(df, "source", "x", "h"), ["source"])
