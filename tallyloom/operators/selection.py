@@ -54,10 +54,11 @@ def log_cell(v: Column) -> Column:
 def value_sketch(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Histogram of logarithmic cells per key: keys, cell, n, total, mn, mx. ``rows`` has v, and n if a row stands for several.
 
-    Rows whose v is null are counted in a cell of their own, without value. A
+    Rows whose v is null or not finite are counted in a cell of their own, without value. A
     quantile read off a cell is wrong by less than 2 ** (1 / PER_OCTAVE) - 1,
     9 %, at either end. Put sketches together with ``merge_sketches``.
     """
+    rows = rows.withColumn("v", F.when(finite(F.col("v")), F.col("v")))
     n = F.sum("n") if "n" in rows.columns else F.count(F.lit(1))
     total = F.sum(F.col("v") * F.col("n")) if "n" in rows.columns else F.sum("v")
     return rows.groupBy(*keys, log_cell(F.col("v")).alias("cell")).agg(n.alias("n"), total.alias("total"), F.min("v").alias("mn"), F.max("v").alias("mx"))
