@@ -31,9 +31,9 @@ def p1_distinct(spark: SparkSession, folder: str) -> DataFrame:
 def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Every distinct term with its total feat_count, rows, user-weeks and mark."""
     f = clean_features(spark, folder)
-    n_records = f.agg(F.count_distinct("group_id").alias("n")).scalar()
-    counted = terms.term_frequencies(f, F.col("term"), F.col("group_id"), F.col("feat_count"))
-    return terms.mark_terms(counted, n_records).select(F.col("term").alias("feat"), "occurrences", F.round("total_weight", 6).alias("feat_count"), F.col("records").alias("user_weeks"), "mark")
+    rows = terms.term_rows(f, F.col("term"), F.col("group_id"), F.col("feat_count"))
+    n_records = rows.agg(F.count_distinct("record").alias("n")).scalar()
+    return terms.mark_terms(terms.term_frequencies(rows), n_records).select(F.col("term").alias("feat"), "occurrences", F.round("total_weight", 6).alias("feat_count"), F.col("records").alias("user_weeks"), "mark")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,7 +42,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_message_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     """All word n-grams of up to three words in the messages, with occurrences and messages."""
-    m = table(spark, folder, "messages").dropDuplicates(["message_id"])
+    m = table(spark, folder, "messages").groupBy("message_id").agg(F.min("message").alias("message"))
     words = F.regexp_extract_all(F.lower("message"), F.lit(r"[\p{L}\p{N}_']+"), 0)
     return terms.ngram_frequencies(m, F.col("message_id"), words, 3)
 
@@ -69,8 +69,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _percentiles(spark: SparkSession, folder: str, levels: dict) -> DataFrame:
     f = clean_features(spark, folder)
-    counts = percentiles.group_counts(f, levels, F.col("feat_freq"), C.plausible_share(F.col("feat_freq")))
-    found = percentiles.bisect_percentiles(counts, PERCENTILES)
+    found = percentiles.bisect_percentiles(percentiles.group_rows(f, levels, F.col("feat_freq"), C.plausible_share(F.col("feat_freq"))), PERCENTILES)
     return found.select("level", "yw", "cnty", "term", "percentile", "n_rows", F.col("lo").alias("value"))
 
 

@@ -16,25 +16,44 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pairs a bucket is meant to hold; a caller that expects N pairs takes about N / this many buckets.
+#: Distinct pairs that a bucket is meant to hold at most; ``buckets_for`` takes the number of buckets from it.
 PAIRS_PER_BUCKET = 2_000_000
+LEAST_BUCKETS = 256
 
 
-def partial_pairs(df: DataFrame, identifier: Column, groups: Mapping[str, Column], buckets: int = 256) -> DataFrame:
-    """The mergeable partial result: bucket, the group columns, id; each distinct pair once.
+def buckets_for(n_pairs: int) -> int:
+    """The number of buckets, a power of two, by which none of ``n_pairs`` pairs' buckets holds more than about PAIRS_PER_BUCKET; the number of rows is a safe estimate."""
+    n = LEAST_BUCKETS
+    while n * PAIRS_PER_BUCKET < n_pairs:
+        n *= 2
+    return n
 
+
+def partial_pairs(df: DataFrame, identifier: Column, groups: Mapping[str, Column], buckets: int | None = None) -> DataFrame:
+    """The mergeable partial result: buckets (their number), bucket, the group columns, id; each distinct pair once.
+
+    ``buckets`` must be a power of two; by default it follows from df's number of rows.
     Null identifiers are dropped; null group values are kept as a group of
     their own. Pairs are made distinct on the map side before they are shuffled, so a
     group or an identifier with a third of all rows costs no more than its distinct pairs.
     """
+    buckets = buckets or buckets_for(df.count())
+    if buckets & (buckets - 1):
+        raise ValueError("the number of buckets must be a power of two")
     pairs = df.select(*[c.alias(n) for n, c in groups.items()], identifier.alias("id")).where(F.col("id").isNotNull())
     bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
-    return pairs.withColumn("bucket", bucket).select("bucket", *groups, "id").distinct()
+    return pairs.select(F.lit(buckets).alias("buckets"), bucket.alias("bucket"), *groups, "id").distinct()
 
 
 def merge_pairs(parts: Sequence[DataFrame]) -> DataFrame:
-    """Partial results with the same groups and number of buckets put together; pairs found in several count once."""
-    return functools.reduce(DataFrame.unionByName, parts).distinct()
+    """Partial results with the same groups put together; pairs found in several count once.
+
+    Parts may differ in their number of buckets: a bucket of the greater number lies within one of the smaller, so all take the least one.
+    """
+    least = [part.agg(F.min("buckets")).first()[0] for part in parts]
+    n = min((x for x in least if x), default=LEAST_BUCKETS)
+    same = [part.withColumns({"bucket": F.pmod("bucket", F.lit(n)), "buckets": F.lit(n)}) for part in parts]
+    return functools.reduce(DataFrame.unionByName, same).distinct()
 
 
 def count_distinct(pairs: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -46,7 +65,7 @@ def count_distinct(pairs: DataFrame, levels: Mapping[str, Sequence[str]]) -> Dat
     shuffle of pairs, and only the counts per bucket are added across buckets.
     An empty table gives no rows.
     """
-    groups = [c for c in pairs.columns if c not in ("bucket", "id")]
+    groups = [c for c in pairs.columns if c not in ("buckets", "bucket", "id")]
     types = dict(pairs.dtypes)
     unfold = F.array(
         *[
