@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.cleaning import finite
-from tallyloom.storage import BROADCAST_BYTES, join_checked, materialize
+from tallyloom.storage import join_checked, materialize
 
 #: Cells of the first pass per doubling of the value.
 PER_OCTAVE = 8
@@ -27,6 +27,8 @@ PER_OCTAVE = 8
 FEW = 4096
 #: A key with at least this part of all rows is hot: there can be no more than its inverse of them, so their open intervals are a table of bounded size.
 HOT_PART = 1 / 1000
+#: Stored bytes up to which the other keys' open intervals are broadcast; in memory they take several times as much.
+COLD_BYTES = 1 << 20
 #: Passes after which a rank must be resolved: the first leaves intervals of one sign within 9 %, each other takes ``cells`` off their width.
 MAX_PASSES = 64
 
@@ -91,7 +93,7 @@ def refine_ranks(
     rank_of: Callable[[Column, Column], Column] | None = None,
     sketch: DataFrame | None = None,
     few: int = FEW,
-    limit: int = BROADCAST_BYTES,
+    limit: int = COLD_BYTES,
 ) -> DataFrame:
     """Quantiles per key: keys, q, n_rows, lo, hi; the quantile lies in [lo, hi].
 
@@ -129,7 +131,7 @@ def refine_ranks(
         if opened.isEmpty():
             break
         counted = _count_cells(rows, opened, ks, cells, few, total * HOT_PART, limit)
-        own = opened.select("id", *ks, "n_rows", F.col("want").alias("_want"))
+        own = opened.select("id", *ks, "n_rows", F.col("want").alias("_want")).hint("merge")  # by id on both sides, as the window over an interval's cells
         chosen = _chosen(counted.join(own, "id"), ["id"], lambda: F.col("_want"))
         state = materialize(chosen.select(F.monotonically_increasing_id().alias("id"), *ks, "n_rows", F.col("n").alias("c"), F.col("mn").alias("lo"), F.col("mx").alias("hi"), "want"), "ranks")
         done = done.unionByName(state.where(~is_open))

@@ -14,7 +14,7 @@ from tallyloom.operators import features as FT
 from tallyloom.operators import geo, lexicon, messages, ngrams, stats, trends, weights
 from tallyloom.plans import pipeline
 from tallyloom.plans.tables import clean_features, table
-from tallyloom.storage import materialize, new_path
+from tallyloom.storage import materialize, result_path
 from tallyloom.streaming import counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -616,7 +616,7 @@ def stream_ngrams(s, d):
     source = table(s, d, "messages")
     dates = ["created_at", "date2", "date3"]
     stream = counts.with_event_time(s.readStream.schema(source.schema).parquet(f"{d}/messages.parquet*"), dates)
-    path = new_path(s, "stream")
+    path = result_path(s, "stream")
     counts.write_ngrams(counts.weekly_ngrams(stream, "user_id", "message", late="10 days"), f"{path}/table", f"{path}/checkpoint").awaitTermination()
     written = s.read.schema("group_id string, feat string, value long").parquet(f"{path}/table")
     rest = counts.open_weeks(counts.with_event_time(source, dates), written)

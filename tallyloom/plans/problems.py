@@ -64,5 +64,11 @@ def p7_records(spark: SparkSession, folder: str) -> DataFrame:
     return _consolidated(spark, folder).records
 
 
+def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The reconciled counts of the consolidation: rows read, rejected rows, records, copies and distinct records."""
+    c = _consolidated(spark, folder)
+    return spark.createDataFrame([(c.n_rows, c.n_rejected, c.n_in, c.n_copies, c.n_records)], "n_rows long, n_rejected long, n_in long, n_copies long, n_records long")
+
+
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_flags": p5_flags, "p5_reasons": p5_reasons, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_records": p7_records}
+    return {"p5_found": p5_found, "p5_flags": p5_flags, "p5_reasons": p5_reasons, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_records": p7_records, "p7_counts": p7_counts}

@@ -27,13 +27,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; other applications' tables lie beside it."""
+    return f"{shared_folder(spark)}/tallyloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+    """An unused path for an intermediate table."""
+    return f"{own_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def result_path(spark: SparkSession, name: str) -> str:
+    """An unused path for a result that stays when intermediate tables are discarded."""
+    return f"{own_folder(spark)}/results/{name}-{uuid.uuid4().hex}"
 
 
 def discard_written(spark: SparkSession) -> None:
-    """Delete all tables that materialize() and others wrote to the shared folder; results that still read them must be stored before."""
-    delete_path(spark, f"{shared_folder(spark)}/tallyloom")
+    """Delete this application's intermediate tables; results that still read them must be stored before. Tables of other applications and results stay."""
+    delete_path(spark, f"{own_folder(spark)}/tables")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -67,8 +78,8 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def join_checked(big: DataFrame, written: DataFrame, on: list[str], how: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join big to a table that was written by materialize().
 
-    The written side is broadcast if its stored size is at most ``limit``;
+    The written side is broadcast if its stored size is at most ``limit`` (compressed: in memory it may take some times as much);
     beyond that both sides are shuffled and adaptive execution splits skewed keys.
     """
-    side = F.broadcast(written) if stored_bytes(written) <= limit else written
+    side = F.broadcast(written) if stored_bytes(written) <= limit else written.hint("merge")
     return big.join(side, on, how)

@@ -130,8 +130,8 @@ def test_flag_edges(spark):
 
 def test_fences_by_context_and_steps(spark):
     """An evening reading that is ordinary at noon is outside the evening's fence, below a low fence too; only a sudden one is steep."""
-    rows = [(i, "u", "t", 1, 0.10 + i / 1000, 12) for i in range(40)] + [(100 + i, "u", "t", 2, 0.010 + i / 100_000, 20) for i in range(40)]
-    rows += [(200, "u", "n", 1, 0.011, 20), (201, "u", "n", 2, 0.10, 20), (202, "u", "m", 1, 0.09, 20), (203, "u", "m", 2, 0.1, 20), (204, "u", None, None, 0.004, 20), (205, "v", "n", 1, 0.9, 20), (206, "u", "z", 1, 0.12, None)]
+    rows = [(i, "u", "t", 1, 0.10 + i / 1000, 12) for i in range(40)] + [(100 + i, "u", "t", 2, 0.040 + i / 10_000, 20) for i in range(40)]
+    rows += [(200, "u", "n", 1, 0.042, 20), (201, "u", "n", 2, 0.13, 20), (202, "u", "m", 1, 0.09, 20), (203, "u", "m", 2, 0.1, 20), (204, "u", None, None, 0.004, 20), (205, "v", "n", 1, 0.9, 20), (206, "u", "z", 1, 0.12, None)]
     df = spark.createDataFrame(rows, "i long, u string, t string, w int, x double, h int")
     got = {r.row_id: (r.outside, r.steep) for r in spikes.flag_readings(df, F.col("i"), F.col("u"), F.col("t"), F.col("w"), F.col("x"), context=F.col("h")).collect()}
     assert {i: got.get(i) for i in (201, 202, 203, 204)} == {201: (True, True), 202: (True, False), 203: (True, False), 204: (True, False)}
@@ -176,7 +176,8 @@ def test_consolidation_and_redundant_files(spark, tmp_path):
     assert got.n_records == 5 and {r.file_id for r in got.holders.collect()} >= {1, (1 << 60) + 1} and got.holders.where("file_id is null").count() == 0
     got = compaction.consolidate(bodies(spark, data), FIELDS, str(tmp_path / "out"))
     assert sorted(map(tuple, got.records.collect()), key=str) == sorted([("1", "x"), ("2", "y\nz"), ("1", None), ("9", "9")], key=str)
-    assert got.n_in == 12 and got.n_records == 4
+    assert (got.n_rows, got.n_rejected, got.n_in, got.n_copies, got.n_records) == (13, 1, 12, 8, 4)
+    assert [tuple(r) for r in got.rejected.collect()] == [(7, "only,one,too")]
     found = {r.file_id: r.reason for r in compaction.redundant_files(got.holders).collect()}
     assert {f for f in found} == {1, 2, 3, 4, 10} and found[10] == "same"
     again = compaction.consolidate(bodies(spark, data[:1]), FIELDS, str(tmp_path / "out"), target_bytes=8)
@@ -189,13 +190,35 @@ def test_consolidation_and_redundant_files(spark, tmp_path):
 @given(st.integers(0, 1000))
 def test_redundant_files_brute_force(spark, seed):
     rng = np.random.default_rng(seed)
-    sets = {i: frozenset(rng.choice(12, rng.integers(0, 5)).tolist()) for i in range(60)}
+    sets = {i: frozenset(rng.choice(12, rng.integers(0, 7)).tolist()) for i in range(60)}
     data = [(i, "".join(f"{x},y\n" for x in s)) for i, s in sets.items()]
-    holders = bodies(spark, data).select("file_id", *compaction.record_key(FIELDS)).distinct()
+    holders = bodies(spark, data).select("file_id", F.col("a").cast("long").alias("row")).distinct()
     want = {i for i, s in sets.items() if s and any(j != i and (s < t or (s == t and j < i)) for j, t in sets.items())}
     assert {r.file_id for r in compaction.redundant_files(holders).collect()} == want
 
 
+def test_membership_comes_from_what_was_written(spark):
+    """A record that isn't in the consolidated table is nobody's."""
+    made = compaction.consolidate(bodies(spark, [(1, "1,x\n2,y\n"), (2, "1,x\n")]), FIELDS)
+    assert made.holders.select("row").distinct().count() == made.records.count() == 2
+
+
+def test_failed_swap_keeps_the_old_folder(spark, tmp_path):
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "kept").write_text("x")
+    with pytest.raises(Exception):
+        compaction.swap_folder(spark, str(tmp_path / "missing"), str(tmp_path / "old"))
+    assert (tmp_path / "old" / "kept").read_text() == "x"
+
+
+def test_small_files_are_read(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"f{i}.csv").write_text(f'{i},"é\nx"\nbad\n', encoding="utf-8")
+    rows = compaction.read_small_files(spark, str(tmp_path), FIELDS)
+    got = compaction.consolidate(rows, FIELDS)
+    assert (got.n_rows, got.n_rejected, got.n_records) == (10, 5, 5) and {r.b for r in got.records.collect()} == {"é\nx"}
+
+
 def test_interpolated_percentiles(spark):
     rng = np.random.default_rng(8)
     data = [(k, float(rng.choice([1.0, 2.0, rng.normal()]))) for k in "aab" for _ in range(77)] + [("one", 5.0), (None, 1.0), (None, 4.0)]
