@@ -47,10 +47,10 @@ def p2_message_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     return terms.ngram_frequencies(m, F.col("message_id"), words, 3)
 
 
-def _message_parts(spark: SparkSession, folder: str) -> DataFrame:
+def _message_parts(spark: SparkSession, folder: str, with_text: bool = True) -> DataFrame:
     m = table(spark, folder, "messages")
     model = langid.fit_filter(m, F.col("message"), F.col("lang"))
-    return langid.segment_languages(m.withColumnRenamed("lang", "label"), model, ["message_id", "label"], F.col("message"))
+    return langid.segment_languages(m.withColumnRenamed("lang", "label"), model, ["message_id", "label"], F.col("message"), with_text)
 
 
 def p3_parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,12 +59,14 @@ def p3_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a message: its main language, confidence and all languages."""
-    return langid.main_language(p3_parts(spark, folder), ["message_id"])
+    """One row a message, also of those without a word: its main language, confidence and all languages."""
+    found = langid.main_language(_message_parts(spark, folder, False).distinct(), ["message_id"])
+    every = table(spark, folder, "messages").select("message_id").where(F.col("message_id").isNotNull()).distinct()
+    return every.join(found, "message_id", "left").select("message_id", "lang", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "languages", F.coalesce("n_languages", F.lit(0)).alias("n_languages"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return langid.unlabelled_languages(_message_parts(spark, folder), "message_id", F.col("label"))
+    return langid.unlabelled_languages(_message_parts(spark, folder, False), "message_id", F.col("label"))
 
 
 def _percentiles(spark: SparkSession, folder: str, levels: dict) -> DataFrame:

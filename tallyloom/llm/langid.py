@@ -33,6 +33,7 @@ LABEL_NAMES = {
 }
 
 _NOISE = re.compile(r"<[^>\s]{0,80}>|https?://\S+|www\.\S+|\S*\.(?:example|invalid|com|org|net)/?\S*|[@#]\w+|&\w+;|^\s*RT\b", re.I)
+_NOISY = re.compile(r"[<@#&]|://|www\.|\.(?:example|invalid|com|org|net)|^\s*RT\b", re.I)  # texts without any of these have no noise
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _LONG = re.compile(r"(.)\1{2,}")
 
@@ -50,12 +51,21 @@ def fold(word: str) -> str:
     return _LONG.sub(r"\1", "".join(c for c in word if not unicodedata.combining(c)))
 
 
-def words_of(text: str) -> list[tuple[str, int, int]]:
-    """Words with their places, without links, handles, tags and the mark of a shared message."""
+def plain_of(text: str) -> str:
+    """The text with entities decoded, and links, handles, tags and the mark of a shared message blanked out."""
     if "&" in text:
         text = html.unescape(text)
-    blank = _NOISE.sub(lambda m: " " * (m.end() - m.start()), text)
-    return [(m.group(), m.start(), m.end()) for m in _WORD.finditer(blank)]
+    return _NOISE.sub(lambda m: " " * (m.end() - m.start()), text) if _NOISY.search(text) else text
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, without noise."""
+    return _WORD.findall(plain_of(text))
+
+
+def places_of(text: str) -> list[tuple[int, int]]:
+    """Start and end of each word in the text with entities decoded."""
+    return [m.span() for m in _WORD.finditer(plain_of(text))]
 
 
 def ngrams_of(word: str, sizes: Sequence[int] = (2, 3, 4)) -> list[str]:
@@ -88,12 +98,48 @@ class LanguageFilter:
             m &= int(self.cells[p])
         return m
 
-    def word_evidence(self, word: str) -> np.ndarray:
-        """Corrected popcount per language of a word's n-grams, the whole word counting as half; between 0 and 1."""
-        grams = ngrams_of(word)
-        bits = np.array([[m >> k & 1 for k in range(len(self.languages))] for m in map(self.mask, grams)], float)
-        corrected = np.clip((bits - self.wrong) / (1 - self.wrong), 0, 1)
-        return (corrected[0] + corrected[1:].mean(axis=0)) / 2
+    def corrected(self, popcount: np.ndarray) -> np.ndarray:
+        """Mean popcounts (0 to 1 a language) without the share that the filter's false positives explain: an absent n-gram shows a language with the chance ``wrong``."""
+        return np.clip((popcount - self.wrong) / (1 - self.wrong), 0, 1)
+
+
+class WordScores:
+    """The evidence of words per language, each word scored once; bounded by ``most`` words and n-grams, after which it starts anew."""
+
+    def __init__(self, model: LanguageFilter, most: int = 300_000) -> None:
+        self.model, self.most = model, most
+        self.masks: dict[str, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.evidence = np.zeros((0, len(self.model.languages)))
+
+    def places(self, words: Sequence[str]) -> np.ndarray:
+        """Rows of ``evidence`` for the words, which holds until the next call."""
+        if len(self.place) > self.most:
+            self.clear()
+        unseen = list(dict.fromkeys(w for w in words if w not in self.place))
+        if unseen:
+            n = len(self.place)
+            self.place.update(zip(unseen, range(n, n + len(unseen))))
+            self.evidence = np.concatenate([self.evidence, self.score(unseen)])
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def score(self, words: Sequence[str]) -> np.ndarray:
+        """Corrected popcounts of the words' n-grams, the whole word counting as half."""
+        masks = self.masks
+        if len(masks) > self.most:
+            masks.clear()
+        grams = [ngrams_of(fold(w)) for w in words]
+        for g in {g for own in grams for g in own}.difference(masks):
+            masks[g] = self.model.mask(g)
+        flat = np.array([masks[g] for own in grams for g in own], np.uint64)
+        bits = (flat[:, None] >> np.arange(len(self.model.languages), dtype=np.uint64) & np.uint64(1)).astype(float)
+        size = np.fromiter(map(len, grams), np.int64, len(grams))
+        start = np.cumsum(size) - size
+        letters = (np.add.reduceat(bits, start) - bits[start]) / np.maximum(size - 1, 1)[:, None]
+        return self.model.corrected((bits[start] + letters) / 2)
 
 
 def build_filter(texts: Iterable[tuple[str, str]], languages: Sequence[str] = LANGUAGES, log2_cells: int = 20, hashes: int = 4, least: int = 3, share: float = 0.3) -> LanguageFilter:
@@ -103,11 +149,15 @@ def build_filter(texts: Iterable[tuple[str, str]], languages: Sequence[str] = LA
     occurs there at least ``least`` times and at least ``share`` times as often,
     relative to the language's n-grams, as where it is most frequent.
     """
-    counts = {l: Counter() for l in languages}
+    words = {l: Counter() for l in languages}
     for lang, text in texts:
-        if lang in counts and text:
-            for w, _, _ in words_of(text):
-                counts[lang].update(set(ngrams_of(fold(w))))
+        if lang in words and text:
+            words[lang].update(words_of(text))
+    counts = {l: Counter() for l in languages}
+    for l, c in words.items():
+        for w, n in c.items():
+            for g in set(ngrams_of(fold(w))):
+                counts[l][g] += n
     totals = {l: max(1, sum(c.values())) for l, c in counts.items()}
     cells = np.zeros(1 << log2_cells, np.uint8 if len(languages) <= 8 else np.uint64)
     made = LanguageFilter(tuple(languages), cells, hashes, np.zeros(len(languages)))
@@ -126,13 +176,23 @@ def build_filter(texts: Iterable[tuple[str, str]], languages: Sequence[str] = LA
 
 
 def fit_filter(labelled: DataFrame, text: Column, label: Column, per_language: int = 8_000, languages: Sequence[str] = LANGUAGES) -> LanguageFilter:
-    """Filter from a bounded sample: of each language the ``per_language`` rows of lowest hash whose label names it. The bound is the most the driver holds."""
-    rows = labelled.select(text.alias("t"), label_language(label).alias("l")).where(F.col("t").isNotNull())
-    sample = None
-    for l in languages:
-        part = rows.where(F.col("l") == l).orderBy(F.xxhash64("t")).limit(per_language)
-        sample = part if sample is None else sample.unionByName(part)
-    return build_filter(((r.l, r.t) for r in sample.distinct().collect()), languages)
+    """Filter from a bounded sample: of each language the ``per_language`` distinct texts of lowest hash whose label names it. The bound is about the most the driver holds.
+
+    Labels are counted first; then one pass takes, of every language, the
+    texts whose hash lies in the part of the range that holds a little more than ``per_language`` of them.
+    """
+    rows = labelled.select(text.alias("t"), label_language(label).alias("l")).where(F.col("t").isNotNull() & F.col("l").isin(*languages))
+    n = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    part = {l: min(1.0, (1.2 * per_language + 100) / c) for l, c in n.items()}
+    if not part:
+        return build_filter([], languages)
+    bound = F.create_map(*[x for l, p in part.items() for x in (F.lit(l), F.lit(int(p * (1 << 62))))])
+    h = F.xxhash64("t").bitwiseAND(F.lit((1 << 62) - 1))
+    taken = rows.withColumn("h", h).where(F.col("h") <= bound[F.col("l")]).distinct().collect()
+    kept: list[tuple[str, str]] = []
+    for l in sorted(part):
+        kept += [(l, r.t) for r in sorted((r for r in taken if r.l == l), key=lambda r: (r.h, r.t))[:per_language]]
+    return build_filter(kept, languages)
 
 
 def best_path(evidence: np.ndarray, length: np.ndarray, price: float) -> np.ndarray:
@@ -157,77 +217,110 @@ def best_path(evidence: np.ndarray, length: np.ndarray, price: float) -> np.ndar
     return path
 
 
-def segments_of(texts: Sequence[str | None], model: LanguageFilter, cache: dict, price: float = 1.2, least_words: int = 5, floor: float = 0.45) -> list[list[tuple[str, float, int, str]]]:
-    """For each text its parts (language, confidence, words, text) of at least ``least_words`` words, in order.
-
-    A part's confidence is its mean evidence per word; parts under ``floor`` are
-    in none of the languages and left out. Words at a part's ends that speak
-    for another language are not counted. Null and empty texts have no parts.
-    """
-    found: list[list] = [[] for _ in texts]
-    tokens = [words_of(t) if t else [] for t in texts]
-    order = sorted((i for i, w in enumerate(tokens) if len(w) >= least_words), key=lambda i: len(tokens[i]))
+def paths_of(evidence: np.ndarray, size: np.ndarray, price: float) -> np.ndarray:
+    """The language of every word of texts whose words' evidence lies one after another, ``size`` words a text."""
+    start = np.cumsum(size) - size
+    out = np.zeros(len(evidence), np.int8)
+    order = np.flatnonzero(size)
+    order = order[np.argsort(size[order], kind="stable")]
     at = 0
     while at < len(order):
-        some = order[at : at + max(1, min(2048, 200_000 // len(tokens[order[at]])))]
-        longest = len(tokens[some[-1]])
-        while len(some) > 1 and longest * len(some) > 400_000:
+        some = order[at : at + max(1, min(4096, 200_000 // int(size[order[at]])))]
+        while len(some) > 1 and int(size[some[-1]]) * len(some) > 400_000:
             some = some[: len(some) // 2]
-            longest = len(tokens[some[-1]])
         at += len(some)
-        evidence = np.zeros((len(some), longest, len(model.languages)))
-        for r, i in enumerate(some):
-            for c, (w, _, _) in enumerate(tokens[i]):
-                e = cache.get(w)
-                if e is None:
-                    if len(cache) > 300_000:
-                        cache.clear()
-                    e = cache[w] = model.word_evidence(fold(w))
-                evidence[r, c] = e
-        length = np.array([len(tokens[i]) for i in some])
-        path = best_path(evidence, length, price)
-        for r, i in enumerate(some):
-            n = length[r]
-            p = path[r, :n]
-            cuts = np.flatnonzero(np.diff(p)) + 1
-            for a, b in zip(np.r_[0, cuts], np.r_[cuts, n]):
-                k, e = p[a], evidence[r]
-                while a < b and e[a, k] < e[a].max():
-                    a += 1
-                while b > a and e[b - 1, k] < e[b - 1].max():
-                    b -= 1
-                if b - a >= least_words and (sure := float(e[a:b, k].mean())) >= floor:
-                    found[i].append((model.languages[k], sure, int(b - a), html.unescape(texts[i])[tokens[i][a][1] : tokens[i][b - 1][2]]))
-    return found
-
-
-def segment_languages(df: DataFrame, model: LanguageFilter, ids: Sequence[str], text: Column, least_words: int = 5, **options) -> DataFrame:
-    """Parts of every text: ids, segment (from 0), lang, confidence, n_words, part. Repeated rows give repeated parts; texts without a part give no row."""
+        longest = int(size[some[-1]])
+        inside = np.arange(longest)[None, :] < size[some][:, None]
+        rows = np.where(inside, start[some][:, None] + np.arange(longest), 0)
+        path = best_path(np.where(inside[:, :, None], evidence[rows], 0.0), size[some], price)
+        out[rows[inside]] = path[inside]
+    return out
+
+
+@dataclass
+class Parts:
+    """Parts of texts, in order: which text, its number there, language, confidence, and its first and last word in the text."""
+
+    text: np.ndarray
+    segment: np.ndarray
+    language: np.ndarray
+    confidence: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+def parts_of(words: Sequence[Sequence[str]], scores: WordScores, price: float = 1.2) -> Parts:
+    """The parts of texts given as words: stretches of the best path, whatever their length.
+
+    A part's confidence is its mean evidence per word. Words at a part's ends that speak
+    for another language are not counted, unless all do. Parts without any evidence are none.
+    """
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    at = scores.places([w for own in words for w in own])
+    if not len(at):
+        none = np.zeros(0, np.int64)
+        return Parts(none, none, none, np.zeros(0), none, none)
+    e = scores.evidence[at]
+    path = paths_of(e, size, price)
+    text = np.repeat(np.arange(len(words)), size)
+    begin = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (path[1:] != path[:-1])])
+    end = np.r_[begin[1:], len(path)] - 1
+    place = np.arange(len(path))
+    own = e[place, path]
+    speaks = own >= e.max(axis=1)
+    first = np.minimum.reduceat(np.where(speaks, place, len(path)), begin)
+    last = np.maximum.reduceat(np.where(speaks, place, -1), begin)
+    silent = last < 0
+    first, last = np.where(silent, begin, first), np.where(silent, end, last)
+    upto = np.r_[0.0, np.cumsum(own)]
+    sure = (upto[last + 1] - upto[first]) / (last - first + 1)
+    kept = np.flatnonzero(sure > 1e-9)
+    t = text[begin[kept]]
+    new = np.r_[True, t[1:] != t[:-1]] if len(t) else np.zeros(0, bool)
+    number = np.arange(len(t)) - np.maximum.accumulate(np.where(new, np.arange(len(t)), 0)) if len(t) else np.zeros(0, np.int64)
+    offset = (np.cumsum(size) - size)[t]
+    return Parts(t, number, path[begin[kept]], sure[kept], first[kept] - offset, last[kept] - offset)
+
+
+def segment_languages(df: DataFrame, model: LanguageFilter, ids: Sequence[str], text: Column, with_text: bool = True, price: float = 1.2) -> DataFrame:
+    """Parts of every text: ids, segment (from 0), lang, confidence, n_words, part (its text, null unless ``with_text``).
+
+    Every text with a word that any language knows has a part, however short, with the confidence its words give; whether
+    a part is a passage is for the reader to say. Repeated rows give repeated parts; null texts and texts without words give no row.
+    """
     spark = df.sparkSession
     held = spark.sparkContext.broadcast(model)  # of fixed size: its cells
     rows = df.select(*ids, text.alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict = {}
+        scores = WordScores(held.value)
+        names = np.array(held.value.languages, dtype=object)
         for batch in batches:
-            parts = segments_of([t if isinstance(t, str) else None for t in batch["_text"]], held.value, cache, least_words=least_words, **options)
-            where = np.repeat(np.arange(len(batch)), [len(p) for p in parts])
-            if not len(where):
+            texts = batch["_text"].tolist()
+            p = parts_of([words_of(t) if isinstance(t, str) else () for t in texts], scores, price)
+            if not len(p.text):
                 continue
-            flat = [(j, *x) for p in parts for j, x in enumerate(p)]
-            out = batch[list(ids)].iloc[where].reset_index(drop=True)
-            for c, name in enumerate(("segment", "lang", "confidence", "n_words", "part")):
-                out[name] = [x[c] for x in flat]
+            out = batch[list(ids)].iloc[p.text].reset_index(drop=True)
+            out["segment"], out["lang"], out["confidence"], out["n_words"] = p.segment, names[p.language], p.confidence, p.last - p.first + 1
+            shown: list[str | None] = [None] * len(p.text)
+            if with_text:
+                at, places, plain = -1, [], ""
+                for i, (t, a, b) in enumerate(zip(p.text, p.first, p.last)):
+                    if t != at:
+                        at, places, plain = t, places_of(texts[t]), html.unescape(texts[t])
+                    shown[i] = plain[places[a][0] : places[b][1]]
+            out["part"] = pd.Series(shown, dtype=object)
             yield out
 
     return rows.mapInPandas(run, f"{kinds}, segment int, lang string, confidence double, n_words int, part string")
 
 
-def unlabelled_languages(segments: DataFrame, record: str, label: Column) -> DataFrame:
-    """Distinct (record, lang) of parts whose record's label doesn't name that language."""
+def unlabelled_languages(segments: DataFrame, record: str, label: Column, least_words: int = 5, floor: float = 0.45) -> DataFrame:
+    """Distinct (record, lang) of passages whose record's label doesn't name that language. A passage is a part of at least ``least_words`` words and a confidence of at least ``floor``."""
     named = F.coalesce(label_language(label), F.lit(""))
-    return segments.where(F.col(record).isNotNull() & (named != F.col("lang"))).select(record, "lang").distinct()
+    passage = (F.col("n_words") >= least_words) & (F.col("confidence") >= floor)
+    return segments.where(passage & F.col(record).isNotNull() & (named != F.col("lang"))).select(record, "lang").distinct()
 
 
 def main_language(segments: DataFrame, ids: Sequence[str]) -> DataFrame:

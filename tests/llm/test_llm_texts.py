@@ -35,14 +35,17 @@ def test_mixed_and_edge_texts(spark, model):
     texts = [
         "The whole street in Dunmere is lonely because the heating works again. Me preocupa la lluvia más de lo que debería.",
         "the coach asked about the rent after the late shift c'est la vie https://lnk.example/x @bob #matin",
-        "je me sens un peu perdue et je ne sais pas pourquoi", "", None, "until tomorrow", "12 34 :-) 😂", "qzx wvk jjq xkcd vvbn zzqp",
+        "je me sens un peu perdue et je ne sais pas pourquoi", "", None, "the heating works again", "12 34 :-) 😂", "qzx wvk jjq xkcd vvbn zzqp",
         "the rent is all I think about today " * 4000,
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumns({"segment": F.lit(0), "lang": F.lit("zz")})
     got = {}
     for r in langid.segment_languages(df, model, ["id"], F.col("text")).collect():
         got.setdefault(r.id, []).append(r.lang)
-    assert got[0] == ["en", "es"] and got[1] == ["en"] and got[2] == ["fr"] and set(got[8]) == {"en"} and set(got) == {0, 1, 2, 8}
+    assert got[0] == ["en", "es"] and got[1] == ["en"] and got[2] == ["fr"] and set(got[8]) == {"en"} and got[5] == ["en"]
+    assert set(got) - {7} == {0, 1, 2, 5, 8}  # whatever has a word has a language; nonsense may share a few letters with one
+    passages = langid.unlabelled_languages(langid.segment_languages(df.withColumn("label", F.lit("en")), model, ["id", "label"], F.col("text"), False), "id", F.col("label"))
+    assert {tuple(r) for r in passages.collect()} == {(0, "es"), (2, "fr")}
 
 
 def test_filter_has_no_false_negative():
@@ -51,6 +54,28 @@ def test_filter_has_no_false_negative():
     assert (f.wrong < 0.01).all()
 
 
+def test_false_positives_are_taken_off():
+    """In a small, crowded filter words that no language has show all of them; the correction leaves about nothing, and little is lost of words that are there."""
+    rng = random.Random(5)
+    made = lambda letters, n: ["".join(rng.choice(letters) for _ in range(7)) for _ in range(n)]
+    known = made("abcdefgh", 60)
+    f = langid.build_filter([("en", " ".join(known))] * 3 + [("de", "zwei")] * 3, ("en", "de"), log2_cells=10, hashes=2, least=1)
+    assert f.wrong[0] > 0.3
+    corrected = langid.WordScores(f).score(made("qrstuvwx", 400))[:, 0]
+    f.wrong[:] = 0
+    raw = langid.WordScores(f).score(made("qrstuvwx", 400))[:, 0]
+    assert raw.mean() > 0.3 and corrected.mean() < 0.6 * raw.mean()
+    assert langid.WordScores(f).score(known)[:, 0].min() == 1.0
+
+
+def test_scores_do_not_depend_on_the_cache(model):
+    words = ["the", "straße", "mañana", "c'est", "the", "x"] * 3
+    a, b = langid.WordScores(model), langid.WordScores(model, most=1)
+    for w in words:
+        x, y = a.places([w]), b.places([w])
+        assert (a.evidence[x] == b.evidence[y]).all()
+
+
 def test_best_path_equals_brute_force():
     import itertools
 
