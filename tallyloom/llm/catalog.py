@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import cleaning as C
 from tallyloom.llm import catalog_sql, distinct, langid, leakage, packing, percentiles, terms, truncation
 from tallyloom.plans.tables import clean_features, table
+from tallyloom.storage import materialize
 
-#: Ranks of the public tokenizer in which problem 8 measures texts; another file can be set here.
-RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Ranks of the public tokenizer in which problem 8 measures texts; TALLYLOOM_RANKS_FILE names another file.
+RANKS_FILE = os.environ.get("TALLYLOOM_RANKS_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
@@ -99,10 +102,17 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document and its container, for each capacity."""
-    sizes = packing.token_counts(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"), RANKS_FILE)
+    sizes = materialize(packing.token_counts(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"), RANKS_FILE), "sizes")
     return packing.pack_documents(sizes, table(spark, folder, "pack_targets"))
 
 
+def p8_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether p8_packing keeps its promises, counted per target."""
+    d, targets = table(spark, folder, "documents"), table(spark, folder, "pack_targets")
+    sizes = materialize(packing.token_counts(d, F.col("doc_id"), F.col("text"), RANKS_FILE), "sizes")
+    return packing.check_packing(packing.pack_documents(sizes, targets), sizes, targets)
+
+
 def p8_summary(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packing_summary(p8_packing(spark, folder), table(spark, folder, "pack_targets"))
 
@@ -133,6 +143,7 @@ def queries() -> dict:
         "p10_sources": p10_sources,
         "p8_packing": p8_packing,
         "p8_summary": p8_summary,
+        "p8_check": p8_check,
         "p9_found": p9_found,
         "p9_matches": p9_matches,
         "p4_percentiles": p4_percentiles,

