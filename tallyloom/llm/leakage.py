@@ -2,10 +2,15 @@
 
 Texts are reduced to templates: names, numbers and units become typed
 placeholders. Windows of ``WINDOW`` template words of the items form a hash
-table that document windows are joined with. Where an item's windows hit, the
+table that the documents' windows are joined with. The pairs it gives are
+compared whole: where an item's windows hit, the
 words behind the placeholders are compared: a copy keeps them, a
 re-parameterised question replaces them by others of the same type. Pairs with
 enough agreement are aligned word by word.
+
+Documents are read and coded once, whatever the number of items: a bit filter
+of fixed size tells which of their windows any item has, and only documents
+with such a window are written and joined.
 """
 
 from __future__ import annotations
@@ -17,11 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.storage import join_checked, materialize
+
 WINDOW = 5
-NAME, NUMBER, UNIT = 0, 1, 2
+#: The class of a word, in the lowest two bits of its code.
+PLAIN, NAME, NUMBER, UNIT = 0, 1, 2, 3
+#: Bits of the filters of names and of windows, which every task holds; full filters only let more words pass as names and more documents be compared.
+LOG2_NAMES, LOG2_WINDOWS = 20, 24
 #: English number words and the units that may follow them.
 UNITS_OF_NUMBER = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen").split()
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
@@ -30,6 +41,9 @@ UNITS = frozenset("second seconds minute minutes hour hours day days week weeks
 
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_DIGIT = re.compile(r"\d")
+_STARTS = re.compile(r"(^|[.!?:;(\"“])\s*$")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
@@ -38,9 +52,12 @@ def words_of(text: str) -> list[str]:
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
+    found = _WORD.findall(text.lower())
+    if NUMBER_VALUES.keys().isdisjoint(found) and not _DIGIT.search(text):
+        return found
     out: list[str] = []
     tens = False
-    for w in _WORD.findall(text.lower()):
+    for w in found:
         value = NUMBER_VALUES.get(w)
         if value is None:
             if w.isdigit():
@@ -57,67 +74,100 @@ def words_of(text: str) -> list[str]:
     return out
 
 
-def names_of(texts: Sequence[str]) -> set[str]:
-    """Words that are always capitalised in the texts, and at least once inside a sentence."""
-    upper, lower = set(), set()
-    for t in texts:
-        for m in _WORD.finditer(t or ""):
-            w = m.group()
-            if not w[0].isupper():
-                lower.add(w.lower())
-            elif not re.search(r"(^|[.!?:;(\"“])\s*$", t[: m.start()]):
-                upper.add(w.lower())
-    return {w for w in upper - lower if w not in NUMBER_VALUES}
+def capitals_of(text: str) -> dict[str, tuple[bool, bool]]:
+    """Each word of a text: whether it is capitalised somewhere inside a sentence, and whether it is in lower case anywhere."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for m in _WORD.finditer(text):
+        w = m.group()
+        inside, lower = out.get(w.lower(), (False, False))
+        if not w[0].isupper():
+            lower = True
+        elif not inside:
+            inside = not _STARTS.search(text[max(0, m.start() - 20) : m.start()])
+        out[w.lower()] = inside, lower
+    return out
 
 
-@dataclass
-class Index:
-    """vocabulary: word to id; template: id to template id; items: (item_id, word ids); keys, owner, place: the window table in key order."""
+def bit_filter(hashes: DataFrame, log2_bits: int) -> np.ndarray:
+    """Bit filter of the hashes (column h); at most 2**log2_bits bits come to the driver, however many hashes there are."""
+    place = F.shiftrightunsigned("h", 2).bitwiseAND(F.lit((1 << log2_bits) - 1))
+    words = hashes.select(F.shiftright(place, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 2) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bits = np.zeros(1 << (log2_bits - 6), np.uint64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.int64).view(np.uint64)
+    return bits
+
+
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = (hashes >> np.uint64(2)) & np.uint64(len(bits) * 64 - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def name_filter(items: DataFrame, text: str) -> np.ndarray:
+    """Filter of the words that are always capitalised in the items, and at least once inside a sentence."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: dict[str, tuple[bool, bool]] = {}
+            for t in batch["t"]:
+                for w, (inside, lower) in capitals_of(t).items():
+                    x = found.get(w, (False, False))
+                    found[w] = x[0] or inside, x[1] or lower
+            names = [w for w in found if w not in NUMBER_VALUES]
+            yield pd.DataFrame({"h": np.array([xxhash.xxh64_intdigest(w) for w in names], np.uint64).view(np.int64), "inside": [found[w][0] for w in names], "lower": [found[w][1] for w in names]})
+
+    each = items.select(F.col(text).alias("t")).mapInPandas(run, "h long, inside boolean, lower boolean")
+    return bit_filter(each.groupBy("h").agg(F.max("inside").alias("i"), F.max("lower").alias("l")).where("i and not l").select("h"), LOG2_NAMES)
+
+
+class WordCodes:
+    """64-bit codes of words, the lowest two bits being their class; kept for those seen."""
+
+    def __init__(self, names: np.ndarray) -> None:
+        self.names = names
+        self.known: dict[str, int] = {}
+
+    def code(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if word[0] == "#":
+            kind = NUMBER
+        elif word in UNITS:
+            kind = UNIT
+        else:
+            place = h >> 2 & len(self.names) * 64 - 1
+            kind = NAME if int(self.names[place >> 6]) >> (place & 63) & 1 else PLAIN
+        return h & ~3 | kind
 
-    vocabulary: dict[str, int]
-    template: np.ndarray
-    items: list[tuple[int, np.ndarray]]
-    keys: np.ndarray
-    owner: np.ndarray
-    place: np.ndarray
+    def __call__(self, words: Sequence[str]) -> list[int]:
+        known = self.known
+        if len(known) > 500_000:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = self.code(w)
+        return [known[w] for w in words]
+
+
+def templates(codes: np.ndarray) -> np.ndarray:
+    """Codes with names, numbers and units reduced to their class."""
+    kind = codes & np.uint64(3)
+    return np.where(kind == PLAIN, codes, kind)
 
 
 def window_keys(template: np.ndarray, size: int = WINDOW) -> np.ndarray:
-    """A 64-bit key of every window of template ids."""
+    """A 64-bit key of every window of template words."""
     n = len(template) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    t = template.astype(np.uint64) + np.uint64(3)
-    key = np.zeros(n, np.uint64)
+    t = template + np.uint64(5)
+    key = np.full(n, size, np.uint64)
     for k in range(size):
-        key = (key ^ t[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        key = (key ^ t[k : k + n]) * _MIX
         key ^= key >> np.uint64(29)
     return key
 
 
-def build_index(items: Sequence[tuple[int, str]]) -> Index:
-    """Window table of the items; null texts and items shorter than a window are left out."""
-    items = [(i, t) for i, t in items if i is not None and t]
-    names = names_of([t for _, t in items])
-    vocabulary: dict[str, int] = {}
-    template: list[int] = []
-    coded = []
-    for i, t in items:
-        ids = []
-        for w in words_of(t):
-            if w not in vocabulary:
-                k = vocabulary[w] = len(template)
-                template.append(NAME if w in names else NUMBER if w[0] == "#" else UNIT if w in UNITS else k + 3)
-            ids.append(vocabulary[w])
-        if len(ids) >= WINDOW:
-            coded.append((i, np.array(ids, np.int64)))
-    types = np.array(template or [0], np.int64)
-    parts = [(window_keys(types[ids]), o) for o, (_, ids) in enumerate(coded)]
-    keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64)
-    owner = np.concatenate([np.full(len(k), o) for k, o in parts]) if parts else np.zeros(0, int)
-    place = np.concatenate([np.arange(len(k)) for k, _ in parts]) if parts else np.zeros(0, int)
-    order = np.argsort(keys, kind="stable")
-    return Index(vocabulary, types, coded, keys[order], owner[order], place[order])
+def item_keys(template: np.ndarray) -> np.ndarray:
+    """The keys of an item's windows; of an item shorter than a window the one key of the whole."""
+    return window_keys(template, min(WINDOW, len(template))) if len(template) else np.zeros(0, np.uint64)
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -217,95 +267,199 @@ class Limits:
     least: int = 5
 
 
-def matches(words: list[str], index: Index, limits: Limits) -> list[tuple[int, float, float, int, str]]:
-    """Items found in a document's words: (item_id, share of its words, share of slots that agree, stretches, kind).
+def match_pair(item: np.ndarray, ids: np.ndarray, limits: Limits) -> tuple[float, float, int, str] | None:
+    """An item in a document, both as codes: (share of its words, share of slots that agree, stretches, kind), or None.
 
     kind is ``copy`` where the share counts, ``variant`` where at least that
     share of the item's template is there but its slots are filled otherwise.
+    An item shorter than a window is found where the document holds all of it, one word after another.
     """
-    if len(words) < WINDOW or not len(index.keys):
-        return []
-    ids = np.fromiter((index.vocabulary.get(w, -1) for w in words), np.int64, len(words))
-    known = ids >= 0
-    if known.sum() < WINDOW:
-        return []
-    # numbers the items don't have are still numbers
-    types = np.where(known, index.template[np.maximum(ids, 0)], -2)
-    for k in np.flatnonzero(~known):
-        if words[k][0] == "#":
-            types[k] = NUMBER
-        elif words[k] in UNITS:
-            types[k] = UNIT
-    full = np.convolve(types != -2, np.ones(WINDOW, int), "valid") == WINDOW
-    at = np.flatnonzero(full)
-    if not len(at):
-        return []
-    keys = window_keys(types)[at]
-    left = np.searchsorted(index.keys, keys, "left")
-    count = np.searchsorted(index.keys, keys, "right") - left
-    hit = np.flatnonzero(count)
+    size = min(WINDOW, len(item))
+    item_template, types = templates(item), templates(ids)
+    keys, own = window_keys(item_template, size), window_keys(types, size)
+    order = np.argsort(keys, kind="stable")
+    left = np.searchsorted(keys[order], own, "left")
+    reps = np.searchsorted(keys[order], own, "right") - left
+    hit = np.flatnonzero(reps)
     if not len(hit):
-        return []
-    reps = count[hit]
-    row = np.repeat(left[hit], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    owner, place, where = index.owner[row], index.place[row], np.repeat(at[hit], reps)
-    found = []
-    for o in np.unique(owner):
-        item_id, item = index.items[o]
-        mine = owner == o
-        p, w = place[mine], where[mine]
-        template, equal = np.zeros(len(item), bool), np.zeros(len(item), bool)
-        for k in range(WINDOW):
-            template[p + k] = True
-            equal[(p + k)[item[p + k] == ids[w + k]]] = True
-        if template.mean() < limits.screen:
-            continue
-        if equal.mean() >= limits.screen:
-            lo, hi = max(0, w.min() - len(item)), w.max() + WINDOW + len(item)
-            good = 0
-            slots = [0, 0]
-            used = 0
-            # no alignment can have more equal words than there are item words in the region
-            possible = np.isin(item, ids[lo:hi]).sum() >= limits.share * len(item)
-            for a, b in stretches(item, ids[lo:hi], limits.least, limits.density) if possible else ():
-                same = item[a] == ids[lo:hi][b]
-                slot = (index.template[item[a]] <= UNIT) & (types[lo:hi][b] == index.template[item[a]])
-                slots[0] += int((slot & same).sum())
-                slots[1] += int(slot.sum())
+        return None
+    reps = reps[hit]
+    p = order[np.repeat(left[hit], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)]
+    w = np.repeat(hit, reps)
+    template, equal = np.zeros(len(item), bool), np.zeros(len(item), bool)
+    whole = np.ones(len(p), bool)
+    for k in range(size):
+        template[p + k] = True
+        same = item[p + k] == ids[w + k]
+        whole &= same
+        equal[(p + k)[same]] = True
+    if len(item) < WINDOW:
+        return (1.0, 1.0, 1, "copy") if whole.any() else (1.0, float(equal.mean()), 0, "variant")
+    if template.mean() < limits.screen:
+        return None
+    if equal.mean() >= limits.screen:
+        lo, hi = max(0, w.min() - len(item)), w.max() + WINDOW + len(item)
+        near, kinds = ids[lo:hi], types[lo:hi]
+        # no alignment can have more equal words than there are item words in the region
+        if np.isin(item, near).sum() >= limits.share * len(item):
+            good, used, agree, slots = 0, 0, 0, 0
+            for a, b in stretches(item, near, limits.least, limits.density):
+                same = item[a] == near[b]
+                slot = (item_template[a] <= UNIT) & (kinds[b] == item_template[a])
+                agree += int((slot & same).sum())
+                slots += int(slot.sum())
                 span = a[-1] - a[0] + 1
                 if same.sum() >= max(limits.least, limits.density * span) and (slot & ~same).sum() < limits.swaps * span:
                     good += int(same.sum())
                     used += 1
             if good >= limits.share * len(item):
-                found.append((item_id, good / len(item), slots[0] / slots[1] if slots[1] else 1.0, used, "copy"))
-                continue
-        if template.mean() >= limits.share:
-            found.append((item_id, float(template.mean()), float(equal[template].mean()), 0, "variant"))
-    return found
-
-
-def find_leaks(documents: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, item_text: Column, limits: Limits | None = None, block: int = 5_000, variants: bool = True) -> DataFrame:
+                return good / len(item), agree / slots if slots else 1.0, used, "copy"
+    if template.mean() >= limits.share:
+        return float(template.mean()), float(equal[template].mean()), 0, "variant"
+    return None
+
+
+def coded_items(items: DataFrame, names: np.ndarray) -> DataFrame:
+    """Of items (item_id, t): item_id, codes, keys; items without words are left out."""
+    held = items.sparkSession.sparkContext.broadcast(names)  # of fixed size
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = WordCodes(held.value)
+        for batch in batches:
+            codes = [np.array(coder(words_of(t)), np.uint64) for t in batch["t"]]
+            out = [(i, c.view(np.int64), item_keys(templates(c)).view(np.int64)) for i, c in zip(batch["item_id"], codes) if len(c)]
+            yield pd.DataFrame(out, columns=["item_id", "codes", "keys"])
+
+    return items.mapInPandas(run, "item_id long, codes array<long>, keys array<long>")
+
+
+def coded_documents(documents: DataFrame, names: np.ndarray, windows: np.ndarray, sizes: Sequence[int]) -> DataFrame:
+    """Of documents (doc_id, t) those with a window that is in the filter ``windows``: doc_id, uid (a hash of the text), codes, keys (of these windows, distinct). Whole texts are read, once."""
+    held = documents.sparkSession.sparkContext.broadcast((names, windows))  # of fixed size
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, windows = held.value
+        coder = WordCodes(names)
+
+        def some(ids: list, uids: list, codes: list[int], ends: list[int]) -> pd.DataFrame:
+            flat = np.array(codes, np.uint64)
+            end = np.array(ends)
+            start = np.r_[0, end[:-1]]
+            owner = np.repeat(np.arange(len(ids)), end - start)
+            kinds = templates(flat)
+            at, got = [], []
+            for size in sizes:
+                keys = window_keys(kinds, size)
+                hit = np.flatnonzero(in_filter(windows, keys))
+                hit = hit[owner[hit] == owner[hit + size - 1]]  # inside one document
+                at.append(owner[hit])
+                got.append(keys[hit])
+            at, got = np.concatenate(at), np.concatenate(got)
+            order = np.argsort(at, kind="stable")
+            at, got = at[order], got[order]
+            docs, first = np.unique(at, return_index=True)
+            parts = np.split(got, first[1:])
+            return pd.DataFrame(
+                {
+                    "doc_id": [ids[d] for d in docs],
+                    "uid": [uids[d] for d in docs],
+                    "codes": pd.Series([flat[start[d] : end[d]].view(np.int64) for d in docs], dtype=object),
+                    "keys": pd.Series([np.unique(k).view(np.int64) for k in parts[: len(docs)]], dtype=object),
+                }
+            )
+
+        for batch in batches:
+            ids, uids, codes, ends = [], [], [], []
+            for d, u, t in zip(batch["doc_id"], batch["uid"], batch["t"]):
+                ids.append(d)
+                uids.append(u)
+                codes += coder(words_of(t))
+                ends.append(len(codes))
+                if len(codes) > 400_000:
+                    yield some(ids, uids, codes, ends)
+                    ids, uids, codes, ends = [], [], [], []
+            if codes:
+                yield some(ids, uids, codes, ends)
+
+    rows = documents.select("doc_id", F.xxhash64("t").alias("uid"), "t")
+    return rows.mapInPandas(run, "doc_id long, uid long, codes array<long>, keys array<long>")
+
+
+def probe_windows(items: DataFrame, screen: float) -> DataFrame:
+    """The windows by which items are sought: key, item_id.
+
+    A document must have windows over ``screen`` of an item's words. So the
+    item's most frequent windows among the items may be left out as long as they cover less than
+    that: whatever else a document shares with it, it shares one of the others. Phrases common to many items
+    then bring few pairs, and none is lost.
+    """
+    each = items.select("item_id", F.size("codes").alias("n"), F.posexplode("keys").alias("place", "key"))
+    frequency = each.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
+    windows = each.join(frequency, "key").groupBy("item_id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "place", "key"))).alias("w"))  # one entry a word of the item
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, keys = [], []
+            for i, n, own in zip(batch["item_id"], batch["n"], batch["w"]):
+                own = list(own)
+                covered = np.zeros(n, bool)
+                while len(own) > 1 and own[-1]["f"] > 1:
+                    p = own[-1]["place"]
+                    covered[p : p + WINDOW] = True
+                    if covered.sum() >= screen * n:
+                        break
+                    own.pop()
+                for k in {x["key"] for x in own}:
+                    ids.append(i)
+                    keys.append(k)
+            yield pd.DataFrame({"key": np.array(keys, np.int64), "item_id": np.array(ids, np.int64)})
+
+    return windows.mapInPandas(run, "key long, item_id long")
+
+
+def _screened(item_keys: str, keys: str, n: Column, screen: float) -> Column:
+    """Whether the windows that are among ``keys`` cover at least ``screen`` of an item's n words; always for an item shorter than a window."""
+    hit = F.transform(item_keys, lambda k: F.array_contains(keys, k))
+    gaps = F.transform(F.filter(F.transform(hit, lambda h, i: F.when(h, i)), lambda p: p.isNotNull()), lambda p: p.cast("int"))
+    # each window adds the words that the one before it doesn't cover
+    start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("words"))
+    covered = F.aggregate(gaps, start, lambda acc, p: F.struct(p.alias("last"), (acc["words"] + F.least(F.lit(WINDOW), p - acc["last"])).alias("words")))["words"]
+    return (n < WINDOW) | (covered >= screen * n)
+
+
+def find_leaks(documents: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, item_text: Column, limits: Limits | None = None, variants: bool = True) -> DataFrame:
     """Documents that hold items: doc_id, item_id, share, slot_agreement, stretches, kind.
 
-    The items are the build side, in blocks of ``block`` so that a broadcast
-    table is of bounded size however many there are; the documents are the
-    probe side, whole texts, not shuffled. Repeated documents give a row each;
-    null, empty and short texts and documents without id none. Extra columns don't matter.
+    Neither side comes to the driver: the items' windows are a table that the
+    documents' windows are joined with; the pairs it gives are joined with the
+    codes of both and compared whole. Texts that occur in several documents are compared once. Repeated rows give one
+    row; a doc_id with several texts one for each that differs in the result. Null, empty texts, rows
+    without id and texts without words give none. Extra columns don't matter.
     """
     limits = limits or Limits()
-    spark = documents.sparkSession
-    rows = [(r[0], r[1]) for r in items.select(item_id.cast("long"), item_text).where(item_text.isNotNull() & item_id.isNotNull()).orderBy(item_id).collect()]
-    probe = documents.select(doc_id.cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    schema = "doc_id long, item_id long, share double, slot_agreement double, stretches int, kind string"
-    result = None
-    for start in range(0, max(1, len(rows)), block):
-        held = spark.sparkContext.broadcast(build_index(rows[start : start + block]))
-
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = [(d, *m) for d, t in zip(batch["doc_id"], batch["text"]) for m in matches(words_of(t), held.value, limits) if variants or m[4] == "copy"]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "share", "slot_agreement", "stretches", "kind"])
-
-        part = probe.mapInPandas(run, schema)
-        result = part if result is None else result.unionByName(part)
-    return result
+    wanted = materialize(items.select(item_id.cast("long").alias("item_id"), item_text.alias("t")).where(F.col("t").isNotNull() & F.col("item_id").isNotNull()).distinct(), "items")
+    names = name_filter(wanted, "t")
+    coded = materialize(coded_items(wanted, names).withColumn("item", F.xxhash64("item_id", "codes")), "coded-items")
+    keys = coded.select(F.explode("keys").alias("h")).distinct()
+    sizes = sorted(r[0] for r in coded.select(F.least(F.size("codes"), F.lit(WINDOW)).alias("s")).distinct().collect()) or [WINDOW]  # at most WINDOW values
+    probe = documents.select(doc_id.cast("long").alias("doc_id"), text.alias("t")).where(F.col("t").isNotNull() & F.col("doc_id").isNotNull())
+    found = materialize(coded_documents(probe, names, bit_filter(keys, LOG2_WINDOWS), sizes), "coded-documents")
+    windows = materialize(probe_windows(coded.select(F.col("item").alias("item_id"), "codes", "keys"), limits.screen), "windows")
+    hits = found.select("uid", F.explode("keys").alias("key")).distinct()
+    pairs = materialize(join_checked(hits, windows, ["key"], "inner").select("uid", F.col("item_id").alias("item")).distinct(), "pairs")
+    texts = join_checked(found.select("uid", "codes", "keys"), materialize(pairs.select("uid").distinct(), "uids"), ["uid"], "left_semi").dropDuplicates(["uid"])
+    own = materialize(coded.select("item", "item_id", F.col("codes").alias("item_codes"), F.col("keys").alias("item_keys")), "item-codes")
+    both = join_checked(pairs.join(texts, "uid"), own, ["item"], "inner").where(_screened("item_keys", "keys", F.size("item_codes"), limits.screen))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for u, i, c, d in zip(batch["uid"], batch["item_id"], batch["item_codes"], batch["codes"]):
+                m = match_pair(c.view(np.uint64), d.view(np.uint64), limits)
+                if m and (variants or m[3] == "copy"):
+                    out.append((u, i, *m))
+            yield pd.DataFrame(out, columns=["uid", "item_id", "share", "slot_agreement", "stretches", "kind"])
+
+    matched = both.select("uid", "item_id", "item_codes", "codes").mapInPandas(run, "uid long, item_id long, share double, slot_agreement double, stretches int, kind string")
+    matched = materialize(matched, "matched")
+    return join_checked(found.select("doc_id", "uid"), matched, ["uid"], "inner").drop("uid").distinct()

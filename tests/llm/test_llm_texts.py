@@ -120,8 +120,11 @@ def test_leaks(spark):
     got = leaks(spark, docs)
     assert {k for k, r in got.items() if r.kind == "copy"} == {(d, 1) for d in (1, 2, 3, 6, 9, 10, 11)}
     assert got[3, 1].stretches == 2 and got[1, 1].share == 1.0
-    blocks = leaks(spark, docs, block=1)
-    assert {k: (r.share, r.kind) for k, r in blocks.items() if r.kind == "copy"} == {k: (r.share, r.kind) for k, r in got.items() if r.kind == "copy"}
+
+
+def pair(item, doc):
+    coder = leakage.WordCodes(np.zeros(1 << 14, np.uint64))
+    return leakage.match_pair(np.array(coder(item), np.uint64), np.array(coder(doc), np.uint64), leakage.Limits())
 
 
 @pytest.mark.parametrize("n,first,gap,second", [(66, 20, 12, 20), (66, 25, 13, 22), (90, 30, 20, 30), (66, 18, 16, 17)])
@@ -129,14 +132,61 @@ def test_leaks(spark):
 def test_two_stretches_around_a_gap(n, first, gap, second, replaced):
     """A gap shorter than the stretches around it, left out or replaced, doesn't lose the pair."""
     item = [f"w{k}a" for k in range(n)]
-    index = leakage.build_index([(1, " ".join(item))])
     other = [f"x{k}a" for k in range(gap)] if replaced else []
     doc = ["so", *item[:first], *other, *item[first + gap : first + gap + second], "then"]
-    found = leakage.matches(doc, index, leakage.Limits())
-    assert [(m[0], m[3], m[4]) for m in found] == [(1, 2, "copy")] and found[0][1] == (first + second) / n
+    found = pair(item, doc)
+    assert found[2:] == (2, "copy") and found[0] == (first + second) / n
     # a third stretch isn't counted
     thirds = [*item[: n // 5], *other, *item[2 * n // 5 : 3 * n // 5], *other, *item[4 * n // 5 :]]
-    assert not any(m[4] == "copy" for m in leakage.matches(thirds, index, leakage.Limits()))
+    assert (pair(item, thirds) or "none")[-1] != "copy"
+
+
+def test_recall_from_half_of_an_item(spark):
+    """Whatever holds 50 to 70 % of an item in one or two stretches, lightly altered or not, is found; less is not."""
+    rng = random.Random(3)
+    items = {i: [f"w{i}x{k}" if k % 3 else rng.choice(FILL.split()) for k in range(rng.randint(24, 70))] for i in range(12)}
+    docs, want = [], set()
+    for d in range(150):
+        i = rng.randrange(12)
+        item = items[i]
+        share = rng.choice([0.3, 0.55, 0.6, 0.7])
+        n = int(share * len(item)) + 1
+        cut = n // 2 if rng.random() < 0.5 and n >= 16 else n
+        at = rng.randint(0, len(item) - n)
+        skipped = rng.randint(0, len(item) - n - at)
+        words = item[at : at + cut] + FILL.split()[:20] * (cut < n) + item[at + cut + skipped * (cut < n) :][: n - cut]
+        if share == 0.7 and cut == n:
+            words[len(words) // 2] = "other"
+        docs.append((d, FILL + " ".join(words) + " " + FILL))
+        if share > 0.5:
+            want.add((d, i))
+    got = {k for k, r in leaks(spark, docs, items=[(i, " ".join(w)) for i, w in items.items()]).items() if r.kind == "copy"}
+    assert got == want
+
+
+def test_recall_of_variants(spark):
+    """Questions with other names, numbers and units in the same template are found as variants."""
+    rng = random.Random(8)
+    names = "Irsa Urdis Vannic Quellwater Velbury Dunmere Osk".split()
+
+    def made(k):
+        a, b, c = rng.sample(names, 3)
+        n, m, h = (rng.choice("three four seven nine twelve nineteen forty".split()) for _ in range(3))
+        return f"On day {k} the clerk {a} sold q{k}a {n} boats to his friend {b} for q{k}b {m} {rng.choice(['dollars', 'euros', 'cents'])} each, and {c} rowed q{k}c home in {h} {rng.choice(['hours', 'minutes'])}. How much did q{k}d earn that day?"
+
+    items = [(k, made(k)) for k in range(40)]
+    docs = [(k, FILL + made(k) + " " + FILL) for k in range(40)]
+    got = leaks(spark, docs, items=items)
+    assert len({d for (d, i) in got if d == i}) >= 36
+
+
+def test_short_items_and_common_phrases(spark):
+    """Items under a window are found whole; a phrase that all items share brings no pair and hides none."""
+    phrase = "read the following passage and then answer the question below"
+    items = [(1, "quellwater tram"), (2, "Irsa"), *[(10 + k, f"{phrase} " + " ".join(f"t{k}w{j}" for j in range(40))) for k in range(30)]]
+    docs = [(1, "we took the Quellwater tram home"), (2, "quellwater has a tram"), (3, f"{phrase} t5w0"), (4, items[7][1]), (5, "irsa")]
+    got = leaks(spark, docs, items=items)
+    assert {k for k, r in got.items() if r.kind == "copy"} == {(1, 1), (4, 15), (5, 2)}
 
 
 def test_variants_are_no_copies(spark):
