@@ -300,8 +300,9 @@ def match_pair(item: np.ndarray, ids: np.ndarray, limits: Limits) -> tuple[float
     if equal.mean() >= limits.screen:
         lo, hi = max(0, w.min() - len(item)), w.max() + WINDOW + len(item)
         near, kinds = ids[lo:hi], types[lo:hi]
-        # no alignment can have more equal words than there are item words in the region
-        if np.isin(item, near).sum() >= limits.share * len(item):
+        # in stretches this dense most equal words follow one another, a fifth of them being altered or followed by insertions
+        pairs = np.isin(item[:-1] * _MIX ^ item[1:], near[:-1] * _MIX ^ near[1:]).sum()
+        if pairs >= (2 - 1 / limits.density) * limits.share * 0.8 * len(item) - 2:
             good, used, agree, slots = 0, 0, 0, 0
             for a, b in stretches(item, near, limits.least, limits.density):
                 same = item[a] == near[b]
@@ -447,9 +448,11 @@ def find_leaks(documents: DataFrame, doc_id: Column, text: Column, items: DataFr
     windows = materialize(probe_windows(coded.select(F.col("item").alias("item_id"), "codes", "keys"), limits.screen), "windows")
     hits = found.select("uid", F.explode("keys").alias("key")).distinct()
     pairs = materialize(join_checked(hits, windows, ["key"], "inner").select("uid", F.col("item_id").alias("item")).distinct(), "pairs")
-    texts = join_checked(found.select("uid", "codes", "keys"), materialize(pairs.select("uid").distinct(), "uids"), ["uid"], "left_semi").dropDuplicates(["uid"])
-    own = materialize(coded.select("item", "item_id", F.col("codes").alias("item_codes"), F.col("keys").alias("item_keys")), "item-codes")
-    both = join_checked(pairs.join(texts, "uid"), own, ["item"], "inner").where(_screened("item_keys", "keys", F.size("item_codes"), limits.screen))
+    own = materialize(coded.select("item", "item_id", F.size("codes").alias("n"), F.col("keys").alias("item_keys")), "item-keys")
+    seen = materialize(join_checked(found, materialize(pairs.select("uid").distinct(), "uids"), ["uid"], "left_semi").select("uid", "codes", "keys").dropDuplicates(["uid"]), "texts")
+    near = join_checked(join_checked(pairs, materialize(seen.select("uid", "keys"), "text-keys"), ["uid"], "inner"), own, ["item"], "inner")
+    near = materialize(near.where(_screened("item_keys", "keys", F.col("n"), limits.screen)).select("uid", "item", "item_id"), "near")
+    both = join_checked(join_checked(near, materialize(coded.select("item", F.col("codes").alias("item_codes")), "item-codes"), ["item"], "inner"), seen.select("uid", "codes"), ["uid"], "inner")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
