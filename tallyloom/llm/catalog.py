@@ -122,7 +122,7 @@ def _judged(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _judged(spark, folder).where("cut").select("doc_id")
+    return _judged(spark, folder).where("cut").select("doc_id").distinct()
 
 
 def p10_sources(spark: SparkSession, folder: str) -> DataFrame:

@@ -352,6 +352,30 @@ def test_cut_texts(spark):
     assert truncation.judge_texts(df.limit(0), F.col("doc_id"), F.col("text"), F.col("source")).count() == 0
 
 
+def evidence(df):
+    """doc_id: ends, of copy_evidence."""
+    rows = truncation.text_rows(df, F.col("doc_id"), F.col("text"), F.lit("s")).cache()
+    closing = truncation.closing_contexts(rows).dropDuplicates(["uid"]).cache()
+    every = np.full(1 << 12, np.iinfo(np.uint64).max, np.uint64)
+    found = truncation.copy_evidence(rows.select("uid", "text"), closing, truncation.scan_texts(rows, every, every).cache())
+    return {r.doc_id: r.ends for r in rows.join(found, "uid").collect()}
+
+
+@pytest.mark.parametrize("kept", [0.95, 0.8, 0.7, 0.6, 0.5, 0.25])
+def test_copies_of_any_length_are_found(spark, kept):
+    """Recall against brute force (each text is contained in exactly one other), a few words altered or not."""
+    rng = random.Random(int(kept * 100))
+    data = []
+    for i in range(20):
+        words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        cut = words[: int(200 * kept)]
+        if i % 2:
+            cut[len(cut) // 2] = "other"
+        data += [(2 * i, " ".join(cut)), (2 * i + 1, " ".join(words) + ".")]
+    got = evidence(spark.createDataFrame(data, "doc_id long, text string"))
+    assert len([d for d, e in got.items() if e == "inside" and d % 2 == 0]) >= 19
+
+
 def test_copies_decide(spark):
     """A near-copy that goes on shows where a text was cut."""
     base = " ".join(SENTENCES[:10])
@@ -359,11 +383,10 @@ def test_copies_decide(spark):
     cut = base + " The coach asked about the rent all week"
     short = base[:-1]
     df = spark.createDataFrame([(1, long), (2, cut), (3, short), (4, long)], "doc_id long, text string")
-    closing = truncation.closing_contexts(df).cache()
-    got = {r.doc_id: r.ends for r in truncation.copy_evidence(df, closing).collect()}
+    got = evidence(df)
     assert got == {2: "inside", 3: "between"}
     appended = spark.createDataFrame([(1, short), (2, short + " #tag #more #words")], "doc_id long, text string")
-    assert {r.ends for r in truncation.copy_evidence(appended, truncation.closing_contexts(appended).cache()).collect()} == {"between"}
+    assert set(evidence(appended).values()) <= {"between"}
 
 
 def test_copies_in_hot_groups(spark):
@@ -380,7 +403,7 @@ def test_copies_in_hot_groups(spark):
         data += [(1000 * g + 100, " ".join(base[:90]))]
         want |= {1000 * g: "between" if g % 2 else "inside", 1000 * g + 100: "between" if g % 2 else "inside"}
     df = spark.createDataFrame(data, "doc_id long, text string")
-    got = {r.doc_id: r.ends for r in truncation.copy_evidence(df, truncation.closing_contexts(df).cache()).collect()}
+    got = evidence(df)
     assert got == want
 
 
@@ -388,7 +411,7 @@ def test_copy_cut_at_the_same_place_shows_nothing(spark):
     """Two texts cut at one place, with other things appended, don't show each other whole; a third that goes on shows both."""
     cut = " ".join(SENTENCES[:10]) + " The coach asked about the"
     df = spark.createDataFrame([(1, cut), (2, cut + " #tag #more #words"), (3, cut + " rent all week.")], "doc_id long, text string")
-    got = {r.doc_id: r.ends for r in truncation.copy_evidence(df, truncation.closing_contexts(df).cache()).collect()}
+    got = evidence(df)
     assert got[1] == "inside"
     judged = truncation.judge_texts(df.where("doc_id < 3").withColumn("source", F.lit("s")), F.col("doc_id"), F.col("text"), F.col("source"))
     assert {r.doc_id for r in judged.where("cut").collect()} == {1, 2}
@@ -442,27 +465,26 @@ def test_length_limits(spark):
     assert found == want
 
 
-def test_minhash_recall_against_brute_force(spark):
-    rng = random.Random(5)
-    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(80)) for _ in range(40)]
-    near = [" ".join(t.split()[: rng.randint(72, 79)]) for t in texts]
-    df = spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string")
-    sig = truncation.signatures(df).collect()
-    hasher = truncation.Hasher()
-    s = {i: set(truncation.shingles_of(t, hasher).tolist()) for i, t in enumerate(texts + near)}
-    true = {(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])}
-    at: dict = {}
-    for r in sig:
-        at.setdefault((r.band, r.bucket), set()).add(r.doc_id)
-    together = {(a, b) for g in at.values() for a in g for b in g if a < b}
-    assert len(true & together) >= 0.97 * len(true) and true
+def test_start_signatures_equal_brute_force():
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 50, n).astype(np.uint64) for n in (0, 1, 7, 40, 0, 3, 12)]
+    key, text, size = truncation.start_signatures(np.concatenate(texts), np.array([len(t) for t in texts]))
+    assert [(t, s) for t, s in zip(text, size)] == [(i, s) for i, t in enumerate(texts) if len(t) for s in truncation.sizes_upto(len(t))]
+    for k, t, s in zip(key, text, size):
+        low = (texts[t][:s, None] * truncation._MULT + truncation._ADD).min(axis=0).reshape(truncation.BANDS, truncation.ROWS)
+        for band in range(truncation.BANDS):
+            want = np.uint64(s) * truncation._MIX + np.uint64(band)
+            for r in range(truncation.ROWS):
+                want = (want ^ low[band, r]) * truncation._MIX
+                want ^= want >> np.uint64(29)
+            assert k[band] == want
+    assert len(truncation.start_signatures(np.zeros(0, np.uint64), np.zeros(3, int))[0]) == 0
 
 
 def test_counts_of_contexts(spark):
-    df = spark.createDataFrame([(1, "a b c. a b d"), (2, "x a b. y")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "a b c. a b d"), (2, "x a b. y"), (3, "c. a")], "uid long, text string")
     hasher = truncation.Hasher()
     h = truncation.contexts(hasher(["a", "b"]))[1][-1]
-    bits = np.zeros(1 << 19, np.uint64)
-    bits[:] = np.iinfo(np.uint64).max
-    got = {r.h: (r.n, r.e) for r in truncation.context_counts(df, bits).collect()}
+    every = np.full(1 << 12, np.iinfo(np.uint64).max, np.uint64)
+    got = {r.h: (r.n, r.e) for r in truncation.context_counts(truncation.scan_texts(df, every, every)).collect()}
     assert got[int(h.view(np.int64))] == (3, 1)
