@@ -60,14 +60,15 @@ def clean_messages(df: DataFrame, message: str, group: str, order: Sequence[str]
 
 def stop_word_language(text: Column, words: Mapping[str, Sequence[str]] = STOP_WORDS) -> Column:
     """struct (lang, confidence): the language with most stop words and its share of all stop words found; both null if there are none. Ties go to the first name."""
-    t = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}']+"), 0)
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}']+"), 0)
 
-    def count(known: Sequence[str]) -> Column:
-        return F.size(F.filter(t, lambda w: w.isin(*known)))
+    def judge(t: Column) -> Column:
+        hits = F.array(*[F.struct(F.size(F.filter(t, lambda w: w.isin(*s))).alias("n"), F.lit(l).alias("lang")) for l, s in sorted(words.items())])  # noqa: B023
+        best = F.aggregate(hits, F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("lang"), F.lit(0).alias("total")), lambda acc, h: F.struct(F.greatest(acc["n"], h["n"]).alias("n"), F.when(h["n"] > acc["n"], h["lang"]).otherwise(acc["lang"]).alias("lang"), (acc["total"] + h["n"]).alias("total")))
+        return F.transform(F.array(best), lambda b: F.struct(b["lang"].alias("lang"), F.round(b["n"] / F.nullif(b["total"], F.lit(0)), 8).alias("confidence")))[0]
 
-    hits = F.array(*[F.struct(count(s).alias("n"), F.lit(l).alias("lang")) for l, s in sorted(words.items())])
-    best = F.aggregate(hits, F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("lang"), F.lit(0).alias("total")), lambda acc, h: F.struct(F.greatest(acc["n"], h["n"]).alias("n"), F.when(h["n"] > acc["n"], h["lang"]).otherwise(acc["lang"]).alias("lang"), (acc["total"] + h["n"]).alias("total")))
-    return F.transform(F.array(best), lambda b: F.struct(b["lang"].alias("lang"), F.round(b["n"] / F.nullif(b["total"], F.lit(0)), 8).alias("confidence")))[0]
+    # bound to a variable, so that the words are found once a row
+    return F.transform(F.array(found), judge)[0]
 
 
 def plain_for_language(text: Column) -> Column:

@@ -21,6 +21,7 @@ def extract_ngrams(
     binary: bool = False,
     value_func: Callable[[Column], Column] | None = None,
     lower: bool = True,
+    norm: bool = True,
 ) -> DataFrame:
     """The feature table of messages: group_id, feat, value, group_norm (and n, if several sizes are asked for).
 
@@ -28,7 +29,7 @@ def extract_ngrams(
     group's n-grams of that size, before ``min_value`` takes rare ones away, or 1 with
     ``binary``; ``value_func`` is applied to the count before shares are formed. Rows with a null or empty group or message are dropped, as are messages with too
     few tokens. ``whitelist`` names an array column of the known tokens (see ``text.whitelisted_ngrams``). All sizes come from one pass over the tokens; counts are
-    combined on the map side, and totals are sums of these counts.
+    combined on the map side, and totals are sums of these counts. Without ``norm`` only all counts are given, to be written before shares are formed.
     """
     rows = df.where(F.col(group).isNotNull() & (F.col(group) != "") & F.col(message).isNotNull() & (F.col(message) != ""))
     rows = rows.select(F.col(group).cast("string").alias("group_id"), tokenize(F.col(message)).alias("_t"), *([whitelist] if whitelist else []))
@@ -40,8 +41,11 @@ def extract_ngrams(
     counted = each.groupBy("group_id", "n", "feat").agg(F.count(F.lit(1)).cast("double").alias("value"))
     if value_func:
         counted = counted.withColumn("value", value_func(F.col("value")))
+    many = ["n"] if len(sizes) > 1 else []
+    if not norm:
+        return counted.select("group_id", *many, "feat", "value")
     out = with_group_norm(counted, ["group_id", "n"], binary=binary).where(F.col("value") >= min_value)
-    return out.select("group_id", *(["n"] if len(sizes) > 1 else []), "feat", "value", "group_norm")
+    return out.select("group_id", *many, "feat", "value", "group_norm")
 
 
 def with_group_norm(features: DataFrame, group: Sequence[str] = ("group_id",), value: str = "value", name: str = "group_norm", binary: bool = False) -> DataFrame:

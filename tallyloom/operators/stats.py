@@ -52,8 +52,8 @@ def reliability(df: DataFrame, group: str, value: str, measure: str = "d", n_per
     """Split-half effect sizes per group: group, n, effect, effect_se, reliable (effect + 1.96 se below 0.1).
 
     Values are sorted before they are shuffled with a fixed seed, so results don't
-    depend on the order of rows; null and NaN values are left out. A group's values
-    are held in one task, as the shuffle needs them; groups are places in weeks.
+    depend on the order of rows; null and NaN values are left out. The shuffle needs a group's values
+    in one task: for groups that may be large take ``reliability_hashed``, as all registered queries do.
     """
     how = {"d": split_half_d, "h": split_half_h}[measure]
     kind = dict(df.dtypes)[group]
@@ -70,25 +70,37 @@ def reliability(df: DataFrame, group: str, value: str, measure: str = "d", n_per
     return out.withColumn("reliable", F.coalesce(F.col("effect") + 1.96 * F.col("effect_se") < RELIABLE, F.lit(False))).withColumnRenamed("g", group)
 
 
-def reliability_hashed(df: DataFrame, group: str, value: str, id_: str, n_perms: int = 30, least: int = 3) -> DataFrame:
-    """Split-half d like ``reliability`` for groups of any size: halves by a hash of the row's id and the split's number.
+def reliability_hashed(df: DataFrame, group: str, value: str, id_: str, measure: str = "d", n_perms: int = 30, thresholds: Sequence[int] = (3,)) -> DataFrame:
+    """Split-half effect sizes like ``reliability`` for groups of any size: the p-th half is told by the p-th hexadecimal digit of the md5 of the row's id.
 
-    group, n, effect, effect_se, reliable. Everything is sums that are combined
-    on the map side; no group is held anywhere. A split with an empty half is left out.
+    group, threshold, n, effect, effect_se, reliable; one row a group and threshold. Everything is sums that are combined
+    on the map side; no group is held anywhere. A split with an empty half is left out. Effects
+    are null below ``threshold`` values, without spread (``d``, and ``h`` of several splits), and for ``h`` where a half's mean is outside 0 and 1.
     """
-    rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.col(id_).alias("i"))
+    if not 0 < n_perms <= 32:
+        raise ValueError("1 to 32 splits")
+    v = F.col(value).cast("double")
+    rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull() & ~F.isnan(v)).select(F.col(group).alias("g"), v.alias("v"), F.md5(F.col(id_).cast("string")).alias("i"))
     aggs = [F.count(F.lit(1)).alias("n"), F.stddev_pop("v").alias("sd"), F.sum("v").alias("s")]
     for p in range(n_perms):
-        first = F.pmod(F.xxhash64("i", F.lit(SEED * 1000 + p)), F.lit(2)) == 0
+        first = F.substring("i", p + 1, 1) < "8"
         aggs += [F.count_if(first).alias(f"n{p}"), F.sum(F.when(first, F.col("v"))).alias(f"s{p}")]
     s = rows.groupBy("g").agg(*aggs)
     some = lambda c: F.nullif(c.cast("double"), F.lit(0.0))
-    d = F.array(*[F.abs(F.col(f"s{p}") / some(F.col(f"n{p}")) - (F.col("s") - F.col(f"s{p}")) / some(F.col("n") - F.col(f"n{p}"))) / some(F.col("sd")) for p in range(n_perms)])
-    kept = s.select("g", "n", F.when((F.col("n") >= least) & (F.col("sd") > 0), F.filter(d, lambda x: x.isNotNull())).alias("d"))
+    halves = [(F.col(f"s{p}") / some(F.col(f"n{p}")), (F.col("s") - F.col(f"s{p}")) / some(F.col("n") - F.col(f"n{p}"))) for p in range(n_perms)]
+    if measure == "d":
+        each, ok = [F.abs(a - b) / some(F.col("sd")) for a, b in halves], F.col("sd") > 0
+    elif measure == "h":
+        angle = lambda x: F.asin(F.sqrt(F.when((x >= 0) & (x <= 1), x)))
+        each, ok = [F.abs(2 * (angle(a) - angle(b))) for a, b in halves], (F.col("sd") > 0) | F.lit(n_perms == 1)
+    else:
+        raise ValueError(f"no measure {measure}")
+    kept = s.select("g", "n", F.when(ok, F.filter(F.array(*each), lambda x: x.isNotNull())).alias("d"))
+    kept = kept.withColumn("threshold", F.explode(F.array(*[F.lit(int(t)) for t in thresholds]))).withColumn("d", F.when(F.col("n") >= F.greatest("threshold", F.lit(2)), F.col("d")))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     size = some(F.size("d"))
     out = kept.withColumn("effect", total("d") / size).withColumn("effect_se", F.sqrt(F.aggregate("d", F.lit(0.0), lambda a, x: a + F.pow(x - F.col("effect"), 2)) / size) / F.sqrt(size))
-    return out.select(F.col("g").alias(group), "n", "effect", "effect_se", effect(F.col("effect"), F.col("effect_se")).alias("reliable"))
+    return out.select(F.col("g").alias(group), "threshold", "n", "effect", "effect_se", effect(F.col("effect"), F.col("effect_se")).alias("reliable"))
 
 
 def beta_fraction(a: float, b: float, x: float) -> float:

@@ -37,6 +37,12 @@ class Demographic:
 INCOME = Demographic("income", (0.0, *map(float, N.INCOME_EDGES), float("inf")), tuple(f"pct_{i}" for i in range(1, 11)))
 
 
+#: Edges of the other demographics' bins; the census shares are percentages a bin.
+AGE = Demographic("age", (13.0, 20.0, 25.0, 30.0, 35.0, 40.0, 45.0, 50.0, 55.0, 60.0, 65.0, 81.0), tuple(f"age_{i}" for i in range(1, 12)))
+GENDER = Demographic("gender", (0.0, 1.0, 5.0), ("male", "female"))
+EDUCATION = Demographic("education", (0.0, 1.0, 5.0), ("high_school", "bachelor"))
+
+
 def bin_shares(users: DataFrame, value: str, edges: Sequence[float], keys: Sequence[str] = ("cnty", "yw")) -> DataFrame:
     """keys, bin (from 0), n, total, share: users per bin of the complete bin grid over all users of the key, also those in no bin."""
     bins = N.histogram_bin(F.col(value), list(edges))

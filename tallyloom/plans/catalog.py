@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import domain, domain_sql, problems, problems_sql
+from tallyloom.plans import domain, domain_sql, exchange, exchange_sql, problems, problems_sql
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
@@ -12,8 +12,8 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return domain.QUERIES | problems.queries()
+    return domain.QUERIES | exchange.QUERIES | problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return domain_sql.ORACLES | problems_sql.ORACLES
+    return domain_sql.ORACLES | exchange_sql.ORACLES | problems_sql.ORACLES

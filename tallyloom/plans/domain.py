@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions import cleaning as C
 from tallyloom.functions import keys as K
 from tallyloom.functions import numeric as N
 from tallyloom.functions import text as X
@@ -48,6 +49,11 @@ def feature_table(s: SparkSession, d: str) -> DataFrame:
     return FT.merge_repeated(rows.distinct())
 
 
+def stored_features(s: SparkSession, d: str) -> DataFrame:
+    """The feature table written once, for steps that use it more than once."""
+    return materialize(feature_table(s, d), "features")
+
+
 def lexicon_weights(s: SparkSession, d: str) -> DataFrame:
     return lexicon.last_weights(table(s, d, "lexicon"))
 
@@ -62,6 +68,10 @@ def score_features(s: SparkSession, d: str) -> DataFrame:
     return out.withColumn("yw", F.substring_index("group_id", ":", 1))
 
 
+def stored_scores(s: SparkSession, d: str) -> DataFrame:
+    return materialize(score_features(s, d), "scores")
+
+
 def placed_scores(s: SparkSession, d: str) -> DataFrame:
     """Clamped scores with county and weight."""
     located = geo.add_county(score_features(s, d), geo.user_counties(table(s, d, "user_county")))
@@ -85,6 +95,10 @@ def place_panel(s: SparkSession, d: str) -> DataFrame:
     return wide.join(dim, "cnty")
 
 
+def stored_panel(s: SparkSession, d: str) -> DataFrame:
+    return materialize(place_panel(s, d), "panel")
+
+
 # --- messages ---------------------------------------------------------------
 @query
 def message_tokens(s, d):
@@ -171,6 +185,52 @@ def language_filter(s, d):
     return messages.filter_language(distinct_messages(s, d), "message", ["en"], 0.8).select("message_id", "lang", "confidence")
 
 
+@query
+def any_language_filter(s, d):
+    """Messages that are clearly in one language, whichever it is."""
+    return messages.filter_language(distinct_messages(s, d), "message", None, 0.8).select("message_id", "lang", "confidence")
+
+
+@query
+def complete_rows(s, d):
+    return table(s, d, "user_county").na.drop()
+
+
+@query
+def dependency_labels(s, d):
+    c = table(s, d, "county_dim")
+    text = F.concat(F.lit("["), F.col("state_abbr"), F.lit("("), F.col("region_name"), F.lit("-1, "), F.col("division_name"), F.lit("-2), in("), F.col("state_name"), F.lit("-3, "), F.col("state_abbr"), F.lit("-4)]"))
+    return c.select(F.explode(X.dependency_tokens(text, label_only=True)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def posts_by_first_word(s, d):
+    """A date with its time cut at the blank."""
+    m = distinct_messages(s, d).where("created_at is not null")
+    return m.select(K.first_word(F.col("created_at")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def cleaned_numbers(s, d):
+    """What stands for a number where numbers are read from text; the rest counts as 0."""
+    m = distinct_messages(s, d)
+    return m.select("message_id", C.clean_number(F.col("user_id")).alias("number")).distinct()
+
+
+@query
+def first_messages_of_users(s, d):
+    """The first two messages of every user."""
+    m = distinct_messages(s, d).where("user_id is not null and message_id is not null").select("user_id", "message_id").distinct()
+    return messages.first_rows(m, ["user_id"], ["message_id"], 2)
+
+
+@query
+def counties_in_order(s, d):
+    """The county dimension sorted by its index, with each row's place."""
+    c = table(s, d, "county_dim").orderBy("fips")
+    return c.select("fips", "state_abbr", F.row_number().over(Window.partitionBy("state_abbr").orderBy("fips")).alias("place"))
+
+
 @query
 def iso_week_users(s, d):
     return keyed_messages(s, d).groupBy("group_id").agg(F.count(F.lit(1)).alias("n_posts"))
@@ -227,14 +287,14 @@ def ngrams_binary(s, d):
 def ngrams_whitelist(s, d):
     """Bigrams over the lexicon's words; others are out of vocabulary."""
     words = lexicon.vocabulary(table(s, d, "lexicon")).agg(F.collect_list("term").alias("w"))  # the lexicon is of fixed size
-    m = keyed_messages(s, d).join(F.broadcast(words.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
+    m = keyed_messages(s, d).withColumn("w", words.scalar())
     out = ngrams.extract_ngrams(m, "user_id", "message", (2,), tokenize=lambda c: X.whitespace_tokens(F.lower(c)), whitelist="w")
     return out.select("group_id", "feat", "value", r6("group_norm"))
 
 
 @query
 def group_norms(s, d):
-    return ngrams.with_group_norm(feature_table(s, d).drop("group_norm")).select("group_id", "feat", "value", r6("group_norm"))
+    return ngrams.with_group_norm(stored_features(s, d).drop("group_norm")).select("group_id", "feat", "value", r6("group_norm"))
 
 
 @query
@@ -246,7 +306,7 @@ def repeated_features_compat(s, d):
 
 @query
 def rare_features_folded(s, d):
-    return FT.fold_rare(feature_table(s, d), 0.01).select("group_id", "feat", r6("value"), r6("group_norm"))
+    return FT.fold_rare(stored_features(s, d), 0.01).select("group_id", "feat", r6("value"), r6("group_norm"))
 
 
 @query
@@ -256,7 +316,7 @@ def document_frequencies(s, d):
 
 @query
 def anscombe(s, d):
-    return FT.anscombe_rebase(feature_table(s, d), ("2020_01", "2021_01")).select("group_id", "feat", r6("value"), r6("group_norm"))
+    return FT.anscombe_rebase(stored_features(s, d), ("2020_01", "2021_01")).select("group_id", "feat", r6("value"), r6("group_norm"))
 
 
 @query
@@ -293,12 +353,12 @@ def clamped_scores(s, d):
 
 @query
 def standardized_scores(s, d):
-    return FT.clamp_scores(score_features(s, d), standardize=True).select("group_id", "feat", r6("group_norm"))
+    return FT.clamp_scores(stored_scores(s, d), standardize=True).select("group_id", "feat", r6("group_norm"))
 
 
 @query
 def recentered_scores(s, d):
-    return FT.clamp_scores(score_features(s, d), standardize=True, recenter=True, clamp_again=True).select("group_id", "feat", r6("group_norm"))
+    return FT.clamp_scores(stored_scores(s, d), standardize=True, recenter=True, clamp_again=True).select("group_id", "feat", r6("group_norm"))
 
 
 @query
@@ -308,12 +368,12 @@ def week_bounds(s, d):
 
 @query
 def sigma_reset(s, d):
-    return FT.reset_outliers(score_features(s, d)).select("group_id", "feat", r6("group_norm"))
+    return FT.reset_outliers(stored_scores(s, d)).select("group_id", "feat", r6("group_norm"))
 
 
 @query
 def min_max_scores(s, d):
-    return FT.scale_min_max(score_features(s, d)).select("group_id", "feat", "group_norm")
+    return FT.scale_min_max(stored_scores(s, d)).select("group_id", "feat", "group_norm")
 
 
 # --- places and weights -----------------------------------------------------
@@ -354,7 +414,7 @@ def super_counties(s, d):
     mapping = table(s, d, "county_dim").select(
         F.lpad(fips.cast("string"), 5, "0").alias("cnty"), F.concat(F.lit("d"), F.col("division")).alias("super_cnty"), F.when(fips % 4 == 3, 0.0).when(fips % 2 == 1, 1.0).otherwise(0.5).alias("super_weight")
     )
-    rows = geo.add_weight(geo.add_county(score_features(s, d), geo.user_counties(table(s, d, "user_county"))), geo.group_weights(table(s, d, "group_weight")))
+    rows = materialize(geo.add_weight(geo.add_county(score_features(s, d), geo.user_counties(table(s, d, "user_county"))), geo.group_weights(table(s, d, "group_weight"))), "located")
     out = geo.aggregate_places(geo.spread_super_counties(rows, mapping))
     return out.select("key", "feat", r6("sum_N_lexwords"), r6("wavg_score"), r6("avg_score"), "N_users")
 
@@ -442,10 +502,54 @@ def counties_filled(s, d):
     return weights.fill_from(w, geo.user_counties(table(s, d, "user_county")), "entity", ["cnty"])
 
 
+def demographics(s: SparkSession, d: str) -> DataFrame:
+    """An age, gender and education for every user and week, made from the user's number."""
+    n = F.substring_index("user_id", ":", -1).cast("long")
+    w = table(s, d, "group_weight").groupBy("user_id", "year_week").agg(F.max("cnty").alias("cnty"))
+    return w.where("cnty is not null").select("user_id", F.col("year_week").alias("yw"), "cnty", (13 + n * 7 % 68).cast("double").alias("age"), (n % 2 * 1.0).alias("gender"), (n % 3 / 2.0).alias("education"))
+
+
+def _census_of(s: SparkSession, d: str, dem: weights.Demographic) -> DataFrame:
+    """Percentages of the demographic's bins for every county, made from the county's number."""
+    fips = F.col("fips")
+    raw = [1 + (fips * (i + 3)) % 11 for i in range(len(dem.census))]
+    total = sum(raw[1:], raw[0])
+    return table(s, d, "county_dim").select(F.lpad(fips.cast("string"), 5, "0").alias("cnty"), *[(100.0 * r / total).alias(c) for c, r in zip(dem.census, raw)])
+
+
+def _poststratified_by(s: SparkSession, d: str, dem: weights.Demographic) -> DataFrame:
+    return weights.poststratify(demographics(s, d), _census_of(s, d, dem), dem).select("user_id", "cnty", "yw", r6("weight"))
+
+
+@query
+def poststratified_age(s, d):
+    return _poststratified_by(s, d, weights.AGE)
+
+
+@query
+def poststratified_gender(s, d):
+    return _poststratified_by(s, d, weights.GENDER)
+
+
+@query
+def poststratified_education(s, d):
+    return _poststratified_by(s, d, weights.EDUCATION)
+
+
+@query
+def incomes_filled(s, d):
+    """Six income columns of users replaced by those of another table, where it has them."""
+    names = [f"inc_{i}" for i in range(6)]
+    ids = table(s, d, "user_county").where("user_id is not null").select("user_id").distinct()
+    target = ids.select(F.col("user_id").cast("string").alias("entity"), *[(F.col("user_id") % (i + 5)).cast("double").alias(c) for i, c in enumerate(names)])
+    source = ids.where("user_id % 3 = 0").select(F.col("user_id").cast("string").alias("entity"), *[F.when(F.col("user_id") % (i + 2) != 0, (F.col("user_id") * (i + 1)).cast("double")).alias(c) for i, c in enumerate(names)])
+    return weights.fill_from(target, source, "entity", names)
+
+
 # --- trends and panels ------------------------------------------------------
 @query
 def weekly_series(s, d):
-    out = trends.weekly_series(places(s, d))
+    out = trends.weekly_series(materialize(places(s, d), "places"))
     return out.select("yearweek", "date", "n", *[r6(c) for c in out.columns if c not in ("yearweek", "date", "n")])
 
 
@@ -463,19 +567,19 @@ def means_and_errors(s, d):
 
 @query
 def year_over_year(s, d):
-    return trends.year_over_year(place_panel(s, d), "cnty", "yw", "dep").select("cnty", "week_no", r6("later"), r6("earlier"), r6("diff"))
+    return trends.year_over_year(stored_panel(s, d), "cnty", "yw", "dep").select("cnty", "week_no", r6("later"), r6("earlier"), r6("diff"))
 
 
 @query
 def centered_scores(s, d):
-    out = trends.center_within(place_panel(s, d), "cnty", ["dep", "anx"])
+    out = trends.center_within(stored_panel(s, d), "cnty", ["dep", "anx"])
     return out.select("cnty", "yw", *[r6(c) for c in ("dep_mean", "dep_centered", "anx_mean", "anx_centered")])
 
 
 @query
 def full_coverage(s, d):
     """Divisions with a row in every quarter."""
-    panel = place_panel(s, d).withColumn("quarter", K.date_quarter(K.week_monday(F.col("yw")))).groupBy("division", "quarter").agg(F.avg("dep").alias("dep"))
+    panel = materialize(place_panel(s, d).withColumn("quarter", K.date_quarter(K.week_monday(F.col("yw")))).groupBy("division", "quarter").agg(F.avg("dep").alias("dep")), "panel")
     return trends.full_coverage(panel, "division", "quarter").select("division", "quarter", r6("dep"))
 
 
@@ -505,7 +609,7 @@ def melted_panel(s, d):
 
 @query
 def counties_with_entries(s, d):
-    return trends.with_min_entries(place_panel(s, d), "cnty", 10).select("cnty", "yw", "n_users")
+    return trends.with_min_entries(stored_panel(s, d), "cnty", 10).select("cnty", "yw", "n_users")
 
 
 @query
@@ -515,13 +619,13 @@ def one_region(s, d):
 
 @query
 def weeks_before(s, d):
-    series = trends.weekly_series(places(s, d)).withColumn("compact", F.translate("yearweek", "_", ""))
+    series = trends.weekly_series(materialize(places(s, d), "places")).withColumn("compact", F.translate("yearweek", "_", ""))
     return trends.before(series, "date", "2020-07-01").select("yearweek", "date", K.split_week(F.col("compact")).alias("again"), K.label(F.col("yearweek"), F.date_format("date", "yyyy-MM-dd")).alias("label"), "n")
 
 
 @query
 def panel_summary(s, d):
-    out = FT.summarize(place_panel(s, d), ["dep", "anx", "ang"])
+    out = FT.summarize(stored_panel(s, d), ["dep", "anx", "ang"])
     return out.select("name", "n", *[r6(c) for c in ("mean", "sd", "least", "q25", "q50", "q75", "greatest")])
 
 
@@ -532,29 +636,39 @@ def distinct_places(s, d):
 
 @query
 def rolling_scores(s, d):
-    return trends.rolling_mean(place_panel(s, d), "yw", "dep", 4, ["cnty"]).select("cnty", "yw", r6("dep_rolling"))
+    return trends.rolling_mean(stored_panel(s, d), "yw", "dep", 4, ["cnty"]).select("cnty", "yw", r6("dep_rolling"))
 
 
 # --- statistics -------------------------------------------------------------
-@query
-def reliability_d(s, d):
-    return stats.reliability(placed_scores(s, d).where("feat = 'DEP_SCORE'").withColumn("key", geo.grain_key("month")), "key", "group_norm")
+def _effects(df: DataFrame, group: str) -> DataFrame:
+    return df.select(group, "threshold", "n", r6("effect"), r6("effect_se"), "reliable")
+
+
+def _monthly(s: SparkSession, d: str, feat: str) -> DataFrame:
+    return placed_scores(s, d).where(F.col("feat") == feat).withColumn("key", geo.grain_key("month"))
 
 
 @query
-def reliability_hashed(s, d):
-    return stats.reliability_hashed(placed_scores(s, d).where("feat = 'DEP_SCORE'").withColumn("key", geo.grain_key("month")), "key", "group_norm", "group_id")
+def reliability_d(s, d):
+    return _effects(stats.reliability_hashed(_monthly(s, d, "DEP_SCORE"), "key", "group_norm", "group_id"), "key")
 
 
 @query
 def reliability_h(s, d):
-    share = placed_scores(s, d).where("feat = 'DEP_SCORE'").withColumns({"key": geo.grain_key("month"), "high": (F.col("group_norm") > 2.5).cast("double")})
-    return stats.reliability(share, "key", "high", "h")
+    share = _monthly(s, d, "DEP_SCORE").withColumn("high", (F.col("group_norm") > 2.5).cast("double"))
+    return _effects(stats.reliability_hashed(share, "key", "high", "group_id", "h"), "key")
 
 
 @query
 def reliability_single_split(s, d):
-    return stats.reliability(placed_scores(s, d).where("feat = 'ANX_SCORE'"), "cnty", "group_norm", n_perms=1)
+    return _effects(stats.reliability_hashed(placed_scores(s, d).where("feat = 'ANX_SCORE'"), "cnty", "group_norm", "group_id", n_perms=1), "cnty")
+
+
+@query
+def reliability_sweep(s, d):
+    """Mean effect and share of reliable counties at each least number of values."""
+    each = stats.reliability_hashed(placed_scores(s, d).where("feat = 'DEP_SCORE'"), "cnty", "group_norm", "group_id", thresholds=(3, 10, 30, 100))
+    return each.where("effect is not null").groupBy("threshold").agg(F.count(F.lit(1)).alias("n_groups"), r6(F.avg("effect"), "effect"), r6(F.avg(F.col("reliable").cast("double")), "share_reliable"))
 
 
 @query
@@ -574,9 +688,30 @@ def regression(s, d):
     return out.select("n", *[r6(c) for c in ("slope", "intercept", "r2", "slope_se", "intercept_se")], F.round("slope_t", 4).alias("slope_t"))
 
 
+def _coefficients(out: DataFrame, *keys: str) -> DataFrame:
+    return out.select(*keys, "n", *[r6(c) for c in ("slope", "intercept", "r2", "slope_se", "intercept_se")], F.round("slope_t", 4).alias("slope_t"))
+
+
 @query
 def regression_by_region(s, d):
-    return stats.simple_ols(place_panel(s, d), "dep", "anx", ["region_name"])
+    return _coefficients(stats.simple_ols(place_panel(s, d), "dep", "anx", ["region_name"], p_values=False), "region_name")
+
+
+@query
+def regression_p(s, d):
+    return stats.simple_ols(place_panel(s, d), "dep", "anx", ["region_name"]).select("region_name", "slope_t", "slope_p")
+
+
+#: Pairs of panel columns that are regressed on each other, each way.
+FORMULAS = (("dep", "anx"), ("dep", "ang"), ("anx", "ang"), ("dep", "n_users"))
+
+
+@query
+def regressions(s, d):
+    """All formulas in one pass: y on x of every pair, and x on y."""
+    both = [p for a, b in FORMULAS for p in ((a, b), (b, a))]
+    each = F.array(*[F.struct(F.lit(f"{y} ~ {x}").alias("formula"), F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x")) for y, x in both])
+    return _coefficients(stats.simple_ols(place_panel(s, d).select(F.inline(each)), "y", "x", ["formula"], p_values=False), "formula")
 
 
 @query
@@ -586,9 +721,11 @@ def mixed_model(s, d):
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """From messages to lexicon scores of user-weeks: keys, threshold, 1-grams, shares, scores with intercepts."""
-    kept = messages.with_min_posts(messages.clean_messages(keyed_messages(s, d), "message", "group_id", ["message_id", "created_at"]), "group_id", 1)
-    grams = ngrams.extract_ngrams(kept, "group_id", "message")
-    return lexicon.score(grams, lexicon_weights(s, d)).select("group_id", "category", r6("value"), r6("score"))
+    cleaned = materialize(messages.clean_messages(keyed_messages(s, d), "message", "group_id", ["message_id", "created_at"]), "cleaned")
+    grams = ngrams.extract_ngrams(messages.with_min_posts(cleaned, "group_id", 1), "group_id", "message", norm=False)
+    scored = lexicon.score(ngrams.with_group_norm(materialize(grams, "ngrams")), lexicon_weights(s, d))
+    # weights with few places make sums that lie exactly between two sixth places; the addend lets every engine round them up
+    return scored.select("group_id", "category", r6("value"), r6(F.col("score") + 1e-9, "score"))
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tallyloom.functions import text as X
 from tallyloom.functions.numeric import INCOME_EDGES
+from tallyloom.operators import weights as W
 from tallyloom.operators.messages import STOP_WORDS
 from tallyloom.operators.weights import TARGET_EDGES, TARGET_SHARES
 from tallyloom.plans.sql import FEATURES
@@ -107,8 +108,94 @@ _STOP = {l: "len(list_filter(t, lambda x: x IN (" + ", ".join(quoted(w) for w in
 DECODED = "message"
 for _entity, _sign in (("&#39;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&apos;", "'")):
     DECODED = f"replace({DECODED}, {quoted(_entity)}, {quoted(_sign)})"
+# links, put in groups so that what a look-ahead would leave in place is given back: RE2 has none
+_BODY = r"[^ \t\r\n<>]*?"
+_DOMAIN = rf"[a-z0-9.\-]+?\.{X.TOP_LEVEL}"
+_LINK_GROUPS = rf"{X.BARE_LINK}|\b(?:(?:https?://|www\.){_BODY}|{_DOMAIN}[^A-Za-z0-9_ \t\r\n<>]{_BODY}|{_DOMAIN})({X.CRAP_BEFORE_END}{X.LINK_END})"
+
+
+def anonymized(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, {quoted(_LINK_GROUPS)}, '<URL>\\1', 'g'), '@[\\p{{L}}\\p{{N}}_]+', '<USER>', 'g')"
+
+
+def tokens(c: str) -> str:
+    return f"list_transform(regexp_extract_all({c}, {quoted(X.TOKEN)}), lambda x: CASE WHEN regexp_matches(x, {quoted('(?i)' + X.EMOTICON)}) THEN x ELSE lower(x) END)"
+
+
+def duplicate_key(c: str) -> str:
+    """The key from an anonymized text's tokens t."""
+    return f"CASE WHEN len({c}) >= {X.KEY_WORDS} THEN array_to_string({c}[1:CASE WHEN list_contains({c}, '{X.VIDEO_SITE}') THEN {X.KEY_WORDS_VIDEO} ELSE {X.KEY_WORDS} END], ' ') ELSE lower(array_to_string({c}, ' ')) END"
+
+
+def _counted_words(c: str) -> str:
+    return f"list_filter({tokens(c)}, lambda x: NOT starts_with(x, '#') AND NOT starts_with(x, '@') AND NOT regexp_matches(x, {quoted(X.EXCLUDED_WORD)}))"
+
+
+def keys_of(source: str, message: str = "message") -> str:
+    """dk: the rows of source with their duplicate key."""
+    return f"dk0 AS (SELECT *, {_counted_words(anonymized(message))} AS kw FROM {source}), dk AS (SELECT * EXCLUDE (kw), {duplicate_key('kw')} AS dkey FROM dk0)"
+
+
+def first_of_duplicates(group: str) -> str:
+    return f"SELECT * EXCLUDE (dkey) FROM dk QUALIFY row_number() OVER (PARTITION BY {group}, dkey ORDER BY message_id NULLS FIRST, created_at NULLS FIRST) = 1"
+
+
+_STRIPPED = "regexp_replace(regexp_replace({c}, '^\"', ''), '\"$', '')"
+
+
+def cleaned(source: str, group: str) -> str:
+    """cl: rows of source cleaned as clean_messages does, group and message without a stray pair of quotes."""
+    g, m = _STRIPPED.format(c=group), _STRIPPED.format(c="message")
+    return f"""c0 AS (SELECT * REPLACE ({g} AS {group}, {m} AS message) FROM {source} WHERE message IS NOT NULL AND {group} IS NOT NULL AND message <> 'message'),
+c1 AS (SELECT * FROM c0 WHERE NOT starts_with(message, 'RT ') AND NOT regexp_matches(message, {quoted(HAS_LINK)})), {keys_of('c1')}, cl AS ({first_of_duplicates(group)})"""
+
+
+def scores_of(ft: str) -> str:
+    """sc of a feature table given as CTEs that end in ft."""
+    return ft + ", " + SCORES.removeprefix(FEATURE_TABLE + ", ")
+
+
 _CUM = [sum(TARGET_SHARES[: i + 1]) for i in range(len(TARGET_SHARES) - 1)]
 
+MONTH_KEY = f"({GRAIN['month']}) || ':' || cnty"
+
+
+def effects(feat: str, key: str, value: str, measure: str = "d", name: str = "key", splits: int = 30, thresholds: tuple = (3,), last: str | None = None) -> str:
+    """Split-half effects with halves by the digits of the id's md5."""
+    angle = "asin(sqrt(CASE WHEN {x} >= 0 AND {x} <= 1 THEN {x} END))"
+    each = f"abs(2 * ({angle.format(x='a')} - {angle.format(x='b')}))" if measure == "h" else "abs(a - b) / nullif(sd, 0)"
+    ok = "true" if measure == "h" and splits == 1 else "sd > 0"
+    last = last or f"SELECT {name}, threshold, n, round(effect, 6) AS effect, round(effect_se, 6) AS effect_se, reliable FROM ef"
+    return f"""WITH {PLACED}, r AS (SELECT {key} AS k, {value} AS v, md5(group_id) AS i FROM placed WHERE feat = {feat}), g AS (SELECT k, count(*) AS n, stddev_pop(v) AS sd FROM r WHERE k IS NOT NULL GROUP BY 1),
+h AS (SELECT k, p, avg(v) FILTER (i[p:p] < '8') AS a, avg(v) FILTER (NOT i[p:p] < '8') AS b FROM r, (SELECT unnest(range(1, {splits + 1})) AS p) GROUP BY 1, 2),
+e AS (SELECT h.k, n, CASE WHEN {ok} THEN {each} END AS d FROM h JOIN g ON g.k = h.k),
+t AS (SELECT unnest([{', '.join(map(str, thresholds))}]) AS threshold),
+s AS (SELECT k, threshold, n, CASE WHEN n >= greatest(threshold, 2) THEN avg(d) END AS effect, CASE WHEN n >= greatest(threshold, 2) THEN stddev_pop(d) / sqrt(count(d)) END AS effect_se FROM e, t GROUP BY 1, 2, 3),
+ef AS (SELECT k AS {name}, CAST(threshold AS INT) AS threshold, n, effect, effect_se, coalesce(effect + 1.96 * effect_se < 0.1, false) AS reliable FROM s)
+{last}"""
+
+
+def coefficients(rows: str, key: str) -> str:
+    return f"""WITH {PANEL}, q AS ({rows}),
+s AS (SELECT k, regr_count(y, x) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, regr_avgx(y, x) AS mx FROM q WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY k),
+e AS (SELECT *, CASE WHEN n > 2 THEN greatest(syy - b * sxy, 0) / (n - 2) END AS mse FROM s)
+SELECT k AS {key}, n, CASE WHEN sxx > 0 THEN round(b, 6) END AS slope, CASE WHEN sxx > 0 THEN round(a, 6) END AS intercept, CASE WHEN sxx > 0 AND syy > 0 THEN round(r2, 6) END AS r2, round(sqrt(mse / nullif(sxx, 0)), 6) AS slope_se,
+  round(sqrt(mse * (1 / n + mx * mx / nullif(sxx, 0))), 6) AS intercept_se, round(b / nullif(sqrt(mse / nullif(sxx, 0)), 0), 4) AS slope_t FROM e"""
+
+
+def poststratified_by(name: str, edges: tuple) -> str:
+    """Weights of one of the other demographics, with ten pseudo-users a county; the last bin has what the others leave."""
+    m = len(edges) - 1
+    raw = [f"(1 + (fips * {i + 3}) % 11)" for i in range(m)]
+    pct = [f"100.0 * {r} / ({' + '.join(raw)})" for r in raw]
+    place = "CASE " + " ".join(f"WHEN {name} < {edges[b + 1]} THEN {b}" for b in range(m)) + " END"
+    return f"""WITH u AS (SELECT user_id, year_week AS yw, max(cnty) AS cnty, CAST(split_part(user_id, ':', -1) AS BIGINT) AS k FROM group_weight GROUP BY ALL HAVING max(cnty) IS NOT NULL),
+v AS (SELECT user_id, yw, cnty, CAST(13 + k * 7 % 68 AS DOUBLE) AS age, k % 2 * 1.0::DOUBLE AS gender, k % 3 / 2.0::DOUBLE AS education FROM u),
+b AS (SELECT *, {place} AS bin FROM v), n AS (SELECT cnty, yw, bin, count(*) AS n FROM b GROUP BY 1, 2, 3), t AS (SELECT cnty, yw, count(*) AS t FROM b GROUP BY 1, 2),
+cen AS (SELECT lpad(CAST(fips AS VARCHAR), 5, '0') AS cnty, unnest(range(0, {m})) AS bin, unnest([{', '.join(pct)}]) AS pct FROM county_dim)
+SELECT b.user_id, b.cnty, b.yw, round(pct / (100 * (n + 10 * pct / 100) / (t + 10)), 6) AS weight FROM b JOIN n USING (cnty, yw, bin) JOIN t USING (cnty, yw) JOIN cen USING (cnty, bin)"""
+
+
 ORACLES: dict[str, str] = {
     "message_tokens": f"WITH {MESSAGES}, t AS (SELECT message_id, {TOKENS} AS t FROM m WHERE message IS NOT NULL), e AS (SELECT unnest(t) AS token, unnest(range(0, len(t))) AS place FROM t) SELECT token, count(*) AS n, CAST(min(place) AS INT) AS first_place FROM e GROUP BY 1",
     "whitespace_tokens": f"WITH {MESSAGES} SELECT token, count(*) AS n FROM (SELECT unnest({whitespace('message')}) AS token FROM m WHERE message IS NOT NULL) GROUP BY 1",
@@ -213,6 +300,47 @@ SELECT yearweek, date, yearweek AS again, yearweek || ':' || strftime(date, '%Y-
     "panel_summary": f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, round(min({c}), 6) AS least, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS greatest FROM panel" for c in ("dep", "anx", "ang")),
     "distinct_places": f"WITH {PANEL} SELECT count(DISTINCT cnty) AS n_counties, count(DISTINCT yw) AS n_weeks FROM panel",
     "rolling_scores": f"WITH {PANEL} SELECT cnty, yw, round(avg(dep) OVER (PARTITION BY cnty ORDER BY yw ROWS 3 PRECEDING), 6) AS dep_rolling FROM panel",
+    "anonymized_messages": f"WITH {MESSAGES} SELECT message_id, {anonymized('message')} AS message FROM m WHERE message IS NOT NULL",
+    "duplicate_keys": f"WITH {MESSAGES}, a AS (SELECT * FROM m WHERE message IS NOT NULL), {keys_of('a')} SELECT message_id, dkey AS key FROM dk",
+    "deduplicated_messages": f"WITH {MESSAGES}, a AS (SELECT * FROM m WHERE message IS NOT NULL AND user_id IS NOT NULL), {keys_of('a')} SELECT message_id, user_id FROM ({first_of_duplicates('user_id')})",
+    "clean_messages": f"WITH {MESSAGES}, {cleaned('m', 'user_id')} SELECT message_id, user_id, {anonymized('message')} AS message FROM cl",
+    "messages_to_scores": "WITH "
+    + KEYED
+    + ", "
+    + cleaned("keyed", "group_id")
+    + f", sp AS (SELECT * FROM cl WHERE message <> ''), {ngram_counts('sp', 'group_id', TOKENS, '1')}, "
+    + scores_of("ft AS (SELECT group_id, feat, value, group_norm FROM cn)")
+    + " SELECT group_id, category, round(value, 6) AS value, round(score + 1e-9, 6) + 0.0 AS score FROM sc",
+    "pipeline_places": f"""WITH {MESSAGES}, u AS (SELECT *, trim({DECODED}) AS x FROM m WHERE message IS NOT NULL),
+p AS (SELECT *, regexp_extract_all(lower(trim(regexp_replace(x, '(?:#|@)\\S+|https?://\\S+|www\\.\\S+', ' ', 'g'))), '[\\p{{L}}'']+') AS t FROM u WHERE x <> '' AND x <> 'NULL'),
+lc AS (SELECT *, {", ".join(f"{c} AS {l}" for l, c in _STOP.items())} FROM p), lf AS (SELECT message_id, user_id, message, created_at, date2, date3 FROM lc WHERE en > greatest(de, 0) AND en >= greatest(es, fr, pt)),
+{cleaned("lf", "user_id")}, an AS (SELECT * REPLACE ({anonymized("message")} AS message) FROM cl), k0{KEYED.split(", k0", 1)[1].replace("FROM m)", "FROM an)")}, sp AS (SELECT * FROM keyed WHERE message <> ''),
+{ngram_counts("sp", "group_id", TOKENS, "1")}, av AS (SELECT group_id, feat, 2 * sqrt(value + 0.375) AS value FROM c WHERE feat NOT LIKE '@%'),
+ft AS (SELECT group_id, feat, value, value / sum(value) OVER (PARTITION BY group_id) AS group_norm FROM av), {places().removeprefix(FEATURE_TABLE + ", ")}
+SELECT key, feat, round(round(sum_N_lexwords, 10), 6) AS sum_N_lexwords, round(round(wavg_score, 10), 6) AS wavg_score, N_users FROM pl WHERE N_users >= 1 AND feat <> '_int' AND Space <> '' AND Time <> ''""",
+    "stream_ngrams": f"WITH {MESSAGES.replace('SELECT DISTINCT', 'SELECT')}, k0 AS (SELECT *, {_TS} AS ts FROM m), w AS (SELECT strftime(ts, '%G_%V') || ':' || user_id AS group_id, unnest({TOKENS}) AS feat FROM k0 WHERE ts IS NOT NULL AND user_id IS NOT NULL AND message IS NOT NULL) SELECT group_id, lower(feat) AS feat, count(*) AS value FROM w GROUP BY 1, 2",
+    "any_language_filter": f"""WITH {MESSAGES}, u AS (SELECT message_id, trim({DECODED}) AS x FROM m WHERE message IS NOT NULL),
+p AS (SELECT message_id, regexp_extract_all(lower(trim(regexp_replace(x, '(?:#|@)\\S+|https?://\\S+|www\\.\\S+', ' ', 'g'))), '[\\p{{L}}'']+') AS t FROM u WHERE x <> '' AND x <> 'NULL'),
+n AS (SELECT message_id, {", ".join(f"{c} AS {l}" for l, c in _STOP.items())} FROM p), b AS (SELECT *, greatest({", ".join(_STOP)}) AS top, {" + ".join(_STOP)} AS every FROM n)
+SELECT message_id, CASE {" ".join(f"WHEN {l} = top THEN '{l}'" for l in sorted(_STOP))} END AS lang, round(top / every, 8) AS confidence FROM b WHERE every > 0 AND round(top / every, 8) > 0.8""",
+    "complete_rows": "SELECT * FROM user_county WHERE user_id IS NOT NULL AND cnty IS NOT NULL",
+    "dependency_labels": "SELECT token, count(*) AS n FROM (SELECT state_abbr AS token FROM county_dim UNION ALL SELECT 'in' FROM county_dim) GROUP BY 1",
+    "posts_by_first_word": f"WITH {MESSAGES} SELECT regexp_split_to_array(created_at, '[ \\t\\n\\x0B\\f\\r]+')[1] AS word, count(*) AS n FROM m WHERE created_at IS NOT NULL GROUP BY 1",
+    "cleaned_numbers": f"WITH {MESSAGES} SELECT DISTINCT message_id, coalesce(TRY_CAST(regexp_replace(user_id, '^[\\s\"]+|[\\s\"]+$', '', 'g') AS DOUBLE), 0.0) AS number FROM m",
+    "first_messages_of_users": f"WITH {MESSAGES}, u AS (SELECT DISTINCT user_id, message_id FROM m WHERE user_id IS NOT NULL AND message_id IS NOT NULL) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY message_id) <= 2",
+    "counties_in_order": "SELECT fips, state_abbr, CAST(row_number() OVER (PARTITION BY state_abbr ORDER BY fips) AS INT) AS place FROM county_dim",
+    "incomes_filled": "WITH i AS (SELECT DISTINCT user_id FROM user_county WHERE user_id IS NOT NULL) SELECT CAST(user_id AS VARCHAR) AS entity, "
+    + ", ".join(f"CAST(CASE WHEN user_id % 3 = 0 AND user_id % {i + 2} <> 0 THEN user_id * {i + 1} ELSE user_id % {i + 5} END AS DOUBLE) AS inc_{i}" for i in range(6))
+    + " FROM i",
+    "reliability_d": effects("'DEP_SCORE'", MONTH_KEY, "group_norm"),
+    "reliability_h": effects("'DEP_SCORE'", MONTH_KEY, "CAST(group_norm > 2.5 AS DOUBLE)", measure="h"),
+    "reliability_single_split": effects("'ANX_SCORE'", "cnty", "group_norm", name="cnty", splits=1),
+    "reliability_sweep": effects("'DEP_SCORE'", "cnty", "group_norm", name="cnty", thresholds=(3, 10, 30, 100), last="SELECT threshold, count(*) AS n_groups, round(avg(effect), 6) AS effect, round(avg(CAST(reliable AS DOUBLE)), 6) AS share_reliable FROM ef WHERE effect IS NOT NULL GROUP BY 1"),
+    "regression_by_region": coefficients("SELECT region_name AS k, dep AS y, anx AS x FROM panel", "region_name"),
+    "regressions": coefficients(" UNION ALL ".join(f"SELECT '{y} ~ {x}' AS k, {y} AS y, {x} AS x FROM panel" for a, b in (("dep", "anx"), ("dep", "ang"), ("anx", "ang"), ("dep", "n_users")) for y, x in ((a, b), (b, a))), "formula"),
+    "poststratified_age": poststratified_by("age", W.AGE.edges),
+    "poststratified_gender": poststratified_by("gender", W.GENDER.edges),
+    "poststratified_education": poststratified_by("education", W.EDUCATION.edges),
     "intraclass": f"""WITH {PLACED}, d AS (SELECT cnty, group_norm AS x FROM placed WHERE feat = 'DEP_SCORE'),
 e AS (SELECT cnty, count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS ss FROM d GROUP BY 1), th AS (SELECT unnest([0, 3, 10]) AS threshold),
 k AS (SELECT threshold, e.* FROM e, th WHERE n >= threshold), s AS (SELECT threshold, count(*) AS g, sum(n) AS o, sum(ss) AS ssw, sum(n * m) / sum(n) AS mean, sum(n * n) AS nn FROM k GROUP BY 1),

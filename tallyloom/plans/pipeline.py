@@ -1,4 +1,4 @@
-"""The stages put together: messages to scored places, each a lazy plan over the one before."""
+"""The stages put together: messages to scored places. What a stage uses more than once is written before, so that the messages are read and tokenized once."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import features as FT
 from tallyloom.operators import geo, lexicon, messages, ngrams
+from tallyloom.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -37,14 +38,16 @@ def prepare(raw: DataFrame, s: Settings) -> DataFrame:
     """Clean, keyed messages of users with enough posts in the week."""
     rows = messages.filter_language(raw, s.message, s.languages, s.least_confidence) if s.languages else raw
     rows = messages.clean_messages(rows, s.message, s.user, list(s.order), anonymize=s.anonymize)
-    return messages.with_min_posts(messages.key_messages(rows, s.user, list(s.dates), s.week_mode), "group_id", s.least_posts)
+    keyed = messages.key_messages(rows, s.user, list(s.dates), s.week_mode)
+    return messages.with_min_posts(materialize(keyed, "keyed"), "group_id", s.least_posts) if s.least_posts > 1 else keyed.where(F.col("group_id").isNotNull())
 
 
 def extract(prepared: DataFrame, weights: DataFrame, s: Settings) -> DataFrame:
     """The Anscombe-transformed feature table; with ``lexicon_only`` shares are those of the lexicon's words alone."""
-    grams = ngrams.extract_ngrams(prepared, "group_id", s.message)
+    grams = ngrams.extract_ngrams(prepared, "group_id", s.message, norm=False)
     if s.lexicon_only:
         grams = FT.filter_vocabulary(grams, lexicon.vocabulary(weights))
+    grams = materialize(grams, "ngrams")
     return FT.merge_repeated(FT.anscombe_rebase(grams, s.year_range, strip=False))
 
 

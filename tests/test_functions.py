@@ -75,9 +75,11 @@ def test_duplicate_key_rules(spark):
         ("#tag @user one it's two",),
         ("My YouTube one two three four five",),
         ("3rd a bb",),
+        ("my page <img width=300> loads slow today again now",),
+        ("one =-3 =3) two three four five six",),
     ]
     got = [r[0] for r in values(spark, data, "t string", X.duplicate_key(F.col("t"), "youtube"))]
-    assert got == ["one two three four five six", "one two three", "<user> one two", "my youtube one two three", "bb"]
+    assert got == ["one two three four five six", "one two three", "<user> one two", "my youtube one two three", "bb", "my page <img width=300> loads slow today", "one two three four five six"]
 
 
 def test_shared_parts(spark):
