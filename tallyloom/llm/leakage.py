@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from tallyloom.storage import join_checked, materialize
 
 WINDOW = 5
+#: Items above which a window is common: it may be left out where an item is sought.
+FREQUENT = 200
 #: The class of a word, in the lowest two bits of its code.
 PLAIN, NAME, NUMBER, UNIT = 0, 1, 2, 3
 #: Bits of the filters of names and of windows, which every task holds; full filters only let more words pass as names and more documents be compared.
@@ -387,7 +389,7 @@ def coded_documents(documents: DataFrame, names: np.ndarray, windows: np.ndarray
 
 
 def probe_windows(items: DataFrame, screen: float) -> DataFrame:
-    """The windows by which items are sought: key, item_id.
+    """The windows by which items are sought: key, item_id, n (words of the item), left (words that windows left out cover), and the words that the window covers in the item, as bits of a block of 64: block, bits.
 
     A document must have windows over ``screen`` of an item's words. So the
     item's most frequent windows among the items may be left out as long as they cover less than
@@ -400,32 +402,25 @@ def probe_windows(items: DataFrame, screen: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, keys = [], []
+            out = []
             for i, n, own in zip(batch["item_id"], batch["n"], batch["w"]):
                 own = list(own)
-                covered = np.zeros(n, bool)
-                while len(own) > 1 and own[-1]["f"] > 1:
+                covered, left = np.zeros(n, bool), 0
+                while len(own) > 1 and own[-1]["f"] > FREQUENT:
                     p = own[-1]["place"]
                     covered[p : p + WINDOW] = True
                     if covered.sum() >= screen * n:
                         break
+                    left = int(covered.sum())
                     own.pop()
-                for k in {x["key"] for x in own}:
-                    ids.append(i)
-                    keys.append(k)
-            yield pd.DataFrame({"key": np.array(keys, np.int64), "item_id": np.array(ids, np.int64)})
-
-    return windows.mapInPandas(run, "key long, item_id long")
-
+                words: dict[tuple[int, int], int] = {}
+                for x in own:
+                    for w in range(x["place"], min(n, x["place"] + WINDOW)):
+                        words[x["key"], w >> 6] = words.get((x["key"], w >> 6), 0) | 1 << (w & 63)
+                out += [(k, i, n, left, block, bits - (bits >> 63 << 64)) for (k, block), bits in words.items()]
+            yield pd.DataFrame(out, columns=["key", "item_id", "n", "left", "block", "bits"])
 
-def _screened(item_keys: str, keys: str, n: Column, screen: float) -> Column:
-    """Whether the windows that are among ``keys`` cover at least ``screen`` of an item's n words; always for an item shorter than a window."""
-    hit = F.transform(item_keys, lambda k: F.array_contains(keys, k))
-    gaps = F.transform(F.filter(F.transform(hit, lambda h, i: F.when(h, i)), lambda p: p.isNotNull()), lambda p: p.cast("int"))
-    # each window adds the words that the one before it doesn't cover
-    start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("words"))
-    covered = F.aggregate(gaps, start, lambda acc, p: F.struct(p.alias("last"), (acc["words"] + F.least(F.lit(WINDOW), p - acc["last"])).alias("words")))["words"]
-    return (n < WINDOW) | (covered >= screen * n)
+    return windows.mapInPandas(run, "key long, item_id long, n int, left int, block int, bits long")
 
 
 def find_leaks(documents: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, item_text: Column, limits: Limits | None = None, variants: bool = True) -> DataFrame:
@@ -433,7 +428,7 @@ def find_leaks(documents: DataFrame, doc_id: Column, text: Column, items: DataFr
 
     Neither side comes to the driver: the items' windows are a table that the
     documents' windows are joined with; the pairs it gives are joined with the
-    codes of both and compared whole. Texts that occur in several documents are compared once. Repeated rows give one
+    codes of both and compared whole, if the shared windows cover enough of the item. Texts that occur in several documents are compared once. Repeated rows give one
     row; a doc_id with several texts one for each that differs in the result. Null, empty texts, rows
     without id and texts without words give none. Extra columns don't matter.
     """
@@ -447,12 +442,12 @@ def find_leaks(documents: DataFrame, doc_id: Column, text: Column, items: DataFr
     found = materialize(coded_documents(probe, names, bit_filter(keys, LOG2_WINDOWS), sizes), "coded-documents")
     windows = materialize(probe_windows(coded.select(F.col("item").alias("item_id"), "codes", "keys"), limits.screen), "windows")
     hits = found.select("uid", F.explode("keys").alias("key")).distinct()
-    pairs = materialize(join_checked(hits, windows, ["key"], "inner").select("uid", F.col("item_id").alias("item")).distinct(), "pairs")
-    own = materialize(coded.select("item", "item_id", F.size("codes").alias("n"), F.col("keys").alias("item_keys")), "item-keys")
-    seen = materialize(join_checked(found, materialize(pairs.select("uid").distinct(), "uids"), ["uid"], "left_semi").select("uid", "codes", "keys").dropDuplicates(["uid"]), "texts")
-    near = join_checked(join_checked(pairs, materialize(seen.select("uid", "keys"), "text-keys"), ["uid"], "inner"), own, ["item"], "inner")
-    near = materialize(near.where(_screened("item_keys", "keys", F.col("n"), limits.screen)).select("uid", "item", "item_id"), "near")
-    both = join_checked(join_checked(near, materialize(coded.select("item", F.col("codes").alias("item_codes")), "item-codes"), ["item"], "inner"), seen.select("uid", "codes"), ["uid"], "inner")
+    by = ["uid", F.col("item_id").alias("item"), "n", "left"]
+    reached = join_checked(hits, windows, ["key"], "inner").groupBy(*by, "block").agg(F.bit_or("bits").alias("bits"))
+    covered = reached.groupBy("uid", "item", "n", "left").agg(F.sum(F.bit_count("bits")).alias("covered"))
+    pairs = materialize(covered.where((F.col("n") < WINDOW) | (F.col("covered") + F.col("left") >= limits.screen * F.col("n"))).select("uid", "item"), "pairs")
+    texts = join_checked(found, materialize(pairs.select("uid").distinct(), "uids"), ["uid"], "left_semi").select("uid", "codes").dropDuplicates(["uid"])
+    both = join_checked(pairs, materialize(coded.select("item", "item_id", F.col("codes").alias("item_codes")), "item-codes"), ["item"], "inner").join(texts, "uid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
