@@ -33,7 +33,7 @@ LOG2_BITS = 25
 #: The same for the buckets of open-ended texts' signatures; a full filter only lets more signatures be joined.
 LOG2_BUCKETS = 24
 #: Tokens that are worked on at a time.
-AT_ONCE = 150_000
+AT_ONCE = 250_000
 #: Terminality below which a text is cut; of texts at their source's length limit, or with a near-copy that goes on, where a cut is likely.
 CUT_BELOW, CUT_BELOW_LIKELY = 0.025, 0.6
 
@@ -49,6 +49,7 @@ _APPENDED = re.compile(
 #: Characters at a text's end, filled up to a whole word, on which the patterns are tried at a time.
 TAIL = 160
 _BROKEN = re.compile(r"(?:&#?\w{0,8}|<[^>\s]{0,10}|�+)$")
+_PLAIN_END = re.compile(r"(?:^|\s)[\w'’\-]*\w[.!?]\Z")
 _FINAL = re.compile(r"[.!?。！？][\"'”’)\]]*$")
 _TOKEN = re.compile(r"\n+|[.!?…]+(?=[\s\"')]|$)|,|[^\W_]+(?:['’\-][^\W_]+)*")
 _LONG = re.compile(r"(\w)\1{2,}")
@@ -62,6 +63,8 @@ def core_and_lengths(text: str) -> tuple[str, list[int]]:
     The patterns look at the last whole words of the text, again and again until nothing more comes off.
     """
     core = text.rstrip()
+    if _PLAIN_END.search(core):  # a word and a final mark: nothing to take off
+        return core, []
     lengths = set()
     while core:
         at = max(core.rfind(" ", 0, -TAIL), core.rfind("\n", 0, -TAIL)) + 1 if len(core) > TAIL else 0
@@ -94,6 +97,8 @@ def tokens_of(text: str) -> list[str]:
 
 
 _MARKS = {"\n": 1, ",": 3}
+#: Between tokens that are kept as one text; no token holds it.
+_BETWEEN = "\x1f"
 
 
 class Hasher:
@@ -340,30 +345,27 @@ def copy_evidence(texts: DataFrame, closing: DataFrame, scanned: DataFrame) -> D
     pairs = materialize(join_checked(longer, probes, ["h"], "inner").where(goes_on).select("uid", "longer").distinct(), "pairs")
     sides = materialize(pairs.select("uid").unionByName(pairs.select(F.col("longer").alias("uid"))).distinct(), "sides")
     some = materialize(join_checked(texts, sides, ["uid"], "left_semi").dropDuplicates(["uid"]), "texts")
-    both = pairs.join(some, "uid").join(some.select(F.col("uid").alias("longer"), F.col("text").alias("longer_text")), "longer")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
-        held: dict[int, tuple[np.ndarray, list[str]]] = {}
+        for batch in batches:
+            tokens = [tokens_of(core_of(t)) for t in batch["text"]]
+            yield pd.DataFrame({"uid": batch["uid"], "shingles": pd.Series([np.unique(word_shingles(hasher(x))).view(np.int64) for x in tokens], dtype=object), "tokens": [_BETWEEN.join(x) for x in tokens]})
 
-        def parts(u: int, text: str) -> tuple[np.ndarray, list[str]]:
-            if u not in held:
-                if len(held) >= 500:
-                    held.clear()
-                tokens = tokens_of(core_of(text))
-                held[u] = np.unique(word_shingles(hasher(tokens))), tokens
-            return held[u]
+    parsed = materialize(some.select("uid", "text").mapInPandas(parse, "uid long, shingles array<long>, tokens string"), "parsed")
+    both = pairs.join(parsed, "uid").join(parsed.select(F.col("uid").alias("longer"), F.col("shingles").alias("longer_shingles"), F.col("tokens").alias("longer_tokens")), "longer")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, ends, shown = [], [], []
-            for u, o, a, b in zip(batch["uid"], batch["longer"], batch["text"], batch["longer_text"]):
-                if e := align_end(*parts(u, a), *parts(o, b)):
+            for u, a, x, b, y in zip(batch["uid"], batch["shingles"], batch["tokens"], batch["longer_shingles"], batch["longer_tokens"]):
+                if e := align_end(a, x.split(_BETWEEN), b, y.split(_BETWEEN)):
                     ids.append(u)
                     ends.append(e[0])
                     shown.append(e[1])
             yield pd.DataFrame({"uid": np.array(ids, np.int64), "ends": pd.Series(ends, dtype=object), "shown": np.array(shown, bool)})
 
-    found = both.select("uid", "longer", "text", "longer_text").mapInPandas(run, "uid long, ends string, shown boolean")
+    found = both.select("uid", "shingles", "tokens", "longer_shingles", "longer_tokens").mapInPandas(run, "uid long, ends string, shown boolean")
     # one copy that shows a whole sentence is enough; one that only ends at the same place says less than one that goes on
     rank = F.when(F.col("ends") == "between", F.when(F.col("shown"), 0).otherwise(3)).otherwise(F.when(F.col("shown"), 1).otherwise(2))
     return found.groupBy("uid").agg(F.min(F.struct(rank.alias("rank"), "ends", "shown")).alias("best")).select("uid", "best.ends", "best.shown")
