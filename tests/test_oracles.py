@@ -14,7 +14,7 @@ def test_query(spark, folder, name):
     if name in SQL:
         assert differences(df, folder, SQL[name]) == ""
     else:
-        assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
+        assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
 
 
 def test_every_sql_has_a_query():
