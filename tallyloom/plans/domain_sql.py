@@ -196,7 +196,55 @@ cen AS (SELECT lpad(CAST(fips AS VARCHAR), 5, '0') AS cnty, unnest(range(0, {m})
 SELECT b.user_id, b.cnty, b.yw, round(pct / (100 * (n + 10 * pct / 100) / (t + 10)), 6) AS weight FROM b JOIN n USING (cnty, yw, bin) JOIN t USING (cnty, yw) JOIN cen USING (cnty, bin)"""
 
 
+def _tidy(c: str) -> str:
+    return f"regexp_replace({c}, '^[\\s:]+|[\\s:]+$', '', 'g')"
+
+
+def _found(c: str, pattern: str) -> str:
+    return f"regexp_extract({c}, {quoted('(?s)' + pattern)}, 1)"
+
+
+#: sh: messages with the shared part and the comment on it.
+SHARED = f"""{MESSAGES}, s0 AS (SELECT *, regexp_matches(message, {quoted(X.SHARED_FROM)}) AS has_rt, {_found('message', f'^(.*?){X.SHARED_FROM}')} AS before, {_found('message', f'^.*?{X.SHARED_FROM}(.*)$')} AS after,
+  regexp_matches(message, {quoted(X.SHARED_START)}) AND regexp_matches(message, {quoted(X.ANY_USER)}) AS plain,
+  CASE WHEN regexp_matches(message, {quoted(X.VIA_IN_BRACKETS)}) THEN 1 WHEN regexp_matches(message, {quoted(X.VIA)}) THEN 2 END AS via FROM m WHERE message IS NOT NULL),
+s1 AS (SELECT *, CASE via WHEN 1 THEN {_found('message', f'^(.*?){X.VIA_IN_BRACKETS}')} WHEN 2 THEN {_found('message', f'^(.*?){X.VIA}')} END AS head,
+  CASE via WHEN 1 THEN {_found('message', f'^.*?{X.VIA_IN_BRACKETS}(.*)$')} WHEN 2 THEN {_found('message', f'^.*?{X.VIA}(.*)$')} END AS tail FROM s0),
+s2 AS (SELECT *, {_found('tail', '[[](.*)[]]')} AS bracket FROM s1),
+sh AS (SELECT message_id, user_id,
+  CASE WHEN via IS NOT NULL THEN trim(CASE WHEN head = '' THEN CASE WHEN bracket <> '' THEN {_tidy(_found('tail', '^(.*?)[[]'))} ELSE '' END ELSE regexp_replace(trim(head), '[|,./]$', '') END)
+    WHEN has_rt AND after = '' THEN {_tidy('before')} WHEN has_rt THEN {_tidy('after')} WHEN plain THEN {_found('message', f'{X.ANY_USER}(.*)$')} ELSE '' END AS shared,
+  CASE WHEN via IS NOT NULL THEN trim(CASE WHEN head = '' THEN bracket ELSE regexp_replace(trim(tail), '^:', '') END)
+    WHEN has_rt AND after = '' THEN '' WHEN has_rt THEN {_tidy('before')} WHEN plain THEN {_found('message', f'{X.SHARED_START}(.*?){X.ANY_USER}')} ELSE '' END AS comment FROM s2)"""
+
+
+def collapsed_weights(least: float, smooth_first: bool) -> str:
+    """Weights with small bins merged, step by step, over the bin counts of each county and week."""
+    bin0 = f"{INCOME_BIN.format(x='income')} - 1"
+    counts = ", ".join(f"CAST(count(*) FILTER (bin = {i}) AS DOUBLE)" for i in range(10))
+    edges = "[" + ", ".join("'inf'::DOUBLE" if e == float("inf") else f"{e}::DOUBLE" for e in W.INCOME.edges) + "]"
+    first = "list_transform(range(1, 11), lambda j: c[j] + 10 * pct[j] / 100)" if smooth_first else "c"
+    share = "round_even(x, 0) / t" if smooth_first else "(round_even(x, 0) + 10 * p / 100) / (t + 10)"
+    return f"""WITH RECURSIVE {INCOMES}, {CENSUS}, b AS (SELECT *, {bin0} AS bin FROM inc),
+n AS (SELECT cnty, yw, count(*) AS t, [{counts}] AS c FROM b GROUP BY 1, 2), cp AS (SELECT cnty, list(pct ORDER BY bin) AS pct FROM cen GROUP BY 1),
+r AS (SELECT cnty, yw, t, pct, {first} AS c, {edges} AS e FROM n JOIN cp USING (cnty)
+  UNION ALL
+  SELECT cnty, yw, t, pct, CASE WHEN toright THEN c[1:i - 1] || [c[i] + c[i + 1]] || c[i + 2:] ELSE c[1:i - 2] || [c[i - 1] + c[i]] || c[i + 1:] END,
+    CASE WHEN toright THEN e[1:i] || e[i + 2:] ELSE e[1:i - 1] || e[i + 1:] END
+  FROM (SELECT *, i = 1 OR (i < len(c) AND c[i + 1] <= c[i - 1]) AS toright FROM (SELECT *, list_position(c, list_min(c)) AS i FROM r WHERE len(c) > 1 AND list_min(c) < {least}))),
+f AS (SELECT * FROM r WHERE len(c) = 1 OR list_min(c) >= {least}),
+q AS (SELECT *, list_transform(range(1, len(c)), lambda j: coalesce(list_sum(list_transform(range(1, 11), lambda o: CASE WHEN e[j] <= {edges}[o] AND {edges}[o] < e[j + 1] THEN pct[o] ELSE 0 END)), 0)) AS head FROM f),
+w AS (SELECT cnty, yw, t, c, e, head || [100 - coalesce(list_sum(head), 0)] AS bp FROM q),
+u AS (SELECT user_id, inc.cnty, inc.yw, t, len(c) AS k, len(list_filter(e[2:], lambda x: x <= income)) + 1 AS place, c, bp FROM inc JOIN w ON inc.cnty = w.cnty AND inc.yw = w.yw),
+v AS (SELECT *, c[place] AS x, bp[place] AS p FROM u)
+SELECT user_id, cnty, yw, round(CASE WHEN k = 1 THEN 1.0 WHEN place <= k THEN CASE WHEN {share} > 0 THEN p / (100 * ({share})) ELSE 0 END END, 6) AS weight FROM v"""
+
+
 ORACLES: dict[str, str] = {
+    "shared_parts": f"WITH {SHARED} SELECT message_id, shared, comment FROM sh WHERE shared <> ''",
+    "originals": f"WITH {SHARED} SELECT user_id, count(*) AS n FROM sh WHERE shared = '' GROUP BY 1",
+    "poststratified_min_bin": collapsed_weights(2, False),
+    "poststratified_smooth_first": collapsed_weights(2, True),
     "message_tokens": f"WITH {MESSAGES}, t AS (SELECT message_id, {TOKENS} AS t FROM m WHERE message IS NOT NULL), e AS (SELECT unnest(t) AS token, unnest(range(0, len(t))) AS place FROM t) SELECT token, count(*) AS n, CAST(min(place) AS INT) AS first_place FROM e GROUP BY 1",
     "whitespace_tokens": f"WITH {MESSAGES} SELECT token, count(*) AS n FROM (SELECT unnest({whitespace('message')}) AS token FROM m WHERE message IS NOT NULL) GROUP BY 1",
     "tagged_word_tokens": f"WITH {MESSAGES} SELECT 'L' || CAST(least(length(token), 9) AS VARCHAR) AS tag, count(*) AS n FROM (SELECT unnest({whitespace('message')}) AS token FROM m WHERE message IS NOT NULL) GROUP BY 1",
