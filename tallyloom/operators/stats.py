@@ -201,7 +201,7 @@ def simple_ols(df: DataFrame, y: str, x: str, keys: Sequence[str] = (), p_values
 def random_intercept(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
     """Mixed model y = b0 + b1 x + u_group + e by REML: n, n_groups, intercept, slope, slope_se, var_group, var_residual.
 
-    Only seven sums per group are gathered (groups are regions or divisions),
+    Only seven sums per group are gathered into one row, so groups must be few (regions or divisions, not users),
     and the variance ratio is found by a search over its profile likelihood; the rows stay where they are.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(group).isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,6 +110,13 @@ def in_places(df: DataFrame, places: DataFrame, key: str, where: Column | None =
     return df.join(chosen.select(key).distinct(), key, "left_semi")
 
 
+def mark_events(df: DataFrame, date: str, events: Mapping[str, tuple[str, str]], days: int = 7) -> DataFrame:
+    """Adds events: the names, in order, of those whose first to last day overlap the ``days`` from the date on; empty without one, null without a date."""
+    known = F.array(*[F.struct(F.lit(n).alias("name"), F.to_date(F.lit(a)).alias("first"), F.to_date(F.lit(b)).alias("last")) for n, (a, b) in sorted(events.items())])
+    on = F.filter(known, lambda e: (e["first"] < F.date_add(F.col(date), days)) & (e["last"] >= F.col(date)))
+    return df.withColumn("events", F.when(F.col(date).isNotNull(), F.array_join(F.transform(on, lambda e: e["name"]), ", ")))
+
+
 def before(df: DataFrame, column: str, end: str) -> DataFrame:
     """Rows dated before ``end``."""
     return df.where(F.col(column) < F.to_date(F.lit(end)))

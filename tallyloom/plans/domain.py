@@ -623,6 +623,23 @@ def weeks_before(s, d):
     return trends.before(series, "date", "2020-07-01").select("yearweek", "date", K.split_week(F.col("compact")).alias("again"), K.label(F.col("yearweek"), F.date_format("date", "yyyy-MM-dd")).alias("label"), "n")
 
 
+#: Spans that are marked in the weekly series.
+EVENTS = {"autumn wave": ("2020-10-26", "2020-12-27"), "spring wave": ("2020-03-16", "2020-05-10"), "vote": ("2020-11-03", "2020-11-03")}
+
+
+@query
+def series_with_events(s, d):
+    series = trends.weekly_series(materialize(places(s, d), "places"))
+    return trends.mark_events(series, "date", EVENTS).select("yearweek", "date", "events", "n")
+
+
+@query
+def some_divisions(s, d):
+    """Places of two divisions of states."""
+    dim = table(s, d, "county_dim").withColumn("cnty", F.lpad(F.col("fips").cast("string"), 5, "0"))
+    return trends.in_places(places(s, d).withColumnRenamed("Space", "cnty"), dim, "cnty", F.col("division").isin(1, 3)).select("key", "feat", r6("wavg_score"))
+
+
 @query
 def panel_summary(s, d):
     out = FT.summarize(stored_panel(s, d), ["dep", "anx", "ang"])

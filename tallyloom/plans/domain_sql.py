@@ -345,6 +345,11 @@ SELECT division, quarter, round(dep, 6) AS dep FROM q WHERE division IN (SELECT
     "weeks_before": f"""WITH {places()}, e AS (SELECT min(Time) AS lo, max(Time) AS hi FROM pl WHERE feat IN ('ANX_SCORE', 'DEP_SCORE')),
 s AS (SELECT Time AS yearweek, {THURSDAY.format(w='Time')} AS date, least(count(*) FILTER (feat = 'ANX_SCORE'), count(*) FILTER (feat = 'DEP_SCORE')) AS n FROM pl, e WHERE feat IN ('ANX_SCORE', 'DEP_SCORE') AND Time > lo AND Time < hi GROUP BY 1, 2)
 SELECT yearweek, date, yearweek AS again, yearweek || ':' || strftime(date, '%Y-%m-%d') AS label, n FROM s WHERE date < DATE '2020-07-01'""",
+    "series_with_events": f"""WITH {places()}, e AS (SELECT min(Time) AS lo, max(Time) AS hi FROM pl WHERE feat IN ('ANX_SCORE', 'DEP_SCORE')),
+s AS (SELECT Time AS yearweek, {THURSDAY.format(w='Time')} AS date, least(count(*) FILTER (feat = 'ANX_SCORE'), count(*) FILTER (feat = 'DEP_SCORE')) AS n FROM pl, e WHERE feat IN ('ANX_SCORE', 'DEP_SCORE') AND Time > lo AND Time < hi GROUP BY 1, 2)
+SELECT yearweek, date, concat_ws(', ', CASE WHEN DATE '2020-10-26' < date + 7 AND DATE '2020-12-27' >= date THEN 'autumn wave' END, CASE WHEN DATE '2020-03-16' < date + 7 AND DATE '2020-05-10' >= date THEN 'spring wave' END,
+  CASE WHEN DATE '2020-11-03' < date + 7 AND DATE '2020-11-03' >= date THEN 'vote' END) AS events, n FROM s""",
+    "some_divisions": f"WITH {places()} SELECT key, feat, round(wavg_score, 6) AS wavg_score FROM pl WHERE Space IN (SELECT lpad(CAST(fips AS VARCHAR), 5, '0') FROM county_dim WHERE division IN (1, 3))",
     "panel_summary": f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, round(min({c}), 6) AS least, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS greatest FROM panel" for c in ("dep", "anx", "ang")),
     "distinct_places": f"WITH {PANEL} SELECT count(DISTINCT cnty) AS n_counties, count(DISTINCT yw) AS n_weeks FROM panel",
     "rolling_scores": f"WITH {PANEL} SELECT cnty, yw, round(avg(dep) OVER (PARTITION BY cnty ORDER BY yw ROWS 3 PRECEDING), 6) AS dep_rolling FROM panel",
