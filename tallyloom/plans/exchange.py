@@ -152,7 +152,7 @@ def made_once(s, d):
 
 @query
 def through_database(s, d):
-    """A table written to a database and read back by a query. The database is the embedded one that comes with Spark, in the memory of a local session; on a cluster any other takes its place."""
+    """A table written to a database and read back by a query. The database is the embedded one that comes with Spark, in the driver's memory: a local session's tasks reach it, on a cluster the driver alone does."""
     s.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
     url = f"jdbc:derby:memory:{s.sparkContext.applicationId.replace('-', '')};create=true"
     driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"

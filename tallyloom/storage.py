@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 6 << 20
 
 
+def in_one_process(spark: SparkSession) -> bool:
+    """Whether tasks run in the driver's process: true in local mode only."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only in local mode, where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
+        if not in_one_process(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tallyloom-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
