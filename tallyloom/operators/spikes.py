@@ -81,18 +81,35 @@ def fences(sketch: DataFrame, source: str, context: str | None, expand: float =
     return out.join(jump, source, "left")
 
 
-def steep_steps(df: DataFrame, candidates: DataFrame, source: str, item: str, when: str, reading: str, ratio: float = 3.0) -> DataFrame:
-    """Readings that rise to at least ``ratio`` times, or fall to at most that part of, the greatest plausible reading the (source, item) pair had at its step before: source, item, when, reading, change.
+def changing_pairs(df: DataFrame, source: str, item: str, when: str, reading: str, least: int = 4, ratio: float = 3.0) -> DataFrame:
+    """Rows of the (source, item) pairs that may have a run or a steep change: over more than one step, ``least`` rows or a greatest plausible reading of ``ratio`` times the least.
 
-    Only pairs with one of the ``candidates`` (source, item) are put in order, over their distinct steps; a pair's first step has no change.
+    No other pair can have one (``stuck_runs``, ``steep_steps``). Rows without source, item, step or finite reading are left out before the shuffle.
+    """
+    pair = Window.partitionBy(source, item)
+    rows = df.where(F.col(source).isNotNull() & F.col(item).isNotNull() & F.col(when).isNotNull() & finite(F.col(reading)))
+    valid = F.when(plausible_share(F.col(reading)), F.col(reading))
+    sums = {"_n": F.count(F.lit(1)), "_lo": F.min(valid), "_hi": F.max(valid), "_a": F.min(when), "_b": F.max(when)}
+    known = rows.withColumns({name: c.over(pair) for name, c in sums.items()})
+    return known.where((F.col("_a") < F.col("_b")) & ((F.col("_n") >= least) | (F.col("_hi") >= ratio * F.col("_lo")))).drop(*sums)
+
+
+def steep_steps(df: DataFrame, source: str, item: str, when: str, reading: str, ratio: float = 3.0) -> DataFrame:
+    """Readings whose rate of change is implausible: source, item, when, reading, change.
+
+    A reading is one if it is at least ``ratio`` times the greatest, or at most that part of the least, plausible reading
+    that its (source, item) pair had at its step before, of whatever size both are; change is its quotient by that one.
+    The steps of a pair are those values of ``when`` at which it has a plausible reading; its first step has no change.
     """
     keys = [source, item]
     rows = df.where(F.col(item).isNotNull() & F.col(when).isNotNull() & F.col(source).isNotNull() & plausible_share(F.col(reading))).select(*keys, when, reading)
-    some = join_checked(rows, materialize(candidates.select(*keys).distinct(), "steep-pairs"), keys, "left_semi").distinct()
-    steps = some.groupBy(*keys, when).agg(F.max(reading).alias("_top"))
-    before = steps.withColumn("_before", F.lag("_top").over(Window.partitionBy(*keys).orderBy(when))).where(F.col("_before").isNotNull())
-    out = some.join(before, [*keys, when]).withColumn("change", F.col(reading) / F.col("_before"))
-    return out.where((F.col("change") >= ratio) | (F.col("change") <= 1 / ratio)).select(*keys, when, reading, "change")
+    pair = Window.partitionBy(*keys)
+    # the pairs' shuffle serves the distinct rows and both windows
+    steps = rows.repartition(*keys).distinct().withColumn("_i", F.dense_rank().over(pair.orderBy(when)))
+    before = pair.orderBy("_i").rangeBetween(-1, -1)
+    known = steps.withColumns({"_least": F.min(reading).over(before), "_most": F.max(reading).over(before)})
+    rise, fall = F.col(reading) >= ratio * F.col("_most"), F.col(reading) * ratio <= F.col("_least")
+    return known.where(rise | fall).select(*keys, when, reading, (F.col(reading) / F.when(rise, F.col("_most")).otherwise(F.col("_least"))).alias("change"))
 
 
 def stuck_runs(df: DataFrame, source: str, item: str, when: str, reading: str, least: int = 4) -> DataFrame:
@@ -130,7 +147,6 @@ def flag_readings(
     least: int = 4,
     ratio: float = 3.0,
     min_readings: int = 30,
-    changes: bool = True,
 ) -> DataFrame:
     """Rows with an implausible reading: row_id, source, context, reading, impossible, stuck, outside, steep, low, high, jump.
 
@@ -138,7 +154,7 @@ def flag_readings(
     stuck: part of a run of the same value (``stuck_runs``); zero variance over ``least`` steps.
     outside: a plausible reading above or below the expanded interquartile
     fence of its source in its context (``fences``), or of the source where the context has too few readings.
-    steep: such a reading whose rate of change from the pair's step before is implausible (``steep_steps``); null unless ``changes``.
+    steep: a plausible reading, inside its fence or not, whose rate of change from the pair's step before is implausible (``steep_steps``).
     low, high, jump: the fence that was compared, and the source's least reading beyond a rise of ``ratio`` over all ordinary ones.
 
     Sketches are made per source and ``context`` (for example the hour of
@@ -152,22 +168,20 @@ def flag_readings(
     base = materialize(base, "readings")
     sketch = materialize(source_sketch(base, "source", "reading", None if context is None else "context"), "sketch")
     bounds = materialize(fences(sketch, "source", None if context is None else "context", ratio - 1, ratio, min_readings), "fences")
-    stuck = materialize(stuck_runs(base, "source", "item", "step", "reading", least).withColumn("stuck", F.lit(True)), "stuck")
+    cell = ["source", "item", "step", "reading"]
+    changing = materialize(changing_pairs(base, *cell, least, ratio), "changing")
+    stuck = stuck_runs(changing, *cell, least).select(*cell, F.lit(True).alias("stuck"), F.lit(False).alias("steep"))
+    steep = steep_steps(changing, *cell, ratio).select(*cell, F.lit(False).alias("stuck"), F.lit(True).alias("steep"))
+    marks = materialize(stuck.unionByName(steep).groupBy(*cell).agg(F.max("stuck").alias("stuck"), F.max("steep").alias("steep")), "marks")
     plausible = plausible_share(F.col("reading"))
     own = F.try_element_at("by_context", F.coalesce(F.col("context").cast("string"), F.lit("")))
-    placed = join_checked(base, bounds, ["source"], "left").withColumns({"low": F.coalesce(own["low"], F.col("low")), "high": F.coalesce(own["high"], F.col("high"))}).drop("by_context")
-    flagged = join_checked(placed, stuck, ["source", "item", "step", "reading"], "left")
-    flagged = flagged.withColumns(
-        {
-            "impossible": F.col("reading").isNotNull() & ~plausible,
-            "stuck": F.coalesce("stuck", F.lit(False)),
-            "outside": F.coalesce(plausible & ((F.col("reading") > F.col("high")) | (F.col("reading") < F.col("low"))), F.lit(False)),
-        }
-    ).where(F.col("impossible") | F.col("stuck") | F.col("outside"))
-    if changes:
-        flagged = materialize(flagged, "flagged")
-        steep = materialize(steep_steps(base, flagged.where("outside and item is not null and step is not null"), "source", "item", "step", "reading", ratio).select("source", "item", "step", "reading", F.lit(True).alias("steep")), "steep")
-        flagged = join_checked(flagged, steep, ["source", "item", "step", "reading"], "left").withColumn("steep", F.col("outside") & F.coalesce("steep", F.lit(False)))
-    else:
-        flagged = flagged.withColumn("steep", F.lit(None).cast("boolean"))
+
+    def judged(rows: DataFrame) -> DataFrame:
+        placed = join_checked(rows, bounds, ["source"], "left").withColumns({"low": F.coalesce(own["low"], F.col("low")), "high": F.coalesce(own["high"], F.col("high"))}).drop("by_context")
+        outside = plausible & ((F.col("reading") > F.col("high")) | (F.col("reading") < F.col("low")))
+        return placed.withColumns({"impossible": F.col("reading").isNotNull() & ~plausible, "outside": F.coalesce(outside, F.lit(False))})
+
+    # all rows meet the fences, but only those of changing pairs the marks
+    flagged = judged(base).where("impossible or outside").unionByName(judged(join_checked(changing, marks, cell, "left_semi")).where("not (impossible or outside)"))
+    flagged = join_checked(flagged, marks, cell, "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("stuck", "steep")})
     return flagged.select("row_id", "source", "context", "reading", "impossible", "stuck", "outside", "steep", "low", "high", "jump")

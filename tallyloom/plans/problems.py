@@ -12,25 +12,22 @@ from tallyloom.plans.tables import clean_features, table
 MESSAGE_FIELDS = ["message_id", "user_id", "message", "created_at", "date2", "date3"]
 
 
-def _p5_readings(spark: SparkSession, folder: str, changes: bool) -> DataFrame:
-    f = clean_features(spark, folder)
-    week = F.translate("week_of_group", "_", "").cast("int")
-    return spikes.flag_readings(f, F.col("row_id"), F.col("user_of_group"), F.col("term"), week, F.col("feat_freq"), context=F.col("load_hour"), changes=changes)
-
-
 def p5_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Every implausible reading with its reasons and the fence it was compared with."""
-    return _p5_readings(spark, folder, True)
+    f = clean_features(spark, folder)
+    week = F.translate("week_of_group", "_", "").cast("int")
+    return spikes.flag_readings(f, F.col("row_id"), F.col("user_of_group"), F.col("term"), week, F.col("feat_freq"), context=F.col("load_hour"))
 
 
 def p5_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of p5_found with their reasons.
+    """The rows of p5_found with their reasons, from those of p5_flags.
 
     Of the readings outside their fence, those count as spikes that reach the
     user's ``jump``: a fence of two interquartile ranges takes in less than a spike needs, three times every ordinary reading.
+    A steep change alone is none of its reasons: ordinary shares of a term rise and fall so, too.
     """
     spike = F.col("outside") & F.coalesce(F.col("reading") >= F.col("jump"), F.lit(False))
-    return _p5_readings(spark, folder, False).select("row_id", "impossible", "stuck", spike.alias("spike")).where("impossible or stuck or spike")
+    return p5_flags(spark, folder).select("row_id", "impossible", "stuck", spike.alias("spike")).where("impossible or stuck or spike")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyloom.operators import compaction, hotkeys, selection, spikes
+from tallyloom.plans import problems
 
 
 def nearest(values, q):
@@ -138,6 +139,43 @@ def test_fences_by_context_and_steps(spark):
     assert set(got) == {201, 202, 203, 204}  # 206 has no hour and takes the source's fence, v has too few readings
 
 
+def test_steep_changes_are_a_reason_of_their_own(spark):
+    """Rises and falls by three times inside a wide fence, also of a source that has no fence; several readings at a step are all to be passed."""
+    rows = [(i, "u", f"t{i}", 1, 0.01 + i / 100) for i in range(40)]
+    rows += [(100, "u", "up", 1, 0.02), (101, "u", "up", 2, 0.35), (102, "u", "up", 3, 0.2), (110, "u", "down", 1, 0.36), (111, "u", "down", 4, 0.03), (112, "u", "down", 5, 0.05)]
+    rows += [(120, "u", "two", 1, 0.1), (121, "u", "two", 1, 0.3), (122, "u", "two", 2, 0.05), (123, "u", "two", 2, 0.35), (124, "u", "two", 3, 0.015), (125, "u", "two", 3, 0.015)]
+    rows += [(130, "v", "n", 1, 0.1), (131, "v", "n", 2, 0.5), (132, None, "n", 3, 0.1), (133, "v", "n", None, 0.01), (134, "v", None, 3, 0.01), (135, "v", "n", 3, None), (136, "v", "n", 4, 0.4)]
+    df = spark.createDataFrame(rows, "i long, u string, t string, w int, x double")
+    got = {r.row_id: (r.impossible, r.stuck, r.outside, r.steep) for r in spikes.flag_readings(df, F.col("i"), F.col("u"), F.col("t"), F.col("w"), F.col("x")).collect()}
+    assert got == dict.fromkeys((101, 111, 124, 125, 131), (False, False, False, True))
+
+
+def test_steep_steps_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"u{rng.integers(4)}", f"t{rng.integers(12)}", int(rng.integers(1, 9)), float(rng.choice([0.01, 0.02, 0.03, 0.1, 0.3, 0.9, 1.0, 1.2, 0.0, math.nan]))) for _ in range(300)]
+    by_pair = {}
+    for u, t, w, x in rows:
+        if 0 < x <= 1:
+            by_pair.setdefault((u, t), {}).setdefault(w, set()).add(x)
+    want = set()
+    for (u, t), weeks in by_pair.items():
+        order = sorted(weeks)
+        for a, b in zip(order, order[1:]):
+            want |= {(u, t, b, x) for x in weeks[b] if x >= 3 * max(weeks[a]) or x * 3 <= min(weeks[a])}
+    df = spark.createDataFrame(rows, "u string, t string, w int, x double")
+    got = spikes.steep_steps(df, "u", "t", "w", "x").collect()
+    assert len(want) > 20 and sorted((r.u, r.t, r.w, r.x) for r in got) == sorted(want)
+    assert all(r.change >= 3 or r.change <= 1 / 2.99 for r in got)
+
+
+def test_found_readings_pass_all_steps(spark, folder, monkeypatch):
+    """p5_found narrows the rows of the whole operator, changes between steps included."""
+    done, steep_steps = [], spikes.steep_steps
+    monkeypatch.setattr(spikes, "steep_steps", lambda *a, **k: done.append(1) or steep_steps(*a, **k))
+    found = {r.row_id for r in problems.p5_found(spark, folder).collect()}
+    assert done == [1] and found <= {r.row_id for r in problems.p5_flags(spark, folder).collect()}
+
+
 def test_sketches_merge(spark):
     df = spark.createDataFrame([("u", float(i + 1) / 100, i % 4) for i in range(60)], "source string, x double, h int")
     parts = spikes.merge_sketches(spikes.source_sketch(df, "source", "x", "h"), ["source"])
